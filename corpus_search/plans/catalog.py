@@ -13,8 +13,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpus_search.session import table
+from corpus_search.functions import paths as P
+from corpus_search.functions import text as T
+from corpus_search.operators import chunking, dedup, stats
 from corpus_search.plans import retrieval
+from corpus_search.session import table
+from corpus_search.sources import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,3 +48,123 @@ def q_retrieve_context(spark: SparkSession, sf: str) -> DataFrame:
 def q_knn_with_text(spark: SparkSession, sf: str) -> DataFrame:
     """Hits searched on (id, vector), text joined by id afterwards."""
     return retrieval.knn_with_text(table(spark, sf, "documents"), table(spark, sf, "benchmark"), k=5)
+
+
+# ----------------------------------------------------------------------------- chunking
+
+
+def _chunks(spark: SparkSession, sf: str, size: int = 1000, overlap: int = 200) -> DataFrame:
+    return retrieval.chunk_documents(table(spark, sf, "documents"), size, overlap)
+
+
+@register("chunk_fixed")
+def q_chunk_fixed(spark: SparkSession, sf: str) -> DataFrame:
+    """1000/200 character windows over every document."""
+    return _chunks(spark, sf).select("doc_id", "source", "chunk_index", "start", "text")
+
+
+@register("chunk_metadata")
+def q_chunk_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    """P5: source and position metadata of every chunk."""
+    return chunking.chunk_metadata(_chunks(spark, sf))
+
+
+@register("chunk_ids")
+def q_chunk_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Deterministic chunk ids md5(doc:chunk_index)."""
+    return _chunks(spark, sf).select("chunk_id", "doc_id", "chunk_index")
+
+
+@register("chunk_tokens")
+def q_chunk_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """508-token windows with 200 tokens overlap."""
+    return chunking.chunk_tokens(table(spark, sf, "documents"))
+
+
+@register("length_guard")
+def q_length_guard(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents over 16384 characters cut into 16000-character slices."""
+    docs = table(spark, sf, "documents")
+    return chunking.length_guard(docs, limit=16384, slice_size=16000).withColumn("n_chars", T.n_chars("text"))
+
+
+@register("nonblank_queries")
+def q_nonblank_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions with blank ones skipped."""
+    return retrieval.question_table(table(spark, sf, "benchmark"))
+
+
+# ----------------------------------------------------------------------------- documents
+
+
+@register("route_by_extension")
+def q_route_by_extension(spark: SparkSession, sf: str) -> DataFrame:
+    """Reader format and status from the URL's extension."""
+    return documents.route_by_extension(table(spark, sf, "pages"), "url").select("page_id", "extension", "format", "status")
+
+
+@register("status_counts")
+def q_status_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Inputs per (format, status)."""
+    return stats.status_counts(documents.route_by_extension(table(spark, sf, "pages"), "url"))
+
+
+@register("extract_page_text")
+def q_extract_page_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Visible text and title of every HTML page."""
+    return documents.extract_page_text(table(spark, sf, "pages"))
+
+
+@register("assemble_pages")
+def q_assemble_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents split into a page table (one line = one page) and assembled back."""
+    pages = documents.split_pages(table(spark, sf, "documents"))
+    return documents.assemble_pages(pages)
+
+
+@register("rows_to_text")
+def q_rows_to_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Every order row as a tab-joined text line (null -> '')."""
+    orders = table(spark, sf, "orders")
+    cols = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+    return documents.rows_to_text(orders, cols, keep=["o_orderkey"])
+
+
+@register("object_names")
+def q_object_names(spark: SparkSession, sf: str) -> DataFrame:
+    """base name, parent folder and extension of each page's object key."""
+    k = P.key("url")
+    return table(spark, sf, "pages").select(
+        "page_id", k.alias("key"), P.basename(k).alias("basename"), P.parent(k).alias("parent"), P.extension(k).alias("extension")
+    )
+
+
+@register("parse_object_uri")
+def q_parse_object_uri(spark: SparkSession, sf: str) -> DataFrame:
+    """scheme / authority (bucket) / key of each URI."""
+    return table(spark, sf, "pages").select(
+        "page_id", P.scheme("url").alias("scheme"), P.authority("url").alias("bucket"), P.key("url").alias("key")
+    )
+
+
+# ----------------------------------------------------------------------------- dedup and stats
+
+
+@register("exact_dedup")
+def q_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """A5: exact-duplicate groups by content md5."""
+    return dedup.exact_dedup(table(spark, sf, "documents"))
+
+
+@register("dedup_against_seen")
+def q_dedup_against_seen(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents whose content is not among the already reviewed (labelled) documents."""
+    docs = table(spark, sf, "documents")
+    seen = docs.join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi").select(F.md5("text").alias("md5"))
+    return dedup.dedup_against_seen(docs, seen).select("doc_id", "md5")
+
+
+@register("collection_stats")
+def q_collection_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks, documents and chunk lengths per source."""
+    return stats.collection_stats(_chunks(spark, sf))

@@ -73,3 +73,121 @@ SELECT query_id,
        CAST(least(len(string_split(context, ' ')), 7168) AS BIGINT) AS context_tokens,
        len(string_split(context, ' ')) > 7168 AS truncated
 FROM ctx"""
+
+
+# ----------------------------------------------------------------------------- chunking
+
+ORACLE_SQL["chunk_fixed"] = f"WITH {_chunks()}\nSELECT doc_id, source, chunk_index, start, text FROM chunks"
+
+ORACLE_SQL["chunk_metadata"] = f"""WITH {_chunks()}
+SELECT doc_id, source, chunk_index, start, start + length(text) - 1 AS "end", CAST(length(text) AS BIGINT) AS n_chars
+FROM chunks"""
+
+ORACLE_SQL["chunk_ids"] = f"WITH {_chunks()}\nSELECT chunk_id, doc_id, chunk_index FROM chunks"
+
+ORACLE_SQL["chunk_tokens"] = f"""
+WITH toks AS (
+  SELECT doc_id, source,
+         CASE WHEN {_strip('text')} = '' THEN []::VARCHAR[] ELSE string_split_regex({_strip('text')}, '{WS}+') END AS tok
+  FROM documents),
+w AS (SELECT doc_id, source, tok, unnest(generate_series(1, greatest(1, len(tok) - 200), 308)) AS s
+      FROM toks WHERE len(tok) > 0)
+SELECT doc_id, source, CAST((s - 1) / 308 AS INTEGER) AS chunk_index, CAST(s AS BIGINT) AS start_token,
+       array_to_string(tok[s:s + 507], ' ') AS text, CAST(len(tok[s:s + 507]) AS BIGINT) AS n_tokens
+FROM w"""
+
+ORACLE_SQL["length_guard"] = """
+WITH p AS (
+  SELECT doc_id, text,
+         unnest(generate_series(0, CASE WHEN length(text) > 16384 THEN CAST(ceil(length(text) / 16000) AS BIGINT) - 1 ELSE 0 END)) AS piece
+  FROM documents),
+s AS (SELECT doc_id, CAST(piece AS INTEGER) AS piece,
+             CASE WHEN length(text) > 16384 THEN substring(text, piece * 16000 + 1, 16000) ELSE text END AS text
+      FROM p)
+SELECT doc_id, piece, text, CAST(length(text) AS BIGINT) AS n_chars FROM s"""
+
+ORACLE_SQL["nonblank_queries"] = f"SELECT item_id AS query_id, text AS question FROM benchmark WHERE {_strip('text')} <> ''"
+
+# ----------------------------------------------------------------------------- documents
+
+_URI = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)"
+_KEY = f"regexp_replace(regexp_extract(url, '{_URI}', 3), '^/+', '')"
+
+
+def _ext(path: str) -> str:
+    return f"lower(regexp_extract(string_split({path}, '/')[-1], '\\.([^./]+)$', 1))"
+
+
+_FORMAT = """CASE ext WHEN 'pdf' THEN 'pdf' WHEN 'doc' THEN 'word' WHEN 'docx' THEN 'word' WHEN 'xls' THEN 'sheet'
+  WHEN 'xlsx' THEN 'sheet' WHEN 'txt' THEN 'text' WHEN 'html' THEN 'markup' WHEN 'htm' THEN 'markup' END"""
+
+_ROUTED = f"""
+WITH e AS (SELECT page_id, {_ext(_KEY)} AS ext FROM pages),
+r AS (SELECT page_id, ext AS extension, {_FORMAT} AS format FROM e)"""
+
+ORACLE_SQL["route_by_extension"] = _ROUTED + """
+SELECT page_id, extension, format, CASE WHEN format IS NULL THEN 'unsupported' ELSE 'ok' END AS status FROM r"""
+
+ORACLE_SQL["status_counts"] = _ROUTED + """
+SELECT format, CASE WHEN format IS NULL THEN 'unsupported' ELSE 'ok' END AS status, count(*) AS n FROM r GROUP BY ALL"""
+
+
+def _collapse(expr: str) -> str:
+    return _strip(f"regexp_replace({expr}, '{WS}+', ' ', 'g')")
+
+
+def _html_text(expr: str) -> str:
+    x = f"regexp_replace({expr}, '(?is)<script[^>]*>.*?</script>', ' ', 'g')"
+    x = f"regexp_replace({x}, '(?is)<style[^>]*>.*?</style>', ' ', 'g')"
+    x = f"regexp_replace({x}, '(?s)<!--.*?-->', ' ', 'g')"
+    x = f"regexp_replace({x}, '<[^>]*>', ' ', 'g')"
+    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+        x = f"replace({x}, '{ent}', '{ch}')"
+    return _collapse(x)
+
+
+ORACLE_SQL["extract_page_text"] = f"""
+SELECT page_id, {_collapse("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title,
+       {_html_text('html')} AS text, CAST(length({_html_text('html')}) AS BIGINT) AS n_chars
+FROM pages"""
+
+ORACLE_SQL["assemble_pages"] = f"""
+WITH pages AS (
+  SELECT d.doc_id, CAST(u.page_no AS BIGINT) AS page_no, u.page_text
+  FROM documents d, unnest(string_split(d.text, chr(10))) WITH ORDINALITY AS u(page_text, page_no))
+SELECT doc_id, count(*) AS n_pages,
+       CAST(sum(CASE WHEN {_strip("coalesce(page_text, '')")} = '' THEN 1 ELSE 0 END) AS BIGINT) AS blank_pages,
+       string_agg(coalesce(page_text, ''), chr(10) ORDER BY page_no) AS text
+FROM pages GROUP BY doc_id"""
+
+ORACLE_SQL["rows_to_text"] = """
+SELECT o_orderkey, concat_ws(chr(9),
+  coalesce(CAST(o_orderkey AS VARCHAR), ''), coalesce(CAST(o_custkey AS VARCHAR), ''),
+  coalesce(CAST(o_orderstatus AS VARCHAR), ''), coalesce(CAST(o_totalprice AS VARCHAR), ''),
+  coalesce(CAST(o_orderdate AS VARCHAR), ''), coalesce(CAST(o_orderpriority AS VARCHAR), '')) AS line
+FROM orders"""
+
+ORACLE_SQL["object_names"] = f"""
+WITH k AS (SELECT page_id, {_KEY} AS key FROM pages)
+SELECT page_id, key, string_split(key, '/')[-1] AS basename, regexp_extract(key, '^(.*)/[^/]*$', 1) AS parent,
+       {_ext('key')} AS extension
+FROM k"""
+
+ORACLE_SQL["parse_object_uri"] = f"""
+SELECT page_id, lower(regexp_extract(url, '{_URI}', 1)) AS scheme, regexp_extract(url, '{_URI}', 2) AS bucket,
+       {_KEY} AS key
+FROM pages"""
+
+# ----------------------------------------------------------------------------- dedup and stats
+
+ORACLE_SQL["exact_dedup"] = """
+SELECT md5(text) AS md5, min(doc_id) AS first_id, count(*) AS n_copies FROM documents GROUP BY md5(text)"""
+
+ORACLE_SQL["dedup_against_seen"] = """
+SELECT doc_id, md5(text) AS md5 FROM documents d
+WHERE NOT EXISTS (SELECT 1 FROM documents s JOIN labels l ON s.doc_id = l.doc_id WHERE md5(s.text) = md5(d.text))"""
+
+ORACLE_SQL["collection_stats"] = f"""WITH {_chunks()}
+SELECT source, count(*) AS n_chunks, count(DISTINCT doc_id) AS n_docs, min(length(text)) AS min_chars,
+       round(avg(length(text)), 6) AS avg_chars, max(length(text)) AS max_chars
+FROM chunks GROUP BY source"""
