@@ -65,37 +65,67 @@ def _exact(metric: str, q: np.ndarray, Xc: np.ndarray) -> np.ndarray:
     return 1.0 - cos
 
 
+def _id_rank(vids: np.ndarray) -> np.ndarray:
+    """Position of every id in sorted id order (works for numeric and string ids)."""
+    order = np.argsort(vids, kind="stable")
+    rank = np.empty(len(vids), dtype=np.int64)
+    rank[order] = np.arange(len(vids))
+    return rank
+
+
 def topk_block(metric: str, k: int, qids: np.ndarray, Q: np.ndarray, vids: np.ndarray, X: np.ndarray):
     """Top-k of every query against one block of vectors.
 
-    Returns three aligned arrays (query ids, vector ids, exact distances) with at most k
-    rows per query, ranked by (round(distance, 9), vector id).
+    Returns four aligned lists of arrays (query ids, vector ids, exact distances, rank from 0)
+    with at most k rows per query, ranked by (round(distance, 9), vector id). Rows without ties at
+    the k-th place take a vectorised path; rows with ties re-rank their whole tie group.
     """
-    out_q, out_v, out_d = [], [], []
+    out_q, out_v, out_d, out_r = [], [], [], []
     n = X.shape[0]
     if n == 0 or Q.shape[0] == 0:
-        return out_q, out_v, out_d
+        return out_q, out_v, out_d, out_r
     kk = min(k, n)
     xn2 = np.einsum("ij,ij->i", X, X)
     scale = 1.0 + float(xn2.max())
+    idr = _id_rank(vids)
     for s in range(0, Q.shape[0], _Q_CHUNK):
         Qc = Q[s : s + _Q_CHUNK]
         qn2 = np.einsum("ij,ij->i", Qc, Qc)
         D = _approx(metric, Qc, X, qn2, xn2)
-        kth = np.partition(D, kk - 1, axis=1)[:, kk - 1]
+        part = np.argpartition(D, kk - 1, axis=1)[:, :kk] if kk < n else np.tile(np.arange(n), (Qc.shape[0], 1))
+        kth = np.take_along_axis(D, part, axis=1).max(axis=1)
         tol = 1e-9 * (scale + qn2)
-        mask = D <= (kth + tol)[:, None]
-        for r in range(Qc.shape[0]):
-            cand = np.flatnonzero(mask[r])
+        n_cand = (D <= (kth + tol)[:, None]).sum(axis=1)
+        simple = np.flatnonzero(n_cand == kk)
+        if simple.size:
+            idx = part[simple]  # (m, kk)
+            if metric in ("l2", "l2_root"):
+                diff = X[idx] - Qc[simple][:, None, :]
+                ex = np.einsum("mkd,mkd->mk", diff, diff)
+                if metric == "l2_root":
+                    ex = np.sqrt(ex)
+            elif metric == "ip":
+                ex = -np.einsum("mkd,md->mk", X[idx], Qc[simple])
+            else:
+                dot = np.einsum("mkd,md->mk", X[idx], Qc[simple])
+                den = np.sqrt(xn2[idx]) * np.sqrt(qn2[simple])[:, None]
+                ex = 1.0 - np.divide(dot, den, out=np.zeros_like(dot), where=den > 0)
+            order = np.lexsort((idr[idx], np.round(ex, ROUND)), axis=-1)
+            idx = np.take_along_axis(idx, order, axis=1)
+            ex = np.take_along_axis(ex, order, axis=1)
+            out_q.append(np.repeat(qids[s + simple], kk))
+            out_v.append(vids[idx.reshape(-1)])
+            out_d.append(ex.reshape(-1))
+            out_r.append(np.tile(np.arange(kk), simple.size))
+        for r in np.flatnonzero(n_cand != kk):
+            cand = np.flatnonzero(D[r] <= kth[r] + tol[r])
             exact = _exact(metric, Qc[r], X[cand])
-            key = np.round(exact, ROUND)
-            order = pd.DataFrame({"k": key, "id": vids[cand], "p": np.arange(len(cand))}).sort_values(
-                ["k", "id"], kind="mergesort"
-            )["p"].to_numpy()[:kk]
+            order = np.lexsort((idr[cand], np.round(exact, ROUND)))[:kk]
             out_q.append(np.full(len(order), qids[s + r], dtype=object))
             out_v.append(vids[cand][order])
             out_d.append(exact[order])
-    return out_q, out_v, out_d
+            out_r.append(np.arange(len(order)))
+    return out_q, out_v, out_d, out_r
 
 
 def _merge(metric_k: int, q_parts, v_parts, d_parts) -> pd.DataFrame:
@@ -204,7 +234,7 @@ def _broadcast_partial(q: DataFrame, v: DataFrame, k: int, metric: str, dims: in
             vids = np.asarray(rb.column("vec_id").to_pylist(), dtype=object)
             flat = np.asarray(rb.column("vv").flatten().to_numpy(zero_copy_only=False), dtype=np.float64)
             X = flat.reshape(rb.num_rows, dims)
-            a, b, c = topk_block(metric, k, ids_q, mat_q, vids, X)
+            a, b, c, _ = topk_block(metric, k, ids_q, mat_q, vids, X)
             if a:
                 # shrink the running candidate list of this partition to k per query
                 m = _merge(k, qs + a, vs + b, ds + c)
@@ -236,7 +266,7 @@ def _blocked_partial(
             return pd.DataFrame({"query_id": [], "vec_id": [], "distance": []})
         Q = np.stack(left["qv"].to_numpy()).astype(np.float64)
         X = np.stack(right["vv"].to_numpy()).astype(np.float64)
-        a, b, c = topk_block(metric, k, left["query_id"].to_numpy(dtype=object), Q, right["vec_id"].to_numpy(dtype=object), X)
+        a, b, c, _ = topk_block(metric, k, left["query_id"].to_numpy(dtype=object), Q, right["vec_id"].to_numpy(dtype=object), X)
         return _merge(k, a, b, c)
 
     return (

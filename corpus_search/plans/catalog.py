@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from corpus_search.functions import paths as P
 from corpus_search.functions import text as T
-from corpus_search.operators import chunking, dedup, stats
+from corpus_search.functions import vectors as V
+from corpus_search.operators import chunking, dedup, embedding, ivf, knn, stats, training
 from corpus_search.plans import retrieval
-from corpus_search.session import table
+from corpus_search.session import scratch_path, table
 from corpus_search.sources import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -168,3 +169,147 @@ def q_dedup_against_seen(spark: SparkSession, sf: str) -> DataFrame:
 def q_collection_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Chunks, documents and chunk lengths per source."""
     return stats.collection_stats(_chunks(spark, sf))
+
+
+# ----------------------------------------------------------------------------- vectors
+
+IVF_NLIST = 16
+IVF_NPROBE = 4
+
+
+def _vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings")
+
+
+def _self_queries(vecs: DataFrame) -> DataFrame:
+    return vecs.select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def _hits_out(hits: DataFrame) -> DataFrame:
+    return hits.select("query_id", "vec_id", "rank", F.round("distance", 6).alias("distance"), F.round("score", 6).alias("score"))
+
+
+@register("knn_exact")
+def q_knn_exact(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector's 5 exact nearest neighbours (squared L2), ranked, scored."""
+    v = _vectors(spark, sf)
+    return _hits_out(knn.knn(_self_queries(v), v, 5))
+
+
+@register("knn_exact_blocked")
+def q_knn_exact_blocked(spark: SparkSession, sf: str) -> DataFrame:
+    """J1 with the co-grouped block strategy (the path for query tables too big to broadcast)."""
+    v = _vectors(spark, sf)
+    return _hits_out(knn.knn(_self_queries(v), v, 5, strategy="blocked", query_block=128, vector_block=128))
+
+
+def _ivf_cells(v: DataFrame):
+    cents = ivf.sample_centroids(v, IVF_NLIST)
+    return cents, ivf.assign_cells(v, cents)
+
+
+@register("ivf_build")
+def q_ivf_build(spark: SparkSession, sf: str) -> DataFrame:
+    """Sampled centroids (first 16 by md5(id)) and every vector's cell."""
+    v = _vectors(spark, sf)
+    _, cells = _ivf_cells(v)
+    return cells.select("vec_id", "cell_id")
+
+
+@register("knn_ivf")
+def q_knn_ivf(spark: SparkSession, sf: str) -> DataFrame:
+    """Probe the 4 nearest of 16 cells, top-5 inside them (broadcast strategy)."""
+    v = _vectors(spark, sf)
+    cents, cells = _ivf_cells(v)
+    return _hits_out(ivf.knn_ivf(_self_queries(v), cells, cents, 5, IVF_NPROBE))
+
+
+@register("knn_ivf_blocked")
+def q_knn_ivf_blocked(spark: SparkSession, sf: str) -> DataFrame:
+    """J2 with per-cell co-grouped blocks (many-query strategy); equals knn_ivf."""
+    v = _vectors(spark, sf)
+    cents, cells = _ivf_cells(v)
+    hits = ivf.knn_ivf(_self_queries(v), cells, cents, 5, IVF_NPROBE, strategy="blocked", query_block=64, vector_block=64)
+    return _hits_out(hits)
+
+
+@register("knn_auto")
+def q_knn_auto(spark: SparkSession, sf: str) -> DataFrame:
+    """U4: exact below 1024 vectors, sampled-centroid IVF (16 cells, 4 probes) above."""
+    v = _vectors(spark, sf)
+    hits = ivf.knn_auto(_self_queries(v), v, 5, nlist=IVF_NLIST, nprobe=IVF_NPROBE)
+    return _hits_out(hits).join(hits.select("query_id", "vec_id", "method"), ["query_id", "vec_id"])
+
+
+@register("ivf_recall")
+def q_ivf_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """recall@5 of the index against exact search for nprobe 1, 4 and 16 (= nlist)."""
+    v = _vectors(spark, sf)
+    q = _self_queries(v)
+    exact = knn.knn(q, v, 5)
+    cents, cells = _ivf_cells(v)
+    out = None
+    for nprobe in (1, IVF_NPROBE, IVF_NLIST):
+        r = ivf.recall_at_k(ivf.knn_ivf(q, cells, cents, 5, nprobe), exact, 5).withColumn("nprobe", F.lit(nprobe).cast("bigint"))
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+@register("vector_distance")
+def q_vector_distance(spark: SparkSession, sf: str) -> DataFrame:
+    """L2 (squared and root) from every vector to its label's mean vector."""
+    v = _vectors(spark, sf)
+    means = V.mean_vectors(v, "label")
+    j = v.join(means.select("label", "mean"), "label")
+    return j.select(
+        "vec_id", "label",
+        F.round(V.l2_squared("embedding", "mean"), 6).alias("l2_squared"),
+        F.round(V.l2("embedding", "mean"), 6).alias("l2"),
+    )
+
+
+@register("vector_similarity")
+def q_vector_similarity(spark: SparkSession, sf: str) -> DataFrame:
+    """F8: cosine similarity and inner product with the label's mean vector."""
+    v = _vectors(spark, sf)
+    means = V.mean_vectors(v, "label")
+    j = v.join(means.select("label", "mean"), "label")
+    return j.select(
+        "vec_id", "label",
+        F.round(V.cosine("embedding", "mean"), 6).alias("cosine"),
+        F.round(V.dot("embedding", "mean"), 6).alias("inner_product"),
+    )
+
+
+@register("split_batches")
+def q_split_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """M3: md5-hash train/test split (1 fold of 5 held out) and batch numbers of 64 rows."""
+    return training.split_batches(_vectors(spark, sf)).select("vec_id", "label", "split", "batch")
+
+
+@register("classifier_accuracy")
+def q_classifier_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    """Nearest-class-mean classifier trained on the train split, accuracy on test."""
+    parts = training.split_batches(_vectors(spark, sf))
+    train = parts.filter(F.col("split") == "train")
+    test = parts.filter(F.col("split") == "test")
+    return training.accuracy(training.nearest_centroid(train, test))
+
+
+@register("embed_hash")
+def q_embed_hash(spark: SparkSession, sf: str) -> DataFrame:
+    """Hashed bag-of-words embedding of every document, summarised per vector."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    vecs = embedding.embed_hashed(docs, dims=embedding.HASH_DIMS, keep=["doc_id", "text"])
+    return embedding.embedding_fingerprint(vecs, "doc_id")
+
+
+@register("train_classifier")
+def q_train_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    """Softmax classifier, 10 epochs chained, loss per epoch, checkpoint every 2."""
+    parts = training.split_batches(_vectors(spark, sf))
+    ckpt = scratch_path(spark, "classifier")
+    _, epochs = training.train_classifier(
+        parts.filter(F.col("split") == "train"), parts.filter(F.col("split") == "test"), n_classes=10, checkpoint_dir=ckpt
+    )
+    return epochs

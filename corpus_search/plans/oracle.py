@@ -191,3 +191,105 @@ ORACLE_SQL["collection_stats"] = f"""WITH {_chunks()}
 SELECT source, count(*) AS n_chunks, count(DISTINCT doc_id) AS n_docs, min(length(text)) AS min_chars,
        round(avg(length(text)), 6) AS avg_chars, max(length(text)) AS max_chars
 FROM chunks GROUP BY source"""
+
+
+# ----------------------------------------------------------------------------- vectors
+
+_E = "e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
+
+
+def _d2(a: str, b: str) -> str:
+    return f"pow(list_distance({a}, {b}), 2)"
+
+
+def _exact_hits(k: int = 5) -> str:
+    return f"""
+exact_d AS (SELECT q.vec_id AS query_id, x.vec_id, {_d2('q.v', 'x.v')} AS distance FROM e q, e x),
+exact AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), vec_id) AS rank
+                         FROM exact_d) WHERE rank <= {k})"""
+
+
+def _ivf(nlist: int = 16, nprobe_expr: str = "4", extra_from: str = "", extra_key: str = "", k: int = 5) -> str:
+    sel = f"{extra_key} AS np, " if extra_key else ""
+    part = "np, " if extra_key else ""
+    return f"""
+cent AS (SELECT cell_id, v FROM (SELECT row_number() OVER (ORDER BY md5(CAST(vec_id AS VARCHAR))) - 1 AS cell_id, v FROM e)
+         WHERE cell_id < {nlist}),
+asg AS (SELECT vec_id, cell_id FROM (
+          SELECT e.vec_id, c.cell_id,
+                 row_number() OVER (PARTITION BY e.vec_id ORDER BY round({_d2('e.v', 'c.v')}, 9), c.cell_id) AS r
+          FROM e, cent c) WHERE r = 1),
+probes AS (SELECT e.vec_id AS query_id, c.cell_id,
+                  row_number() OVER (PARTITION BY e.vec_id ORDER BY round({_d2('e.v', 'c.v')}, 9), c.cell_id) AS pr
+           FROM e, cent c),
+ivf_d AS (SELECT {sel}p.query_id, a.vec_id, {_d2('q.v', 'x.v')} AS distance
+          FROM probes p {extra_from} JOIN asg a ON a.cell_id = p.cell_id
+          JOIN e q ON q.vec_id = p.query_id JOIN e x ON x.vec_id = a.vec_id
+          WHERE p.pr <= {nprobe_expr}),
+ivf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {part}query_id ORDER BY round(distance, 9), vec_id) AS rank
+                       FROM ivf_d) WHERE rank <= {k})"""
+
+
+_HITS_COLS = "query_id, vec_id, rank, round(distance, 6) AS distance, round(1 - distance, 6) AS score"
+
+ORACLE_SQL["knn_exact"] = f"WITH {_E},{_exact_hits()}\nSELECT {_HITS_COLS} FROM exact"
+ORACLE_SQL["knn_exact_blocked"] = ORACLE_SQL["knn_exact"]
+
+ORACLE_SQL["ivf_build"] = f"WITH {_E},{_ivf()}\nSELECT vec_id, cell_id FROM asg"
+
+ORACLE_SQL["knn_ivf"] = f"WITH {_E},{_ivf()}\nSELECT {_HITS_COLS} FROM ivf"
+ORACLE_SQL["knn_ivf_blocked"] = ORACLE_SQL["knn_ivf"]
+
+ORACLE_SQL["knn_auto"] = f"""WITH {_E},{_exact_hits()},{_ivf()},
+n AS (SELECT count(*) AS n FROM embeddings)
+SELECT {_HITS_COLS}, 'exact' AS method FROM exact WHERE (SELECT n FROM n) < 1024
+UNION ALL
+SELECT {_HITS_COLS}, 'ivf' AS method FROM ivf WHERE (SELECT n FROM n) >= 1024"""
+
+ORACLE_SQL["ivf_recall"] = f"""WITH {_E},{_exact_hits()},
+nps AS (SELECT * FROM (VALUES (1), (4), (16)) t(np)),{_ivf(nprobe_expr='nps.np', extra_from=', nps', extra_key='nps.np')},
+per_q AS (SELECT nps.np, x.query_id,
+                 sum(CASE WHEN i.vec_id IS NOT NULL THEN 1 ELSE 0 END) / 5.0 AS r
+          FROM nps CROSS JOIN exact x
+          LEFT JOIN ivf i ON i.np = nps.np AND i.query_id = x.query_id AND i.vec_id = x.vec_id
+          GROUP BY nps.np, x.query_id)
+SELECT CAST(np AS BIGINT) AS nprobe, count(*) AS n_queries, round(avg(r), 6) AS recall FROM per_q GROUP BY np"""
+
+_MEANS = """
+m AS (SELECT label, list(mx ORDER BY i) AS mean
+      FROM (SELECT label, i, avg(x) AS mx FROM {src}, unnest(v) WITH ORDINALITY AS u(x, i) GROUP BY label, i)
+      GROUP BY label)"""
+
+ORACLE_SQL["vector_distance"] = f"""WITH {_E},{_MEANS.format(src='e')}
+SELECT vec_id, label, round({_d2('v', 'mean')}, 6) AS l2_squared, round(list_distance(v, mean), 6) AS l2
+FROM e JOIN m USING (label)"""
+
+ORACLE_SQL["vector_similarity"] = f"""WITH {_E},{_MEANS.format(src='e')}
+SELECT vec_id, label, round(list_cosine_similarity(v, mean), 6) AS cosine, round(list_inner_product(v, mean), 6) AS inner_product
+FROM e JOIN m USING (label)"""
+
+_SPLIT = """
+t AS (SELECT vec_id, label, v,
+             CASE WHEN ('0x' || substr(md5(CAST(vec_id AS VARCHAR)), 1, 8))::BIGINT % 5 = 0 THEN 'test' ELSE 'train' END AS split,
+             ('0x' || substr(md5(CAST(vec_id AS VARCHAR)), 9, 8))::BIGINT AS h2
+      FROM e),
+nb AS (SELECT greatest(1, CAST(ceil(count(*) / 64) AS BIGINT)) AS nb FROM t WHERE split = 'train')"""
+
+ORACLE_SQL["split_batches"] = f"""WITH {_E},{_SPLIT}
+SELECT vec_id, label, split, CASE WHEN split = 'train' THEN h2 % (SELECT nb FROM nb) END AS batch FROM t"""
+
+ORACLE_SQL["classifier_accuracy"] = f"""WITH {_E},{_SPLIT},
+tr AS (SELECT * FROM t WHERE split = 'train'),{_MEANS.format(src='tr')},
+p AS (SELECT te.vec_id, te.label, m.label AS pred,
+             row_number() OVER (PARTITION BY te.vec_id ORDER BY round({_d2('te.v', 'm.mean')}, 9), m.label) AS r
+      FROM t te, m WHERE te.split = 'test')
+SELECT count(*) AS n_test, CAST(sum(CASE WHEN pred = label THEN 1 ELSE 0 END) AS BIGINT) AS n_correct,
+       round(avg(CASE WHEN pred = label THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 100.0, 6) AS accuracy
+FROM p WHERE r = 1"""
+
+ORACLE_SQL["embed_hash"] = f"""WITH {_hash_weights('d', 'documents', 'doc_id', 'text')},
+nt AS (SELECT id, CAST(sum(c) AS BIGINT) AS n_tokens FROM d_cnt GROUP BY id),
+agg AS (SELECT id, count(*) AS n_buckets, round(sum(w * (b + 1)), 6) AS weighted_sum FROM d_w GROUP BY id)
+SELECT doc.doc_id, coalesce(nt.n_tokens, 0) AS n_tokens, coalesce(agg.n_buckets, 0) AS n_buckets,
+       coalesce(agg.weighted_sum, 0.0) AS weighted_sum
+FROM documents doc LEFT JOIN nt ON nt.id = doc.doc_id LEFT JOIN agg ON agg.id = doc.doc_id"""
