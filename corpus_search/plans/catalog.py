@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from corpus_search.functions import paths as P
 from corpus_search.functions import text as T
 from corpus_search.functions import vectors as V
-from corpus_search.operators import chunking, dedup, embedding, ivf, knn, stats, training
+from corpus_search.operators import chunking, context, dedup, embedding, ivf, knn, metrics, prompts, rerank, stats, training
 from corpus_search.plans import retrieval
 from corpus_search.session import scratch_path, table
 from corpus_search.sources import documents
@@ -313,3 +313,167 @@ def q_train_classifier(spark: SparkSession, sf: str) -> DataFrame:
         parts.filter(F.col("split") == "train"), parts.filter(F.col("split") == "test"), n_classes=10, checkpoint_dir=ckpt
     )
     return epochs
+
+
+# ----------------------------------------------------------------------------- history, prompts, replies
+
+
+def _conv(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "conversations")
+
+
+@register("history_numbered")
+def q_history_numbered(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns numbered from 1 within each conversation."""
+    return prompts.number_turns(_conv(spark, sf)).select("conv_id", "turn", "role", "turn_no")
+
+
+@register("history_text")
+def q_history_text(spark: SparkSession, sf: str) -> DataFrame:
+    """A4: 'User: q Bot: a' pairs (user turn + the assistant turn right after) per conversation."""
+    return prompts.history_text(prompts.history_pairs(_conv(spark, sf)))
+
+
+@register("history_before_turn")
+def q_history_before_turn(spark: SparkSession, sf: str) -> DataFrame:
+    """For every turn, the history completed before it."""
+    return prompts.history_before(_conv(spark, sf))
+
+
+def _prompt_rows(spark: SparkSession, sf: str) -> DataFrame:
+    docs, bench = table(spark, sf, "documents"), table(spark, sf, "benchmark")
+    ctx = retrieval.retrieve_context(docs, bench, k=5).select("query_id", "context")
+    hist = prompts.history_text(prompts.history_pairs(_conv(spark, sf))).select(F.col("conv_id").alias("query_id"), "history")
+    return prompts.build_prompts(retrieval.question_table(bench), ctx, hist)
+
+
+@register("build_prompts")
+def q_build_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """Question + retrieved context + the session's history -> system and user messages."""
+    return _prompt_rows(spark, sf).select("query_id", "system", "user", F.size("messages").cast("bigint").alias("n_messages"))
+
+
+@register("request_payloads")
+def q_request_payloads(spark: SparkSession, sf: str) -> DataFrame:
+    """chat request JSON per prompt (rows-only: JSON key order is engine specific)."""
+    return prompts.request_payloads(_prompt_rows(spark, sf), model="generator")
+
+
+@register("answer_prompts")
+def q_answer_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """Pluggable generator over prompt batches (deterministic extractive stand-in)."""
+    return prompts.answer_prompts(_prompt_rows(spark, sf), prompts.extractive_generator)
+
+
+def _replies(spark: SparkSession, sf: str) -> DataFrame:
+    """Reply table derived from conversations: assistant turns are 200 replies with content,
+    system turns 200 replies without choices, user turns 500 errors."""
+    c = _conv(spark, sf)
+    ok_body = F.to_json(F.struct(F.array(F.struct(F.struct(F.lit("assistant").alias("role"), F.col("text").alias("content")).alias("message"))).alias("choices")))
+    empty_body = F.lit('{"choices":[]}')
+    err_body = F.to_json(F.struct(F.struct(F.concat(F.lit("no answer for role "), F.col("role")).alias("message")).alias("error")))
+    status = F.when(F.col("role") == "user", 500).otherwise(200)
+    body = F.when(F.col("role") == "assistant", ok_body).when(F.col("role") == "user", err_body).otherwise(empty_body)
+    return c.select("conv_id", "turn", status.alias("status"), body.alias("body"))
+
+
+@register("parse_replies")
+def q_parse_replies(spark: SparkSession, sf: str) -> DataFrame:
+    """answer text from JSON replies; error body passed through otherwise."""
+    return prompts.parse_replies(_replies(spark, sf)).select("conv_id", "turn", "status", "answer", "ok")
+
+
+@register("parse_stream_lines")
+def q_parse_stream_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """assistant replies as streamed 'data: ' lines (plus a broken line) reassembled."""
+    c = _conv(spark, sf).filter(F.col("role") == "assistant")
+    return prompts.parse_stream(prompts.stream_lines(c))
+
+
+@register("context_text")
+def q_context_text(spark: SparkSession, sf: str) -> DataFrame:
+    """A3: top-5 chunk texts per question joined by a blank line in rank order."""
+    hits = retrieval.knn_with_text(table(spark, sf, "documents"), table(spark, sf, "benchmark"), k=5)
+    return context.context_text(hits)
+
+
+@register("truncate_context")
+def q_truncate_context(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document cut to its first 1024 space-separated tokens (+ flag)."""
+    docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("context"))
+    return context.truncate_tokens(docs, "context", 1024)
+
+
+@register("rerank_bm25")
+def q_rerank_bm25(spark: SparkSession, sf: str) -> DataFrame:
+    """50 kNN candidates per question -> BM25 rerank -> top 10 -> top 5."""
+    docs, bench = table(spark, sf, "documents"), table(spark, sf, "benchmark")
+    hits, chunks = retrieval.search_chunks(docs, bench, k=rerank.CANDIDATES)
+    scores = rerank.bm25_scores(hits, retrieval.question_table(bench), chunks)
+    out = rerank.rerank(hits, scores)
+    return out.select(
+        "query_id", F.col("vec_id").alias("chunk_id"), F.col("rank").alias("knn_rank"), "rerank_rank",
+        F.round("rerank_score", 6).alias("rerank_score"),
+    )
+
+
+# ----------------------------------------------------------------------------- metrics
+
+
+def _calls(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.stage_calls(table(spark, sf, "events"))
+
+
+@register("stage_metrics")
+def q_stage_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """A1: per stage calls, total/avg time, bytes, MB."""
+    return metrics.stage_metrics(_calls(spark, sf)).drop("mb_per_s")
+
+
+@register("stage_throughput")
+def q_stage_throughput(spark: SparkSession, sf: str) -> DataFrame:
+    """A2: MB/s per stage, 0 when time or bytes is 0."""
+    return metrics.stage_metrics(_calls(spark, sf)).select("stage", "mb_per_s")
+
+
+@register("stage_running_totals")
+def q_stage_running_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Running calls/time/bytes per stage after each call (time-bucketed prefix sums)."""
+    out = metrics.stage_running(_calls(spark, sf), rows_per_bucket=500)
+    return out.select(
+        "call_id", "stage", "running_calls", F.round("running_time", 6).alias("running_time"),
+        F.col("running_bytes").cast("bigint").alias("running_bytes"),
+        F.round("running_mb_per_s", 6).alias("running_mb_per_s"),
+    )
+
+
+@register("step_elapsed")
+def q_step_elapsed(spark: SparkSession, sf: str) -> DataFrame:
+    """Seconds since the same user's previous step (bucketed lag)."""
+    out = metrics.step_elapsed(_calls(spark, sf), rows_per_bucket=500)
+    return out.select("call_id", "user_id", "stage", F.col("prev_stage"), F.round("since_prev_s", 6).alias("since_prev_s"))
+
+
+@register("bytes_lookup")
+def q_bytes_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Purchases record their own size; other calls fall back to the user's recorded
+    listing size (largest 'view' size), else 0."""
+    calls = _calls(spark, sf).withColumn("own_bytes", F.when(F.col("stage") == "purchase", F.col("bytes")))
+    listing = calls.filter(F.col("stage") == "view").groupBy("user_id").agg(F.max("bytes").alias("size"))
+    return metrics.bytes_lookup(calls, listing, "user_id").select("call_id", "user_id", "stage", "bytes")
+
+
+@register("metrics_report")
+def q_metrics_report(spark: SparkSession, sf: str) -> DataFrame:
+    """two-decimal report lines (time, MB, MB/s)."""
+    return metrics.metrics_report(metrics.stage_metrics(_calls(spark, sf)))
+
+
+@register("write_metrics_csv")
+def q_write_metrics_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """K4: append the report to CSV (header) twice and read it back: two rows per stage."""
+    path = scratch_path(spark, "metrics-csv")
+    report = metrics.metrics_report(metrics.stage_metrics(_calls(spark, sf)))
+    metrics.write_report_csv(report, path)
+    metrics.write_report_csv(report, path)
+    return spark.read.option("header", True).csv(path)

@@ -293,3 +293,154 @@ agg AS (SELECT id, count(*) AS n_buckets, round(sum(w * (b + 1)), 6) AS weighted
 SELECT doc.doc_id, coalesce(nt.n_tokens, 0) AS n_tokens, coalesce(agg.n_buckets, 0) AS n_buckets,
        coalesce(agg.weighted_sum, 0.0) AS weighted_sum
 FROM documents doc LEFT JOIN nt ON nt.id = doc.doc_id LEFT JOIN agg ON agg.id = doc.doc_id"""
+
+
+# ----------------------------------------------------------------------------- history, prompts, replies
+
+_PAIRS = """
+nx AS (SELECT conv_id, turn, role, text, lead(role) OVER w AS nr, lead(text) OVER w AS nt
+       FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+pairs AS (SELECT conv_id, turn, 'User: ' || text || ' Bot: ' || nt AS pair FROM nx WHERE role = 'user' AND nr = 'assistant')"""
+
+ORACLE_SQL["history_numbered"] = """
+SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS turn_no FROM conversations"""
+
+ORACLE_SQL["history_text"] = f"""WITH {_PAIRS}
+SELECT conv_id, count(*) AS n_pairs, string_agg(pair, ' ' ORDER BY turn) AS history FROM pairs GROUP BY conv_id"""
+
+ORACLE_SQL["history_before_turn"] = f"""WITH {_PAIRS},
+t AS (SELECT c.conv_id, c.turn, c.role, p.pair FROM conversations c
+      LEFT JOIN pairs p ON c.conv_id = p.conv_id AND c.turn = p.turn + 1),
+h AS (SELECT conv_id, turn, role,
+             list(pair) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l
+      FROM t),
+f AS (SELECT conv_id, turn, role, list_filter(coalesce(l, []), lambda x: x IS NOT NULL) AS l FROM h)
+SELECT conv_id, turn, role, array_to_string(l, ' ') AS history, CAST(len(l) AS BIGINT) AS n_pairs FROM f"""
+
+
+def _sql_str(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _system_prompt() -> str:
+    from corpus_search.operators.prompts import SYSTEM_PROMPT
+
+    return _sql_str(SYSTEM_PROMPT)
+
+
+def _ctx_from_hits() -> str:
+    return """
+ctx0 AS (SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context FROM hits GROUP BY query_id),
+ctx AS (SELECT query_id, CASE WHEN len(string_split(context, ' ')) > 7168
+                              THEN array_to_string(string_split(context, ' ')[1:7168], ' ') ELSE context END AS context
+        FROM ctx0)"""
+
+
+ORACLE_SQL["build_prompts"] = _flagship_hits() + f""",{_ctx_from_hits()},{_PAIRS},
+hist AS (SELECT conv_id AS query_id, string_agg(pair, ' ' ORDER BY turn) AS history FROM pairs GROUP BY conv_id)
+SELECT q.query_id, {_system_prompt()} AS system,
+       'User Question: ' || q.question || chr(10) || 'Relevant Context: #### ' || coalesce(c.context, '') || ' ####'
+       || chr(10) || 'Chat History: @@@@ ' || coalesce(h.history, '') || ' @@@@.' AS "user",
+       CAST(2 AS BIGINT) AS n_messages
+FROM questions q LEFT JOIN ctx c ON c.query_id = q.query_id LEFT JOIN hist h ON h.query_id = q.query_id"""
+
+ORACLE_SQL["parse_replies"] = """
+SELECT conv_id, turn, CASE WHEN role = 'user' THEN 500 ELSE 200 END AS status,
+       CASE WHEN role = 'assistant' THEN text
+            WHEN role = 'user' THEN '{"error":{"message":"no answer for role ' || role || '"}}' END AS answer,
+       role = 'assistant' AS ok
+FROM conversations"""
+
+ORACLE_SQL["parse_stream_lines"] = """
+WITH a AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'),
+w AS (SELECT a.conv_id, a.turn, u.i, u.w FROM a, unnest(string_split(a.text, ' ')) WITH ORDINALITY AS u(w, i)),
+l AS (SELECT conv_id, turn, CAST(i AS BIGINT) AS line_no,
+             'data: ' || json_object('choices', json_array(json_object('delta',
+                 json_object('content', CASE WHEN i = 1 THEN w ELSE ' ' || w END)))) AS line FROM w
+      UNION ALL SELECT conv_id, turn, CAST(0 AS BIGINT), 'data: {broken' FROM a
+      UNION ALL SELECT conv_id, turn, CAST(2147483648 AS BIGINT), 'data: [DONE]' FROM a),
+p AS (SELECT conv_id, turn, line_no, regexp_replace(line, '^data: ', '') AS payload FROM l),
+q AS (SELECT conv_id, turn, line_no, payload = '[DONE]' AS done,
+             CASE WHEN json_valid(payload) THEN json_extract_string(payload, '$.choices[0].delta.content') END AS piece
+      FROM p)
+SELECT conv_id, turn, count(*) AS n_lines,
+       CAST(sum(CASE WHEN NOT done AND piece IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_bad,
+       coalesce(string_agg(piece, '' ORDER BY line_no), '') AS text
+FROM q GROUP BY conv_id, turn"""
+
+ORACLE_SQL["context_text"] = _flagship_hits() + """
+SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context, count(*) AS n_chunks
+FROM hits GROUP BY query_id"""
+
+ORACLE_SQL["truncate_context"] = """
+SELECT doc_id,
+       CASE WHEN len(string_split(text, ' ')) > 1024 THEN array_to_string(string_split(text, ' ')[1:1024], ' ') ELSE text END AS context,
+       len(string_split(text, ' ')) > 1024 AS truncated,
+       CAST(least(len(string_split(text, ' ')), 1024) AS BIGINT) AS context_tokens
+FROM documents"""
+
+ORACLE_SQL["rerank_bm25"] = _flagship_hits(50) + f""",
+qt AS (SELECT DISTINCT query_id, t AS term
+       FROM (SELECT query_id, unnest(string_split_regex(lower(question), '{WS}+')) AS t FROM questions) WHERE t <> ''),
+ctoks AS (SELECT chunk_id, unnest(string_split_regex(lower(text), '{WS}+')) AS t FROM chunks),
+dl AS (SELECT chunk_id, count(*) FILTER (WHERE t <> '') AS dl FROM ctoks GROUP BY chunk_id),
+corpus AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
+dfs AS (SELECT t AS term, count(DISTINCT chunk_id) AS df FROM ctoks WHERE t IN (SELECT term FROM qt) GROUP BY t),
+idf AS (SELECT term, ln(1.0::DOUBLE + ((SELECT n FROM corpus) - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) AS idf FROM dfs),
+tf AS (SELECT chunk_id, t AS term, count(*) AS tf FROM ctoks
+       WHERE t <> '' AND chunk_id IN (SELECT chunk_id FROM hits) GROUP BY ALL),
+sc AS (SELECT h.query_id, h.chunk_id,
+              sum(idf.idf * tf.tf * 2.2::DOUBLE / (tf.tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl.dl / (SELECT avgdl FROM corpus)))) AS s
+       FROM hits h JOIN qt ON qt.query_id = h.query_id
+       JOIN tf ON tf.chunk_id = h.chunk_id AND tf.term = qt.term
+       JOIN idf ON idf.term = qt.term JOIN dl ON dl.chunk_id = h.chunk_id
+       GROUP BY ALL),
+r AS (SELECT h.query_id, h.chunk_id, h.rank AS knn_rank, sc.s,
+             row_number() OVER (PARTITION BY h.query_id ORDER BY sc.s IS NULL, round(sc.s, 9) DESC, h.rank) AS rerank_rank
+      FROM hits h LEFT JOIN sc ON sc.query_id = h.query_id AND sc.chunk_id = h.chunk_id)
+SELECT query_id, chunk_id, knn_rank, rerank_rank, round(s, 6) AS rerank_score FROM r WHERE rerank_rank <= 5"""
+
+# ----------------------------------------------------------------------------- metrics
+
+_CALLS = """
+c AS (SELECT event_id, user_id, ts, event_type AS stage, value AS elapsed_s,
+             CAST(json_extract_string(props, '$.k') AS BIGINT) AS bytes FROM events),
+a AS (SELECT stage, count(*) AS calls, sum(elapsed_s) AS total_time, CAST(coalesce(sum(bytes), 0) AS BIGINT) AS total_bytes
+      FROM c GROUP BY stage),
+m AS (SELECT stage, calls, round(total_time, 6) AS total_time, round(total_time / calls, 6) AS avg_time, total_bytes,
+             round(total_bytes / 1048576, 6) AS total_mb,
+             round(CASE WHEN total_time > 0 AND total_bytes > 0 THEN total_bytes / 1048576 / total_time ELSE 0 END, 6) AS mb_per_s
+      FROM a)"""
+
+ORACLE_SQL["stage_metrics"] = f"WITH {_CALLS}\nSELECT stage, calls, total_time, avg_time, total_bytes, total_mb FROM m"
+ORACLE_SQL["stage_throughput"] = f"WITH {_CALLS}\nSELECT stage, mb_per_s FROM m"
+
+ORACLE_SQL["stage_running_totals"] = f"""WITH {_CALLS},
+r AS (SELECT event_id AS call_id, stage, count(*) OVER w AS running_calls, sum(elapsed_s) OVER w AS rt,
+             CAST(sum(bytes) OVER w AS BIGINT) AS running_bytes
+      FROM c WINDOW w AS (PARTITION BY stage ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT call_id, stage, running_calls, round(rt, 6) AS running_time, running_bytes,
+       round(CASE WHEN rt > 0 AND running_bytes > 0 THEN running_bytes / 1048576 / rt ELSE 0 END, 6) AS running_mb_per_s
+FROM r"""
+
+ORACLE_SQL["step_elapsed"] = """
+SELECT event_id AS call_id, user_id, event_type AS stage, lag(event_type) OVER w AS prev_stage,
+       round((epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6, 6) AS since_prev_s
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"""
+
+ORACLE_SQL["bytes_lookup"] = f"""WITH {_CALLS},
+o AS (SELECT event_id AS call_id, user_id, stage, CASE WHEN stage = 'purchase' THEN bytes END AS own FROM c),
+l AS (SELECT user_id, max(bytes) AS size FROM c WHERE stage = 'view' GROUP BY user_id)
+SELECT call_id, o.user_id, stage, CAST(coalesce(own, l.size, 0) AS BIGINT) AS bytes FROM o LEFT JOIN l ON l.user_id = o.user_id"""
+
+
+def _fixed2(x: str) -> str:
+    cents = f"CAST(floor(({x}) * 100 + 0.5) AS BIGINT)"
+    return (f"(CASE WHEN {cents} < 0 THEN '-' ELSE '' END || CAST(abs({cents}) // 100 AS VARCHAR) || '.' || "
+            f"lpad(CAST(abs({cents}) % 100 AS VARCHAR), 2, '0'))")
+
+
+ORACLE_SQL["metrics_report"] = f"""WITH {_CALLS}
+SELECT stage, calls, {_fixed2('total_time')} AS time_s, {_fixed2('avg_time')} AS avg_time_s,
+       {_fixed2('total_bytes / 1048576')} AS mb, {_fixed2('mb_per_s')} AS mb_per_s
+FROM m"""
