@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 from corpus_search.functions import paths as P
 from corpus_search.functions import text as T
 from corpus_search.functions import vectors as V
-from corpus_search.operators import chunking, context, dedup, embedding, ivf, knn, metrics, prompts, rerank, stats, training
+from corpus_search.operators import chunking, context, dedup, embedding, images, ivf, knn, metrics, prompts, rerank, stats, training
 from corpus_search.plans import retrieval
 from corpus_search.session import scratch_path, table
-from corpus_search.sources import documents
+from corpus_search.sinks import collections, objects
+from corpus_search.sources import documents, files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -477,3 +478,136 @@ def q_write_metrics_csv(spark: SparkSession, sf: str) -> DataFrame:
     metrics.write_report_csv(report, path)
     metrics.write_report_csv(report, path)
     return spark.read.option("header", True).csv(path)
+
+
+# ----------------------------------------------------------------------------- files and collections
+
+
+def _text_tree(spark: SparkSession, sf: str) -> str:
+    """Documents written as <source>/<doc_id>.txt files in a fresh shared scratch folder."""
+    root = scratch_path(spark, "text-tree")
+    files.write_text_files(table(spark, sf, "documents"), root)
+    return root
+
+
+def _doc_id_from_path(c: str = "path") -> F.Column:
+    return F.regexp_extract(F.col(c), r"/([0-9]+)\.txt$", 1).cast("bigint")
+
+
+@register("list_objects")
+def q_list_objects(spark: SparkSession, sf: str) -> DataFrame:
+    """Recursive listing of the table folder (path, length, modification time)."""
+    return files.list_objects(spark, sf)
+
+
+@register("scan_binary")
+def q_scan_binary(spark: SparkSession, sf: str) -> DataFrame:
+    """Bytes and md5 of every object under the table folder."""
+    return files.scan_binary(spark, sf).drop("content")
+
+
+@register("scan_text")
+def q_scan_text(spark: SparkSession, sf: str) -> DataFrame:
+    """S3: documents written as text files, read back whole and stripped."""
+    t = files.scan_text(spark, _text_tree(spark, sf))
+    return t.select(_doc_id_from_path().alias("doc_id"), "text", "status")
+
+
+@register("replicate_objects")
+def q_replicate_objects(spark: SparkSession, sf: str) -> DataFrame:
+    """K3: copy a text tree to a second folder; one row per object with its byte count."""
+    src = _text_tree(spark, sf)
+    out = objects.replicate_objects(spark, src, scratch_path(spark, "replica"))
+    return out.select(_doc_id_from_path("target").alias("doc_id"), "bytes")
+
+
+def _collection_rows(spark: SparkSession, sf: str) -> DataFrame:
+    chunks = _chunks(spark, sf)
+    return embedding.embed_hashed(chunks, dims=embedding.HASH_DIMS, dtype="float", keep=["chunk_id", "doc_id", "source", "chunk_index", "text"])
+
+
+@register("append_collection")
+def q_append_collection(spark: SparkSession, sf: str) -> DataFrame:
+    """K1: append chunks + vectors twice; the second append adds nothing (anti-join on id)."""
+    path = scratch_path(spark, "collection")
+    rows = _collection_rows(spark, sf)
+    collections.append_collection(rows, path, embedding.HASH_DIMS)
+    collections.append_collection(rows, path, embedding.HASH_DIMS)
+    return spark.read.parquet(path).select("chunk_id", "doc_id", "chunk_index")
+
+
+@register("recreate_collection")
+def q_recreate_collection(spark: SparkSession, sf: str) -> DataFrame:
+    """K2: drop-and-recreate with the declared schema and width check (run twice)."""
+    path = scratch_path(spark, "collection")
+    rows = _collection_rows(spark, sf)
+    collections.recreate_collection(rows, path, embedding.HASH_DIMS)
+    collections.recreate_collection(rows, path, embedding.HASH_DIMS)
+    return spark.read.parquet(path).select("chunk_id", "doc_id", "chunk_index")
+
+
+@register("collection_count")
+def q_collection_count(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored collection row count."""
+    path = scratch_path(spark, "collection")
+    collections.append_collection(_collection_rows(spark, sf), path, embedding.HASH_DIMS)
+    return collections.collection_count(spark, path)
+
+
+def _image_tree(spark: SparkSession, sf: str) -> str:
+    root = scratch_path(spark, "images")
+    files.vectors_as_images(_vectors(spark, sf), root)
+    return root
+
+
+def _vec_id_from_name(c: str = "origin") -> F.Column:
+    return F.regexp_extract(F.col(c), r"/([0-9]+)\.[^/]*$", 1).cast("bigint")
+
+
+@register("scan_images")
+def q_scan_images(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector rendered as an 8x8 PNG and read back with the image source."""
+    imgs = files.scan_images(spark, _image_tree(spark, sf))
+    return imgs.select(
+        _vec_id_from_name("image.origin").alias("vec_id"),
+        F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("n_channels"),
+    )
+
+
+@register("image_labels")
+def q_image_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """P10: label parsed from the file name's second dot-part."""
+    labels = images.image_labels(files.scan_images(spark, _image_tree(spark, sf)))
+    return labels.select(_vec_id_from_name().alias("vec_id"), "label")
+
+
+@register("image_normalize")
+def q_image_normalize(spark: SparkSession, sf: str) -> DataFrame:
+    """resize to 224x224, RGB, scale and standardise; per-channel means and tensor size."""
+    norm = images.image_normalize(files.scan_images(spark, _image_tree(spark, sf)))
+    return norm.select(
+        _vec_id_from_name().alias("vec_id"),
+        F.round("mean_r", 6).alias("mean_r"), F.round("mean_g", 6).alias("mean_g"), F.round("mean_b", 6).alias("mean_b"),
+        F.size("pixels").cast("bigint").alias("n_values"),
+    )
+
+
+@register("save_checkpoints")
+def q_save_checkpoints(spark: SparkSession, sf: str) -> DataFrame:
+    """K5: checkpoints written every 2nd epoch during training, listed from the store."""
+    parts = training.split_batches(_vectors(spark, sf))
+    ckpt = scratch_path(spark, "checkpoints")
+    training.train_classifier(
+        parts.filter(F.col("split") == "train"), parts.filter(F.col("split") == "test"), n_classes=10, checkpoint_dir=ckpt
+    )
+    listed = files.list_objects(spark, ckpt)
+    return listed.select(F.regexp_extract("path", r"epoch=([0-9]+)", 1).cast("int").alias("epoch")).groupBy("epoch").agg(
+        F.count("*").cast("bigint").alias("n_files")
+    )
+
+
+@register("chunk_recursive")
+def q_chunk_recursive(spark: SparkSession, sf: str) -> DataFrame:
+    """Separator-aware recursive chunks (500/50) of every document."""
+    out = chunking.chunk_recursive(table(spark, sf, "documents"), size=500, overlap=50)
+    return out.withColumn("n_chars", T.n_chars("text"))

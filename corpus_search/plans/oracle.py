@@ -444,3 +444,20 @@ ORACLE_SQL["metrics_report"] = f"""WITH {_CALLS}
 SELECT stage, calls, {_fixed2('total_time')} AS time_s, {_fixed2('avg_time')} AS avg_time_s,
        {_fixed2('total_bytes / 1048576')} AS mb, {_fixed2('mb_per_s')} AS mb_per_s
 FROM m"""
+
+
+# ----------------------------------------------------------------------------- files and collections
+
+ORACLE_SQL["scan_text"] = f"""
+SELECT doc_id, {_strip('text')} AS text, CASE WHEN {_strip('text')} = '' THEN 'empty' ELSE 'ok' END AS status FROM documents"""
+
+ORACLE_SQL["replicate_objects"] = "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS bytes FROM documents"
+
+ORACLE_SQL["append_collection"] = ORACLE_SQL["chunk_ids"]
+ORACLE_SQL["recreate_collection"] = ORACLE_SQL["chunk_ids"]
+ORACLE_SQL["collection_count"] = f"WITH {_chunks()}\nSELECT count(*) AS n_rows FROM chunks"
+
+ORACLE_SQL["scan_images"] = """
+SELECT vec_id, CAST(8 AS INTEGER) AS height, CAST(8 AS INTEGER) AS width, CAST(3 AS INTEGER) AS n_channels FROM embeddings"""
+
+ORACLE_SQL["image_labels"] = "SELECT vec_id, label FROM embeddings"
