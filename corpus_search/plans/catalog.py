@@ -21,6 +21,7 @@ from corpus_search.plans import retrieval
 from corpus_search.session import scratch_path, table
 from corpus_search.sinks import collections, objects
 from corpus_search.sources import documents, files
+from corpus_search.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -611,3 +612,52 @@ def q_chunk_recursive(spark: SparkSession, sf: str) -> DataFrame:
     """Separator-aware recursive chunks (500/50) of every document."""
     out = chunking.chunk_recursive(table(spark, sf, "documents"), size=500, overlap=50)
     return out.withColumn("n_chars", T.n_chars("text"))
+
+
+# ----------------------------------------------------------------------------- streaming
+
+
+@register("stream_ingest")
+def q_stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """Incremental file ingest (200 files per micro-batch), content md5, duplicates dropped;
+    a second run over the same folder adds nothing."""
+    root = _text_tree(spark, sf)
+    sink, ckpt = scratch_path(spark, "ingest-sink"), scratch_path(spark, "ingest-ckpt")
+    jobs.stream_ingest(spark, f"{root}/*/*.txt", sink, ckpt, max_files_per_trigger=200)
+    jobs.stream_ingest(spark, f"{root}/*/*.txt", sink, ckpt, max_files_per_trigger=200)
+    return spark.read.parquet(sink).select("md5", "length")
+
+
+@register("stream_index")
+def q_stream_index(spark: SparkSession, sf: str) -> DataFrame:
+    """R2: per micro-batch chunk + embed + cell assignment, written under batch_id (idempotent)."""
+    root = _text_tree(spark, sf)
+    cents = ivf.sample_centroids(_collection_rows(spark, sf), IVF_NLIST, id_col="chunk_id")
+    coll, ckpt = scratch_path(spark, "stream-collection"), scratch_path(spark, "index-ckpt")
+    jobs.stream_index(spark, f"{root}/*/*.txt", coll, ckpt, cents, max_files_per_trigger=250)
+    return spark.read.parquet(coll).select("chunk_id", "doc_id", "chunk_index")
+
+
+@register("stream_stage_metrics")
+def q_stream_stage_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Per-stage metrics maintained by a streaming aggregation over 4 event files."""
+    events = table(spark, sf, "events")
+    src = scratch_path(spark, "events-stream")
+    events.repartition(4).write.parquet(src)
+    sink, ckpt = scratch_path(spark, "stage-sink"), scratch_path(spark, "stage-ckpt")
+    jobs.stream_stage_metrics(spark, src, sink, ckpt, events.schema)
+    return jobs.stage_metrics_from_totals(spark.read.parquet(sink))
+
+
+@register("stream_history")
+def q_stream_history(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns arrive one turn index per file; per-conversation state yields the history
+    before each turn (equals history_before_turn)."""
+    conv = _conv(spark, sf)
+    src = scratch_path(spark, "turns-stream")
+    n_turns = conv.agg(F.max("turn")).collect()[0][0]
+    for t in range(int(n_turns) + 1):  # one file per turn index, written in turn order
+        conv.filter(F.col("turn") == t).coalesce(1).write.mode("append").parquet(src)
+    sink, ckpt = scratch_path(spark, "history-sink"), scratch_path(spark, "history-ckpt")
+    jobs.stream_history(spark, src, sink, ckpt, conv.schema)
+    return spark.read.parquet(sink)
