@@ -27,8 +27,7 @@ def is_blank(c) -> Column:
 
 def tokens(c) -> Column:
     """Lower-cased whitespace tokens, empty strings removed."""
-    parts = F.split(F.lower(_col(c)), WHITESPACE_RUN)
-    return F.filter(parts, lambda t: t != F.lit(""))
+    return F.array_remove(F.split(F.lower(_col(c)), WHITESPACE_RUN), "")
 
 
 def collapse_whitespace(c) -> Column:

@@ -57,12 +57,15 @@ def chunk_fixed(
     step = size - overlap
     txt = F.col(text_col)
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(txt) - F.lit(overlap)), F.lit(step))
-    exploded = df.select(*keep, txt.alias("_t"), F.posexplode(starts).alias("chunk_index", "start"))
+    # build the chunk strings inside the row, then explode them: the generated rows carry
+    # only their own chunk, never another copy of the whole document
+    pieces = F.transform(starts, lambda s: F.struct(s.cast("bigint").alias("start"), F.substring(txt, s, F.lit(size)).alias("text")))
+    exploded = df.select(*keep, F.posexplode(pieces).alias("chunk_index", "p"))
     return exploded.select(
         *keep,
         F.col("chunk_index").cast("int").alias("chunk_index"),
-        F.col("start").cast("bigint").alias("start"),
-        F.substring(F.col("_t"), F.col("start"), F.lit(size)).alias("text"),
+        F.col("p.start").alias("start"),
+        F.col("p.text").alias("text"),
     ).filter(F.length("text") > 0)
 
 
@@ -78,18 +81,21 @@ def chunk_tokens(
     step = size - overlap
     stripped = T.strip(F.col(text_col))
     toks = F.when(stripped == "", F.array().cast("array<string>")).otherwise(F.split(stripped, T.WHITESPACE_RUN))
-    base = df.select(*keep, toks.alias("_tok"))
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_tok") - F.lit(overlap)), F.lit(step))
+    tok = F.col("_tok")
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(tok) - F.lit(overlap)), F.lit(step))
+    pieces = F.transform(
+        starts,
+        lambda s: F.struct(
+            s.cast("bigint").alias("start_token"),
+            F.array_join(F.slice(tok, s, F.lit(size)), " ").alias("text"),
+            F.size(F.slice(tok, s, F.lit(size))).cast("bigint").alias("n_tokens"),
+        ),
+    )
     return (
-        base.filter(F.size("_tok") > 0)
-        .select(*keep, "_tok", F.posexplode(starts).alias("chunk_index", "start"))
-        .select(
-            *keep,
-            F.col("chunk_index").cast("int").alias("chunk_index"),
-            F.col("start").cast("bigint").alias("start_token"),
-            F.array_join(F.slice("_tok", F.col("start"), F.lit(size)), " ").alias("text"),
-            F.size(F.slice("_tok", F.col("start"), F.lit(size))).cast("bigint").alias("n_tokens"),
-        )
+        df.select(*keep, toks.alias("_tok"))
+        .filter(F.size("_tok") > 0)
+        .select(*keep, F.posexplode(pieces).alias("chunk_index", "p"))
+        .select(*keep, F.col("chunk_index").cast("int").alias("chunk_index"), "p.start_token", "p.text", "p.n_tokens")
     )
 
 
@@ -109,16 +115,12 @@ def length_guard(
     txt = F.col(text_col)
     n = F.length(txt)
     n_pieces = F.when(n > limit, F.ceil(n / F.lit(slice_size)).cast("int")).otherwise(F.lit(1))
-    starts = F.transform(F.sequence(F.lit(0), n_pieces - 1), lambda i: i * F.lit(slice_size) + F.lit(1))
-    return (
-        df.select(*keep, txt.alias("_t"), n.alias("_n"), F.posexplode(starts).alias("piece", "_s"))
-        .select(
-            *keep,
-            F.col("piece").cast("int").alias("piece"),
-            F.when(F.col("_n") > limit, F.substring("_t", F.col("_s"), F.lit(slice_size)))
-            .otherwise(F.col("_t"))
-            .alias("text"),
-        )
+    pieces = F.transform(
+        F.sequence(F.lit(0), n_pieces - 1),
+        lambda i: F.when(n > limit, F.substring(txt, i * F.lit(slice_size) + F.lit(1), F.lit(slice_size))).otherwise(txt),
+    )
+    return df.select(*keep, F.posexplode(pieces).alias("piece", "text")).select(
+        *keep, F.col("piece").cast("int").alias("piece"), "text"
     )
 
 

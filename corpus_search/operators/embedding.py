@@ -2,8 +2,9 @@
 
 The built-in embedder is a deterministic hashed bag of words: each lower-cased whitespace
 token goes to bucket ``int(md5(token)[:7], 16) mod dims``; the bucket counts are L2-normalised.
-The token -> bucket step is native (``transform`` + ``md5``); only the int bucket arrays cross
-to Python, where one vectorised ``bincount`` per Arrow batch builds the dense vectors.
+Per Arrow batch, Arrow C++ lower-cases and splits the text, tokens are dictionary-encoded so
+md5 runs once per distinct token (cached per worker), and one ``bincount`` builds the counts.
+``hash_buckets`` is the same bucket rule as a native column expression.
 
 User models plug in through :func:`embed_with`, which hands Arrow batches of text to a
 callable returning a ``(rows, dims)`` matrix (the shape of a remote/batched embedding model).
@@ -13,8 +14,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,6 +56,39 @@ def _normalise(mat: np.ndarray) -> np.ndarray:
     return np.divide(mat, norms[:, None], out=np.zeros_like(mat), where=norms[:, None] > 0)
 
 
+_BUCKET_CACHE: dict[tuple[str, int], int] = {}  # per Python worker, survives across batches
+_CACHE_LIMIT = 2_000_000
+
+
+def _token_buckets(tokens: list[str], dims: int) -> np.ndarray:
+    out = np.empty(len(tokens), dtype=np.int64)
+    for i, t in enumerate(tokens):
+        b = _BUCKET_CACHE.get((t, dims))
+        if b is None:
+            b = int(hashlib.md5(t.encode("utf-8")).hexdigest()[:7], 16) % dims
+            if len(_BUCKET_CACHE) < _CACHE_LIMIT:
+                _BUCKET_CACHE[(t, dims)] = b
+        out[i] = b
+    return out
+
+
+def hashed_counts(texts: pa.Array, dims: int) -> np.ndarray:
+    """(rows, dims) bucket counts of lower-cased whitespace tokens, vectorised with Arrow:
+    split and lower-case in C++, md5 only once per distinct token of the batch."""
+    n = len(texts)
+    # ASCII whitespace split (space, \t, \n, \v, \f, \r), the same class as T.WHITESPACE_RUN
+    lists = pc.ascii_split_whitespace(pc.utf8_lower(texts.fill_null("")))
+    lens = np.asarray(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    rows = np.repeat(np.arange(n, dtype=np.int64), lens)
+    flat = pc.list_flatten(lists)
+    keep = np.asarray(pc.not_equal(flat, "").to_numpy(zero_copy_only=False), dtype=bool)
+    enc = pc.dictionary_encode(flat).combine_chunks() if isinstance(flat, pa.ChunkedArray) else pc.dictionary_encode(flat)
+    idx = np.asarray(enc.indices.to_numpy(zero_copy_only=False), dtype=np.int64)
+    vocab_b = _token_buckets(enc.dictionary.to_pylist(), dims)
+    b = vocab_b[idx][keep]
+    return np.bincount(rows[keep] * dims + b, minlength=n * dims).astype(np.float64).reshape(n, dims)
+
+
 def embed_hashed(
     df: DataFrame,
     text_col: str = "text",
@@ -60,20 +97,19 @@ def embed_hashed(
     dtype: str = "double",
     keep: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Add an L2-normalised hashed bag-of-words vector ``out_col`` (array<dtype>)."""
+    """Add an L2-normalised hashed bag-of-words vector ``out_col`` (array<dtype>).
+
+    Runs in the input's partitions (no shuffle). Tokenisation is Arrow C++ per batch, so the
+    JVM -> Python hop carries the text once and the vector once.
+    """
     keep = list(keep) if keep is not None else [c for c in df.columns if c != out_col]
     value_type = pa.float64() if dtype == "double" else pa.float32()
-    staged = df.select(*keep, hash_buckets(F.col(text_col), dims).alias("_b"))
+    staged = df.select(*keep, F.col(text_col).alias("_txt"))
     in_fields = [staged.schema[c] for c in keep]
 
     def run(batches):
         for rb in batches:
-            b = rb.column("_b")
-            n = rb.num_rows
-            lens = np.diff(np.asarray(b.offsets.to_numpy(), dtype=np.int64))
-            rows = np.repeat(np.arange(n, dtype=np.int64), lens)
-            vals = np.asarray(b.flatten().to_numpy(zero_copy_only=False), dtype=np.int64)
-            counts = np.bincount(rows * dims + vals, minlength=n * dims).astype(np.float64).reshape(n, dims)
+            counts = hashed_counts(rb.column("_txt"), dims)
             vec = _matrix_to_list(_normalise(counts), value_type)
             cols = [rb.column(c) for c in keep] + [vec]
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, out_col])

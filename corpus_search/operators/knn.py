@@ -202,7 +202,7 @@ def knn(
         raise ValueError("k must be positive")
     q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("qv")).filter(F.col("qv").isNotNull())
     v = vectors.select(F.col(vec_id).alias("vec_id"), F.col(vec_col).alias("vv")).filter(F.col("vv").isNotNull())
-    dims = vector_width(v, "vv")
+    dims = vector_width(q, "qv")  # probe the (small) query side, never the vector pipeline
     n_q = q.count()
     if strategy == "auto":
         strategy = "broadcast" if n_q * dims * 8 <= max_broadcast_bytes else "blocked"

@@ -77,5 +77,37 @@ def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.parquet(path)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+# Inputs at or below this size that arrive in fewer files than the cluster has cores are
+# spread by a hash of their key: a single-row-group file is otherwise read by one task.
+SMALL_INPUT_BYTES = 256 * 1024 * 1024
+
+
+def _input_bytes(files: list[str]) -> int:
+    import pyarrow.fs as pafs
+
+    fs, _ = pafs.FileSystem.from_uri(files[0])
+    infos = fs.get_file_info([pafs.FileSystem.from_uri(f)[1] for f in files])
+    return sum(max(0, i.size or 0) for i in infos)
+
+
+def spread_small(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Hash-repartition a small, few-file input over all cores; large inputs are returned as is.
+
+    Large inputs already come in many splits (files / row groups), so the guard keeps the plan
+    shuffle-free at scale while local single-file tables still use every core.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if not files or len(files) >= n:
+        return df
+    try:
+        if _input_bytes(files) > SMALL_INPUT_BYTES:
+            return df
+    except Exception:  # noqa: BLE001 - unknown size: leave the plan alone
+        return df
+    return df.repartition(n, key or df.columns[0])
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spread_small(df) if spread else df
