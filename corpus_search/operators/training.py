@@ -47,8 +47,7 @@ def split_batches(df: DataFrame, id_col: str = "vec_id", folds: int = FOLDS, bat
 def nearest_centroid(train: DataFrame, test: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """Predicted label of each test row = label of the nearest class mean (ties: smaller label)."""
     means = mean_vectors(train, label_col, vec_col).select(F.col(label_col).cast("bigint").alias("cell_id"), F.col("mean").alias("centroid"))
-    pred = ivf.nearest(test, means, 1, id_col, vec_col).select(id_col, F.col("cell_id").alias("prediction"))
-    return test.join(pred, id_col)
+    return ivf.assign_cells(test, means, vec_col, out_col="prediction")
 
 
 def accuracy(pred: DataFrame, label_col: str = "label", pred_col: str = "prediction") -> DataFrame:
