@@ -18,7 +18,7 @@ from corpus_search.functions import text as T
 from corpus_search.functions import vectors as V
 from corpus_search.operators import chunking, context, dedup, embedding, images, ivf, knn, metrics, prompts, rerank, stats, training
 from corpus_search.plans import retrieval
-from corpus_search.session import scratch_path, table
+from corpus_search.session import cut_lineage, scratch_path, table
 from corpus_search.sinks import collections, objects
 from corpus_search.sources import documents, files
 from corpus_search.streaming import jobs
@@ -411,6 +411,7 @@ def q_rerank_bm25(spark: SparkSession, sf: str) -> DataFrame:
     """50 kNN candidates per question -> BM25 rerank -> top 10 -> top 5."""
     docs, bench = table(spark, sf, "documents"), table(spark, sf, "benchmark")
     hits, chunks = retrieval.search_chunks(docs, bench, k=rerank.CANDIDATES)
+    hits = cut_lineage(hits, "rerank-candidates")  # questions x 50 rows, read three times below
     scores = rerank.bm25_scores(hits, retrieval.question_table(bench), chunks)
     out = rerank.rerank(hits, scores)
     return out.select(

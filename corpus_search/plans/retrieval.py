@@ -45,7 +45,8 @@ def search_chunks(
 
 def knn_with_text(documents: DataFrame, questions: DataFrame, k: int = 5, **kw) -> DataFrame:
     hits, chunks = search_chunks(documents, questions, k, **kw)
-    joined = context.attach_text(hits, chunks, id_col="vec_id", cols=("doc_id", "chunk_index", "text"))
+    n_q = question_table(questions).count()
+    joined = context.attach_text(hits, chunks, id_col="vec_id", cols=("doc_id", "chunk_index", "text"), max_hits=n_q * k)
     return joined.select(
         "query_id",
         "rank",
