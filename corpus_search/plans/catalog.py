@@ -662,3 +662,33 @@ def q_stream_history(spark: SparkSession, sf: str) -> DataFrame:
     sink, ckpt = scratch_path(spark, "history-sink"), scratch_path(spark, "history-ckpt")
     jobs.stream_history(spark, src, sink, ckpt, conv.schema)
     return spark.read.parquet(sink)
+
+
+# ----------------------------------------------------------------------------- more operator variants
+
+
+@register("epoch_loss")
+def q_epoch_loss(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean cross-entropy per epoch of the softmax classifier (10 epochs, chained)."""
+    parts = training.split_batches(_vectors(spark, sf))
+    _, epochs = training.train_classifier(
+        parts.filter(F.col("split") == "train"), parts.filter(F.col("split") == "test"), n_classes=10
+    )
+    return epochs.select("epoch", "loss")
+
+
+@register("dedup_keep_first")
+def q_dedup_keep_first(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that survive exact deduplication (smallest id per content hash)."""
+    return dedup.keep_first(table(spark, sf, "documents")).select("doc_id", "md5")
+
+
+@register("ivf_kmeans_recall")
+def q_ivf_kmeans_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """KMeans centroids (16 cells, Spark ML) and recall@5 of a 4-probe search."""
+    v = _vectors(spark, sf)
+    q = _self_queries(v)
+    cents = ivf.kmeans_centroids(v, IVF_NLIST, seed=42)
+    cells = ivf.assign_cells(v, cents)
+    hits = ivf.knn_ivf(q, cells, cents, 5, IVF_NPROBE)
+    return ivf.recall_at_k(hits, knn.knn(q, v, 5), 5).withColumn("nprobe", F.lit(IVF_NPROBE).cast("bigint"))

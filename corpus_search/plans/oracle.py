@@ -469,3 +469,7 @@ ORACLE_SQL["stream_ingest"] = "SELECT DISTINCT md5(text) AS md5, CAST(strlen(tex
 ORACLE_SQL["stream_index"] = ORACLE_SQL["chunk_ids"]
 ORACLE_SQL["stream_stage_metrics"] = ORACLE_SQL["stage_metrics"]
 ORACLE_SQL["stream_history"] = ORACLE_SQL["history_before_turn"]
+
+ORACLE_SQL["dedup_keep_first"] = """
+SELECT doc_id, md5(text) AS md5 FROM documents d
+WHERE doc_id = (SELECT min(doc_id) FROM documents x WHERE md5(x.text) = md5(d.text))"""
