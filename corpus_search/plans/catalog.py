@@ -357,8 +357,16 @@ def q_build_prompts(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("request_payloads")
 def q_request_payloads(spark: SparkSession, sf: str) -> DataFrame:
-    """chat request JSON per prompt (rows-only: JSON key order is engine specific)."""
-    return prompts.request_payloads(_prompt_rows(spark, sf), model="generator")
+    """chat request JSON per prompt, checked by reading its fields back."""
+    p = F.col("payload")
+    return prompts.request_payloads(_prompt_rows(spark, sf), model="generator").select(
+        "query_id",
+        F.get_json_object(p, "$.model").alias("model"),
+        F.get_json_object(p, "$.messages[0].role").alias("first_role"),
+        F.get_json_object(p, "$.messages[1].content").alias("user"),
+        F.get_json_object(p, "$.temperature").cast("double").alias("temperature"),
+        F.get_json_object(p, "$.max_tokens").cast("bigint").alias("max_tokens"),
+    )
 
 
 @register("answer_prompts")

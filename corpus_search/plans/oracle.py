@@ -473,3 +473,29 @@ ORACLE_SQL["stream_history"] = ORACLE_SQL["history_before_turn"]
 ORACLE_SQL["dedup_keep_first"] = """
 SELECT doc_id, md5(text) AS md5 FROM documents d
 WHERE doc_id = (SELECT min(doc_id) FROM documents x WHERE md5(x.text) = md5(d.text))"""
+
+_PROMPTS = _flagship_hits() + f""",{_ctx_from_hits()},{_PAIRS},
+hist AS (SELECT conv_id AS query_id, string_agg(pair, ' ' ORDER BY turn) AS history FROM pairs GROUP BY conv_id),
+prompts AS (
+  SELECT q.query_id,
+         'User Question: ' || q.question || chr(10) || 'Relevant Context: #### ' || coalesce(c.context, '') || ' ####'
+         || chr(10) || 'Chat History: @@@@ ' || coalesce(h.history, '') || ' @@@@.' AS "user"
+  FROM questions q LEFT JOIN ctx c ON c.query_id = q.query_id LEFT JOIN hist h ON h.query_id = q.query_id)"""
+
+ORACLE_SQL["request_payloads"] = _PROMPTS + """
+SELECT query_id, 'generator' AS model, 'system' AS first_role, "user", 0.0::DOUBLE AS temperature, CAST(1024 AS BIGINT) AS max_tokens
+FROM prompts"""
+
+ORACLE_SQL["answer_prompts"] = _PROMPTS + f""",
+ex AS (SELECT query_id,
+              {_strip("CASE WHEN len(string_split(\"user\", '####')) >= 3 THEN string_split(\"user\", '####')[2] ELSE '' END")} AS ctx
+       FROM prompts),
+fs AS (SELECT query_id, {_strip("string_split(ctx, '.')[1]")} AS first FROM ex)
+SELECT query_id, CASE WHEN first = '' THEN 'I don''t know based on the provided context.' ELSE first || '.' END AS answer,
+       'ok' AS status
+FROM fs"""
+
+ORACLE_SQL["write_metrics_csv"] = f"""WITH {_CALLS},
+r AS (SELECT stage, CAST(calls AS VARCHAR) AS calls, {_fixed2('total_time')} AS time_s, {_fixed2('avg_time')} AS avg_time_s,
+             {_fixed2('total_bytes / 1048576')} AS mb, {_fixed2('mb_per_s')} AS mb_per_s FROM m)
+SELECT * FROM r UNION ALL SELECT * FROM r"""

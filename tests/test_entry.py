@@ -15,7 +15,7 @@ def test_oracles_cover_registered_queries():
     assert set(sql) <= set(qs)
     rows_only = set(qs) - set(sql)
     assert rows_only == {
-        "train_classifier", "request_payloads", "answer_prompts", "write_metrics_csv", "list_objects",
+        "train_classifier", "list_objects",
         "scan_binary", "image_normalize", "save_checkpoints", "chunk_recursive", "epoch_loss", "ivf_kmeans_recall",
     }
 
