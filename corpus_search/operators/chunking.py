@@ -79,23 +79,22 @@ def chunk_tokens(
     """Windows of ``size`` whitespace tokens every ``size - overlap`` tokens, joined by a space."""
     _check(size, overlap)
     step = size - overlap
-    stripped = T.strip(F.col(text_col))
-    toks = F.when(stripped == "", F.array().cast("array<string>")).otherwise(F.split(stripped, T.WHITESPACE_RUN))
+    # one split; removing '' drops the empty pieces a leading/trailing whitespace run leaves
+    toks = F.array_remove(F.split(F.col(text_col), T.WHITESPACE_RUN), "")
     tok = F.col("_tok")
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(tok) - F.lit(overlap)), F.lit(step))
-    pieces = F.transform(
-        starts,
-        lambda s: F.struct(
-            s.cast("bigint").alias("start_token"),
-            F.array_join(F.slice(tok, s, F.lit(size)), " ").alias("text"),
-            F.size(F.slice(tok, s, F.lit(size))).cast("bigint").alias("n_tokens"),
-        ),
-    )
+    pieces = F.transform(starts, lambda s: F.slice(tok, s, F.lit(size)))
     return (
         df.select(*keep, toks.alias("_tok"))
-        .filter(F.size("_tok") > 0)
         .select(*keep, F.posexplode(pieces).alias("chunk_index", "p"))
-        .select(*keep, F.col("chunk_index").cast("int").alias("chunk_index"), "p.start_token", "p.text", "p.n_tokens")
+        .filter(F.size("p") > 0)
+        .select(
+            *keep,
+            F.col("chunk_index").cast("int").alias("chunk_index"),
+            (F.col("chunk_index") * F.lit(step) + F.lit(1)).cast("bigint").alias("start_token"),
+            F.array_join("p", " ").alias("text"),
+            F.size("p").cast("bigint").alias("n_tokens"),
+        )
     )
 
 
