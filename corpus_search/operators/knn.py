@@ -128,9 +128,16 @@ def topk_block(metric: str, k: int, qids: np.ndarray, Q: np.ndarray, vids: np.nd
     return out_q, out_v, out_d, out_r
 
 
+def empty_hits() -> pd.DataFrame:
+    """Typed empty result (object ids convert to any Spark id type, including strings)."""
+    return pd.DataFrame(
+        {"query_id": pd.Series([], dtype=object), "vec_id": pd.Series([], dtype=object), "distance": pd.Series([], dtype="float64")}
+    )
+
+
 def _merge(metric_k: int, q_parts, v_parts, d_parts) -> pd.DataFrame:
     if not q_parts:
-        return pd.DataFrame({"query_id": [], "vec_id": [], "distance": []})
+        return empty_hits()
     frame = pd.DataFrame(
         {
             "query_id": np.concatenate(q_parts),
@@ -263,7 +270,7 @@ def _blocked_partial(
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "distance": []})
+            return empty_hits()
         Q = np.stack(left["qv"].to_numpy()).astype(np.float64)
         X = np.stack(right["vv"].to_numpy()).astype(np.float64)
         a, b, c, _ = topk_block(metric, k, left["query_id"].to_numpy(dtype=object), Q, right["vec_id"].to_numpy(dtype=object), X)

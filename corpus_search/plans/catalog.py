@@ -700,3 +700,27 @@ def q_ivf_kmeans_recall(spark: SparkSession, sf: str) -> DataFrame:
     cells = ivf.assign_cells(v, cents)
     hits = ivf.knn_ivf(q, cells, cents, 5, IVF_NPROBE)
     return ivf.recall_at_k(hits, knn.knn(q, v, 5), 5).withColumn("nprobe", F.lit(IVF_NPROBE).cast("bigint"))
+
+
+@register("stream_window_metrics")
+def q_stream_window_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """R3 (event time): daily per-stage metrics with a 1-hour watermark (update mode). Events
+    arrive as 4 files in time order; the latest update of every window is its value."""
+    events = table(spark, sf, "events")
+    src = scratch_path(spark, "events-by-time")
+    ts = F.col("ts").cast("timestamp")
+    bounds = events.select(F.percentile_approx(F.unix_micros(ts), [0.25, 0.5, 0.75], 10000).alias("q")).collect()[0]["q"]
+    edges = [None, *bounds, None]
+    for lo, hi in zip(edges[:-1], edges[1:]):  # 4 files written in time order
+        part = events
+        if lo is not None:
+            part = part.filter(F.unix_micros(ts) > F.lit(lo))
+        if hi is not None:
+            part = part.filter(F.unix_micros(ts) <= F.lit(hi))
+        part.coalesce(1).write.mode("append").parquet(src)
+    sink, ckpt = scratch_path(spark, "window-sink"), scratch_path(spark, "window-ckpt")
+    jobs.stream_window_metrics(spark, src, sink, ckpt, events.schema)
+    out = jobs.latest_windows(spark.read.parquet(sink))
+    return out.select(
+        F.col("window_start").cast("timestamp_ntz").alias("window_start"), "stage", "calls", F.round("total_time", 6).alias("total_time")
+    )

@@ -499,3 +499,8 @@ ORACLE_SQL["write_metrics_csv"] = f"""WITH {_CALLS},
 r AS (SELECT stage, CAST(calls AS VARCHAR) AS calls, {_fixed2('total_time')} AS time_s, {_fixed2('avg_time')} AS avg_time_s,
              {_fixed2('total_bytes / 1048576')} AS mb, {_fixed2('mb_per_s')} AS mb_per_s FROM m)
 SELECT * FROM r UNION ALL SELECT * FROM r"""
+
+ORACLE_SQL["stream_window_metrics"] = """
+WITH w AS (SELECT date_trunc('day', ts) AS window_start, event_type AS stage, value FROM events)
+SELECT window_start, stage, count(*) AS calls, round(sum(value), 6) AS total_time
+FROM w GROUP BY window_start, stage"""

@@ -102,3 +102,29 @@ def test_plan_has_window_group_limit_and_no_cartesian(spark):
     plan = knn.knn(q, v, 3)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert "WindowGroupLimit" in plan or "Window" in plan
+
+
+def test_string_ids_blocked_equals_broadcast(spark):
+    rng = np.random.default_rng(11)
+    rows = [(f"c{i:04d}", rng.normal(size=5).tolist()) for i in range(120)]
+    rows.append(("c9999", rows[3][1]))  # duplicate vector, larger id
+    v = spark.createDataFrame(rows, "chunk_id string, embedding array<double>")
+    q = spark.createDataFrame([(i, rng.normal(size=5).tolist()) for i in range(9)], "query_id long, embedding array<double>")
+    a = _hits(knn.knn(q, v, 4, vec_id="chunk_id", strategy="broadcast"))
+    b = _hits(knn.knn(q, v, 4, vec_id="chunk_id", strategy="blocked", query_block=2, vector_block=30))
+    assert a == b
+
+
+def test_kmeans_centroids_and_auto_switch(spark):
+    rng = np.random.default_rng(2)
+    centers = np.array([[10.0, 0.0], [0.0, 10.0], [-10.0, 0.0]])
+    v = _vecs(spark, [(i, (centers[i % 3] + rng.normal(scale=0.1, size=2)).tolist()) for i in range(90)])
+    cents = ivf.kmeans_centroids(v, 3, seed=1)
+    got = sorted(tuple(np.round(r.centroid, 0)) for r in cents.collect())
+    assert got == sorted(tuple(c) for c in centers)
+    cells = ivf.assign_cells(v, cents)
+    per_cell = sorted(r["count"] for r in cells.groupBy("cell_id").count().collect())
+    assert per_cell == [30, 30, 30]
+    q = v.withColumnRenamed("vec_id", "query_id").limit(5)
+    assert {r.method for r in ivf.knn_auto(q, v, 3, threshold=1024).collect()} == {"exact"}
+    assert {r.method for r in ivf.knn_auto(q, v, 3, threshold=10, nlist=3, nprobe=3).collect()} == {"ivf"}

@@ -118,3 +118,24 @@ def test_collection_append_idempotent_and_width_check(spark, tmp):
         raise AssertionError("width check did not fire")
     except ValueError:
         pass
+
+
+def test_pluggable_embedder_and_hashed_embedding(spark):
+    import numpy as np
+
+    from corpus_search.operators import embedding
+
+    docs = spark.createDataFrame([(1, "Hello hello World"), (2, ""), (3, None)], "doc_id long, text string")
+
+    def model(texts):
+        return np.array([[len(t), t.count("l")] for t in texts], dtype=float)
+
+    got = {r.doc_id: list(r.embedding) for r in embedding.embed_with(docs, model, dims=2, keep=["doc_id"]).collect()}
+    assert got == {1: [17.0, 5.0], 2: [0.0, 0.0], 3: [0.0, 0.0]}
+    h = {r.doc_id: np.asarray(r.embedding) for r in embedding.embed_hashed(docs, dims=16, keep=["doc_id"]).collect()}
+    assert abs(np.linalg.norm(h[1]) - 1.0) < 1e-12
+    assert np.allclose(sorted(h[1][h[1] > 0] ** 2 * 5), [1.0, 4.0])
+    assert not h[2].any() and not h[3].any()
+    native = docs.select("doc_id", embedding.hash_buckets(F.col("text"), 16).alias("b")).collect()
+    b1 = [r.b for r in native if r.doc_id == 1][0]
+    assert sorted(set(b1)) == sorted(np.flatnonzero(h[1]).tolist())
