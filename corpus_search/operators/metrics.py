@@ -41,10 +41,20 @@ def throughput(total_bytes: Column, total_time: Column) -> Column:
 
 
 def stage_metrics(calls: DataFrame) -> DataFrame:
+    """Per stage: calls, total/avg time, bytes, MB, MB/s; when the calls carry ``memory_mb`` /
+    ``cpu_pct`` also the summed memory and the average CPU (sum / calls)."""
+    extra_aggs, extra_cols = [], []
+    if "memory_mb" in calls.columns:
+        extra_aggs.append(F.sum("memory_mb").alias("_mem"))
+        extra_cols.append(F.round("_mem", 6).alias("total_memory_mb"))
+    if "cpu_pct" in calls.columns:
+        extra_aggs.append(F.sum("cpu_pct").alias("_cpu"))
+        extra_cols.append(F.round(F.col("_cpu") / F.col("calls"), 6).alias("avg_cpu_pct"))
     agg = calls.groupBy("stage").agg(
         F.count("*").cast("bigint").alias("calls"),
         F.sum("elapsed_s").alias("total_time"),
         F.coalesce(F.sum("bytes"), F.lit(0)).cast("bigint").alias("total_bytes"),
+        *extra_aggs,
     )
     return agg.select(
         "stage",
@@ -54,6 +64,7 @@ def stage_metrics(calls: DataFrame) -> DataFrame:
         "total_bytes",
         F.round(F.col("total_bytes") / F.lit(MB), 6).alias("total_mb"),
         F.round(throughput(F.col("total_bytes"), F.col("total_time")), 6).alias("mb_per_s"),
+        *extra_cols,
     )
 
 

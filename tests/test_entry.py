@@ -27,3 +27,14 @@ def test_every_query_builds_on_smoke_data(spark):
             continue
         df = fn(spark, SF_SMALL)
         assert df.limit(1).count() >= 0, name
+
+
+def test_flagship_same_under_any_partitioning(spark):
+    from corpus_search.plans.catalog import QUERIES
+
+    out = []
+    for n in ("1", "8"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        out.append(sorted(map(tuple, QUERIES["retrieve_context"](spark, SF_SMALL).collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert out[0] == out[1]

@@ -56,3 +56,10 @@ def test_bytes_lookup(spark):
     listing = spark.createDataFrame([("k2", 7)], "key string, size long")
     got = {r.call_id: r.bytes for r in metrics.bytes_lookup(calls, listing, "key").collect()}
     assert got == {1: 5, 2: 7, 3: 0}
+
+
+def test_memory_and_cpu_when_recorded(spark):
+    calls = _calls(spark).withColumn("memory_mb", F.lit(2.0)).withColumn("cpu_pct", F.col("call_id").cast("double"))
+    got = {r.stage: (r.total_memory_mb, r.avg_cpu_pct) for r in metrics.stage_metrics(calls).collect()}
+    assert got["embed"] == (6.0, round((1 + 2 + 4) / 3, 6))
+    assert "total_memory_mb" not in metrics.stage_metrics(_calls(spark)).columns
