@@ -157,11 +157,18 @@ def _arrow(simple: str) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}[simple]
 
 
-def vector_width(df: DataFrame, col: str) -> int:
-    row = df.select(F.size(col).alias("w")).filter(F.col("w") >= 0).limit(1).collect()
-    if not row:
+def count_and_width(df: DataFrame, col: str) -> tuple[int, int]:
+    """Row count and vector width in one aggregation job (no early-terminated scans)."""
+    r = df.agg(F.count("*").alias("n"), F.max(F.size(col)).alias("w"), F.min(F.size(col)).alias("w0")).collect()[0]
+    if not r["n"] or r["w"] is None or r["w"] < 0:
         raise ValueError(f"no non-null vectors in column {col}")
-    return int(row[0]["w"])
+    if r["w0"] != r["w"]:
+        raise ValueError(f"vectors in {col} have different widths ({r['w0']}..{r['w']})")
+    return int(r["n"]), int(r["w"])
+
+
+def vector_width(df: DataFrame, col: str) -> int:
+    return count_and_width(df, col)[1]
 
 
 def _rank(partial: DataFrame, k: int) -> DataFrame:
@@ -209,8 +216,7 @@ def knn(
         raise ValueError("k must be positive")
     q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("qv")).filter(F.col("qv").isNotNull())
     v = vectors.select(F.col(vec_id).alias("vec_id"), F.col(vec_col).alias("vv")).filter(F.col("vv").isNotNull())
-    dims = vector_width(q, "qv")  # probe the (small) query side, never the vector pipeline
-    n_q = q.count()
+    n_q, dims = count_and_width(q, "qv")  # the (small) query side, never the vector pipeline
     if strategy == "auto":
         strategy = "broadcast" if n_q * dims * 8 <= max_broadcast_bytes else "blocked"
     if strategy == "broadcast":
