@@ -52,14 +52,12 @@ def distance(a, b, metric: str = "l2") -> Column:
 
 
 def mean_vectors(df: DataFrame, group_col: str, vec_col: str = "embedding", out: str = "mean") -> DataFrame:
-    """Element-wise mean vector per group (double). Partial aggregation per (group, position),
-    so the cost per group is bounded by the vector width, whatever the group's row count."""
-    per_pos = (
-        df.select(F.col(group_col), F.posexplode(vec_col).alias("pos", "x"))
-        .groupBy(group_col, "pos")
-        .agg(F.avg(F.col("x").cast("double")).alias("m"), F.count("*").alias("n"))
-    )
-    return per_pos.groupBy(group_col).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias(out),
-        F.max("n").cast("bigint").alias("n_rows"),
-    )
+    """Element-wise mean vector per group (double), with Spark ML's ``Summarizer`` (whole-vector
+    partial aggregation per task, so a group's cost is one vector add per row)."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    return df.groupBy(group_col).agg(
+        Summarizer.mean(array_to_vector(F.col(vec_col))).alias("_m"),
+        F.count("*").cast("bigint").alias("n_rows"),
+    ).select(group_col, vector_to_array("_m").alias(out), "n_rows")
