@@ -36,6 +36,7 @@ HEADLINE = [
     "step_elapsed",
     "history_before_turn",
     "classifier_accuracy",
+    "collection_count",
 ]
 
 
