@@ -538,11 +538,17 @@ def _collection_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("append_collection")
 def q_append_collection(spark: SparkSession, sf: str) -> DataFrame:
-    """K1: append chunks + vectors twice; the second append adds nothing (anti-join on id)."""
+    """K1: chunks + vectors + IVF cell appended twice, partitioned by cell; the second append
+    adds nothing (anti-join on id)."""
+    from pyspark.sql.types import LongType, StructField
+
     path = scratch_path(spark, "collection")
     rows = _collection_rows(spark, sf)
-    collections.append_collection(rows, path, embedding.HASH_DIMS)
-    collections.append_collection(rows, path, embedding.HASH_DIMS)
+    cents = ivf.sample_centroids(rows, IVF_NLIST, id_col="chunk_id")
+    cells = ivf.assign_cells(rows, cents)
+    schema = collections.collection_schema(embedding.HASH_DIMS, extra=[StructField("cell_id", LongType(), True)])
+    for _ in range(2):
+        collections.append_collection(cells, path, embedding.HASH_DIMS, schema=schema, partition_by="cell_id")
     return spark.read.parquet(path).select("chunk_id", "doc_id", "chunk_index")
 
 
