@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 # helpers use the same class so that every engine splits text identically.
 WHITESPACE = "[\\t\\n\\x0B\\f\\r ]"
 WHITESPACE_RUN = WHITESPACE + "+"
-PY_WHITESPACE_RUN = r"[\t\n\x0b\f\r ]+"
 
 
 def _col(c) -> Column:

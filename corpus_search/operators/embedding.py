@@ -36,15 +36,6 @@ def hash_buckets(text: Column, dims: int = HASH_DIMS) -> Column:
     )
 
 
-def _list_to_matrix(col: pa.Array, dims: int) -> np.ndarray:
-    """Arrow list<number> column with equal lengths -> (n, dims) float64 matrix."""
-    n = len(col)
-    flat = np.asarray(col.flatten().to_numpy(zero_copy_only=False), dtype=np.float64)
-    if flat.size != n * dims:
-        raise ValueError(f"vectors must all have width {dims}")
-    return flat.reshape(n, dims)
-
-
 def _matrix_to_list(mat: np.ndarray, value_type: pa.DataType) -> pa.Array:
     n, d = mat.shape
     offsets = pa.array(np.arange(0, (n + 1) * d, d, dtype=np.int32))

@@ -167,9 +167,6 @@ def count_and_width(df: DataFrame, col: str) -> tuple[int, int]:
     return int(r["n"]), int(r["w"])
 
 
-def vector_width(df: DataFrame, col: str) -> int:
-    return count_and_width(df, col)[1]
-
 
 def _rank(partial: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.round("distance", ROUND), F.col("vec_id"))
