@@ -730,3 +730,15 @@ def q_stream_window_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(
         F.col("window_start").cast("timestamp_ntz").alias("window_start"), "stage", "calls", F.round("total_time", 6).alias("total_time")
     )
+
+
+@register("knn_ivf_stored")
+def q_knn_ivf_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """The index written partitioned by cell (salted writers) and searched from
+    storage; the probe becomes a partition filter on cell_id."""
+    v = _vectors(spark, sf)
+    cents, cells = _ivf_cells(v)
+    path = scratch_path(spark, "ivf-index")
+    ivf.write_index(cells, path)
+    stored = spark.read.parquet(path)
+    return _hits_out(ivf.knn_ivf(_self_queries(v), stored, cents, 5, IVF_NPROBE))

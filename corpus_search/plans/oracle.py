@@ -504,3 +504,5 @@ ORACLE_SQL["stream_window_metrics"] = """
 WITH w AS (SELECT date_trunc('day', ts) AS window_start, event_type AS stage, value FROM events)
 SELECT window_start, stage, count(*) AS calls, round(sum(value), 6) AS total_time
 FROM w GROUP BY window_start, stage"""
+
+ORACLE_SQL["knn_ivf_stored"] = ORACLE_SQL["knn_ivf"]
