@@ -257,12 +257,22 @@ def q_ivf_recall(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
+MAX_BROADCAST_MEANS = 100_000
+
+
+def _label_means(v: DataFrame) -> DataFrame:
+    """Mean vector per label, materialised (one row per label) and broadcast when the label
+    count is bounded: joining on label would otherwise put a label holding a third of the
+    vectors on one task."""
+    means = cut_lineage(V.mean_vectors(v, "label").select("label", "mean"), "label-means")
+    return F.broadcast(means) if means.count() <= MAX_BROADCAST_MEANS else means
+
+
 @register("vector_distance")
 def q_vector_distance(spark: SparkSession, sf: str) -> DataFrame:
     """L2 (squared and root) from every vector to its label's mean vector."""
     v = _vectors(spark, sf)
-    means = V.mean_vectors(v, "label")
-    j = v.join(means.select("label", "mean"), "label")
+    j = v.join(_label_means(v), "label")
     return j.select(
         "vec_id", "label",
         F.round(V.l2_squared("embedding", "mean"), 6).alias("l2_squared"),
@@ -274,8 +284,7 @@ def q_vector_distance(spark: SparkSession, sf: str) -> DataFrame:
 def q_vector_similarity(spark: SparkSession, sf: str) -> DataFrame:
     """F8: cosine similarity and inner product with the label's mean vector."""
     v = _vectors(spark, sf)
-    means = V.mean_vectors(v, "label")
-    j = v.join(means.select("label", "mean"), "label")
+    j = v.join(_label_means(v), "label")
     return j.select(
         "vec_id", "label",
         F.round(V.cosine("embedding", "mean"), 6).alias("cosine"),
