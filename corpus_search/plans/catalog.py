@@ -8,6 +8,7 @@ where an engine-independent comparison needs it.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,7 @@ from corpus_search.functions import text as T
 from corpus_search.functions import vectors as V
 from corpus_search.operators import chunking, context, dedup, embedding, images, ivf, knn, metrics, prompts, rerank, stats, training
 from corpus_search.plans import retrieval
-from corpus_search.session import cut_lineage, scratch_path, table
+from corpus_search.session import cut_lineage, scratch_path, ship_package, table
 from corpus_search.sinks import collections, objects
 from corpus_search.sources import documents, files
 from corpus_search.streaming import jobs
@@ -31,7 +32,13 @@ def register(name: str):
     def deco(fn: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = fn
+
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            ship_package(spark)  # executor-side code must be importable in the workers
+            return fn(spark, sf)
+
+        QUERIES[name] = run
         return fn
 
     return deco

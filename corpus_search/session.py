@@ -20,7 +20,7 @@ TABLES = (
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "corpus_search") -> SparkSession:
     """Session for tests and the bench (local mode). UI stays off."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
@@ -35,6 +35,39 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.files.maxPartitionBytes", str(64 * 1024 * 1024))
         .getOrCreate()
     )
+    ship_package(spark)
+    return spark
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``corpus_search`` importable in the Python workers (what ``--py-files`` does).
+
+    Executor-side code (Arrow batch functions, grouped/stateful functions) refers to this
+    package, so its modules must be importable wherever the tasks run. The package is zipped
+    on the driver once per application and added with ``addPyFile``; Spark serves it to every
+    executor. A no-op when already done for this application.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    out_dir = tempfile.mkdtemp(prefix="corpus-search-pkg-")  # build artifact on the driver
+    path = os.path.join(out_dir, "corpus_search.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for base, _dirs, names in os.walk(pkg_dir):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(base, n)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    _SHIPPED.add(app)
 
 
 def checkpoint_root(spark: SparkSession) -> str:
