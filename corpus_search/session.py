@@ -39,23 +39,23 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
-_SHIPPED: set[str] = set()
+_SHIPPED: dict[str, str] = {}
 
 
-def ship_package(spark: SparkSession) -> None:
+def ship_package(spark: SparkSession) -> str:
     """Make ``corpus_search`` importable in the Python workers (what ``--py-files`` does).
 
     Executor-side code (Arrow batch functions, grouped/stateful functions) refers to this
     package, so its modules must be importable wherever the tasks run. The package is zipped
     on the driver once per application and added with ``addPyFile``; Spark serves it to every
-    executor. A no-op when already done for this application.
+    executor. A no-op when already done for this application. Returns the zip's path.
     """
     import zipfile
 
     sc = spark.sparkContext
     app = sc.applicationId
     if app in _SHIPPED:
-        return
+        return _SHIPPED[app]
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg_dir)
     out_dir = tempfile.mkdtemp(prefix="corpus-search-pkg-")  # build artifact on the driver
@@ -67,7 +67,8 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(base, n)
                     z.write(full, os.path.relpath(full, root))
     sc.addPyFile(path)
-    _SHIPPED.add(app)
+    _SHIPPED[app] = path
+    return path
 
 
 def checkpoint_root(spark: SparkSession) -> str:

@@ -38,3 +38,17 @@ def test_flagship_same_under_any_partitioning(spark):
         out.append(sorted(map(tuple, QUERIES["retrieve_context"](spark, SF_SMALL).collect())))
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert out[0] == out[1]
+
+
+def test_package_is_shipped_once_with_every_module(spark):
+    import os
+    import zipfile
+
+    from corpus_search import session
+
+    path = session.ship_package(spark)
+    assert session.ship_package(spark) == path  # once per application
+    pkg = os.path.dirname(session.__file__)
+    want = {os.path.relpath(os.path.join(b, n), os.path.dirname(pkg)) for b, _, ns in os.walk(pkg) for n in ns if n.endswith(".py")}
+    with zipfile.ZipFile(path) as z:
+        assert want <= set(z.namelist())
