@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpus_search.session import cut_lineage
+
 
 def content_md5(df: DataFrame, col: str = "text", out: str = "md5") -> DataFrame:
     return df.withColumn(out, F.md5(F.col(col)))
@@ -33,7 +35,20 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", col: str = "text") -> Data
     return hashed.join(firsts, on=["md5", id_col], how="left_semi")
 
 
+MAX_BROADCAST_HASHES = 5_000_000
+
+
 def dedup_against_seen(incoming: DataFrame, seen: DataFrame, col: str = "text", seen_col: str = "md5") -> DataFrame:
-    """Incoming rows whose content hash is not in ``seen`` (left anti-join on md5)."""
+    """Incoming rows whose content hash is not in ``seen``.
+
+    Joining the incoming *rows* on md5 would put a hash held by a third of them on one task.
+    Instead the seen hashes among the *distinct* incoming hashes are found first (both sides
+    distinct, so no hot key), materialised in the shared folder, and - when their count is
+    bounded - broadcast into the final anti-join, so incoming rows are never shuffled by md5.
+    """
     hashed = incoming.withColumn("md5", F.md5(F.col(col)))
-    return hashed.join(seen.select(F.col(seen_col).alias("md5")).distinct(), on="md5", how="left_anti")
+    incoming_hashes = hashed.select("md5").distinct()
+    seen_hashes = seen.select(F.col(seen_col).alias("md5")).distinct()
+    hit = cut_lineage(incoming_hashes.join(seen_hashes, "md5", "left_semi"), "seen-hits")
+    small = hit.count() <= MAX_BROADCAST_HASHES
+    return hashed.join(F.broadcast(hit) if small else hit, on="md5", how="left_anti")
