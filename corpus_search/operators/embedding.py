@@ -47,18 +47,21 @@ def _normalise(mat: np.ndarray) -> np.ndarray:
     return np.divide(mat, norms[:, None], out=np.zeros_like(mat), where=norms[:, None] > 0)
 
 
-_BUCKET_CACHE: dict[tuple[str, int], int] = {}  # per Python worker, survives across batches
-_CACHE_LIMIT = 2_000_000
+# token -> bucket, per Python worker and width; survives across batches. Capped so a worker
+# holds at most ~50 MB of cache whatever the vocabulary (misses just recompute the md5).
+_BUCKET_CACHE: dict[int, dict[str, int]] = {}
+_CACHE_LIMIT = 500_000
 
 
 def _token_buckets(tokens: list[str], dims: int) -> np.ndarray:
+    cache = _BUCKET_CACHE.setdefault(dims, {})
     out = np.empty(len(tokens), dtype=np.int64)
     for i, t in enumerate(tokens):
-        b = _BUCKET_CACHE.get((t, dims))
+        b = cache.get(t)
         if b is None:
             b = int(hashlib.md5(t.encode("utf-8")).hexdigest()[:7], 16) % dims
-            if len(_BUCKET_CACHE) < _CACHE_LIMIT:
-                _BUCKET_CACHE[(t, dims)] = b
+            if len(cache) < _CACHE_LIMIT:
+                cache[t] = b
         out[i] = b
     return out
 
