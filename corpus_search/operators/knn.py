@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 METRICS = ("l2", "l2_root", "ip", "cosine")
 ROUND = 9
 _Q_CHUNK = 1024  # queries per matrix product inside a task (bounds task memory)
+_GATHER_BYTES = 64 * 1024 * 1024  # re-scoring gathers chunk x k x dims doubles
+_MATRIX_BYTES = 256 * 1024 * 1024  # distance matrix chunk x block doubles
 
 
 # ------------------------------------------------------------------------------ kernels
@@ -88,8 +90,9 @@ def topk_block(metric: str, k: int, qids: np.ndarray, Q: np.ndarray, vids: np.nd
     xn2 = np.einsum("ij,ij->i", X, X)
     scale = 1.0 + float(xn2.max())
     idr = _id_rank(vids)
-    for s in range(0, Q.shape[0], _Q_CHUNK):
-        Qc = Q[s : s + _Q_CHUNK]
+    step = max(1, min(_Q_CHUNK, _GATHER_BYTES // (8 * kk * X.shape[1] or 1), _MATRIX_BYTES // (8 * n)))
+    for s in range(0, Q.shape[0], step):
+        Qc = Q[s : s + step]
         qn2 = np.einsum("ij,ij->i", Qc, Qc)
         D = _approx(metric, Qc, X, qn2, xn2)
         part = np.argpartition(D, kk - 1, axis=1)[:, :kk] if kk < n else np.tile(np.arange(n), (Qc.shape[0], 1))
