@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpus_search.llm import bpe
+from corpus_search.llm import bpe, ctph
 from corpus_search.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,5 +17,10 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(spark, documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op9_bpe,)}
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edit, and their likeness, by descending id."""
+    return ctph.compared_to_next(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op9_bpe, op10_fingerprints)}
 ORACLE_SQL: dict[str, str] = {}
