@@ -53,7 +53,7 @@ def test_likeness_is_the_edit_distance():
 
 def test_next_document_over_many_tasks(spark):
     texts = made(50)
-    rows = [(7 * i, t, "x") for i, t in enumerate(texts)] + [(14, texts[2], "x"), (None, "no id", "x"), (21, None, "y")]
+    rows = [(7 * i, t, "x") for i, t in enumerate(texts)] + [(14, texts[2], "x"), (None, "no id", "x"), (22, None, "y")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, fingerprint string").repartition(5)
     got = {(r["doc_id"], r["edited_sha256"]): r for r in ctph.compared_to_next(docs).collect()}
     ids = [(i, t or "") for i, t, _ in rows]
