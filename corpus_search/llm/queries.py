@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpus_search.llm import bpe, ctph
+from corpus_search.llm import bpe, ctph, toxicity
 from corpus_search.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from the labels outside the held-out fold."""
+    docs = documents(spark, sf_dir)
+    return toxicity.classify(docs, toxicity.fit(docs, documents(spark, sf_dir, "labels")))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of the decoded text of every document."""
     return bpe.round_trip(spark, documents(spark, sf_dir))
@@ -22,5 +28,5 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctph.compared_to_next(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op9_bpe, op10_fingerprints)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_toxicity, op9_bpe, op10_fingerprints)}
 ORACLE_SQL: dict[str, str] = {}
