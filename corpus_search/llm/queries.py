@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpus_search.llm import bpe, ctph, toxicity
+from corpus_search.llm import bpe, ctph, language_id, toxicity
 from corpus_search.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from the labelled documents outside the held-out fold."""
+    docs = documents(spark, sf_dir)
+    return language_id.classify(docs, language_id.fit(docs))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learnt from the labels outside the held-out fold."""
     docs = documents(spark, sf_dir)
@@ -28,5 +34,5 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctph.compared_to_next(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_toxicity, op9_bpe, op10_fingerprints)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language, op5_toxicity, op9_bpe, op10_fingerprints)}
 ORACLE_SQL: dict[str, str] = {}
