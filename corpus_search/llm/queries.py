@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpus_search.llm import bpe, ctph, language_id, toxicity
+from corpus_search.llm import bpe, ctph, language_id, pii, secret_scan, toxicity
 from corpus_search.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,17 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.classify(docs, language_id.fit(docs))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: base formats, and candidates that the boosted trees accept."""
+    docs = documents(spark, sf_dir)
+    return pii.digests(pii.scan(docs, pii.fit(docs)))
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: fixed formats, and runs of high entropy."""
+    return secret_scan.digests(secret_scan.scan(documents(spark, sf_dir)))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learnt from the labels outside the held-out fold."""
     docs = documents(spark, sf_dir)
@@ -34,5 +45,5 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctph.compared_to_next(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language, op5_toxicity, op9_bpe, op10_fingerprints)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language, op2_pii, op4_secrets, op5_toxicity, op9_bpe, op10_fingerprints)}
 ORACLE_SQL: dict[str, str] = {}

@@ -1,0 +1,136 @@
+"""Secrets in texts: fixed formats, and strings whose sliding-window entropy is too high for words.
+
+Everything is native column expressions on one row; nothing is shuffled. Candidates are runs of at
+least 20 characters of the base64 alphabets. A run's class is the narrowest of hexadecimal,
+alphanumeric and base64 that holds it. A window of 20 characters moves over the run; the sum of
+``c * log2(c)`` over its character counts is kept up to date from the counts of the one character
+that leaves and the one that enters, and gives the window's Shannon entropy. A run is a secret if
+a window reaches its class's threshold and the allow-list doesn't name it (identifiers such as
+UUIDs, plain numbers, runs of one kind of character, paths and published example keys).
+
+Null text counts as empty and has no spans. Spans are places in code points, ends exclusive; base
+spans all stay, and an entropy span is added unless a base span holds it.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from corpus_search.llm import spans as S
+from corpus_search.llm.common import fresh
+
+# The base formats.
+ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+ACCESS = r"AKIA[A-Z0-9]+"
+HEX = r"[0-9a-f]{32,}"
+KINDS = ("assign", "access", "hex", "entropy")
+
+WINDOW = 20
+CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{WINDOW},}}+"
+#: Least bits of a window, by class of the run.
+THRESHOLD = {"hex": 2.9, "alnum": 3.55, "base64": 3.6}
+ALLOWED = (
+    r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"  # UUIDs
+    r"|[0-9+/_=-]+|[A-Z+/_=-]+|[a-z+/_=-]+|[A-Za-z+/_=-]+"  # numbers and words
+    r"|[a-z]+(?:[_-][a-z0-9]+)+|/?(?:[a-z0-9_.-]+/)+[a-z0-9_.-]*"  # names of several words, paths
+    r"|.*(?:EXAMPLE|example|sample|placeholder|changeme).*"  # published examples
+)
+
+
+def _bits(count: Column) -> Column:
+    return F.when(count > 1, count * F.log2(count.cast("double"))).otherwise(F.lit(0.0))
+
+
+def _count(text: Column, symbol: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, symbol, F.lit("")))
+
+
+def top_entropy(run: Column) -> Column:
+    """The largest entropy (bits) of any window of a run of at least WINDOW characters."""
+    head = F.substring(run, 1, WINDOW)
+    first = F.aggregate(F.array_distinct(F.split(head, "")), F.lit(0.0), lambda a, x: a + F.when(x != "", _bits(_count(head, x))).otherwise(0.0))
+
+    def move(acc: Column, i: Column) -> Column:
+        kept = run.substr(i - WINDOW + 1, F.lit(WINDOW - 1))
+        out, new = run.substr(i - WINDOW, F.lit(1)), run.substr(i, F.lit(1))
+        gone, come = _count(kept, out), _count(kept, new)
+        total = acc["sum"] - _bits(gone + 1) + _bits(gone) + _bits(come + 1) - _bits(come)
+        return F.struct(total.alias("sum"), F.least(acc["least"], total).alias("least"))
+
+    steps = F.when(F.length(run) > WINDOW, F.sequence(F.lit(WINDOW + 1), F.length(run))).otherwise(F.array().cast("array<int>"))
+    least = F.aggregate(steps, F.struct(first.alias("sum"), first.alias("least")), move, lambda acc: acc["least"])
+    return F.log2(F.lit(float(WINDOW))) - least / WINDOW
+
+
+def is_secret(run: Column) -> Column:
+    threshold = (
+        F.when(run.rlike(r"^(?:[0-9a-f]+|[0-9A-F]+)$"), THRESHOLD["hex"]).when(run.rlike(r"^[A-Za-z0-9]+$"), THRESHOLD["alnum"]).otherwise(THRESHOLD["base64"])
+    )
+    return ~run.rlike(f"^(?:{ALLOWED})$") & (top_entropy(run) >= threshold)
+
+
+def base_spans(text: Column) -> Column:
+    """Spans of the fixed formats, by start."""
+    assign = F.filter(
+        S.matches(text, ASSIGN, "assign", 0), lambda s: F.length(F.regexp_extract(s["part"], ASSIGN, 1)) >= 8
+    )
+    access = F.filter(S.matches(text, ACCESS, "access", 1), lambda s: F.length(s["part"]) >= 16)
+    return S.ordered(
+        S.when_any((F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))) & text.rlike(ASSIGN), assign),
+        S.when_any(F.contains(text, F.lit("AKIA")), access),
+        S.when_any(text.rlike(HEX), S.matches(text, HEX, "hex", 2)),
+    )
+
+
+def entropy_spans(text: Column) -> Column:
+    found = S.matches(text, CANDIDATE, "entropy", 3)
+    return S.when_any(text.rlike(CANDIDATE), F.filter(found, lambda s: is_secret(s["part"])))
+
+
+def with_spans(docs: DataFrame, text_col: str, base: str, every: str) -> DataFrame:
+    """The table with two more columns, the base spans and all spans (arrays of structs)."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    pair = fresh(docs, stem="_found")
+
+    def both(found: Column) -> Column:
+        return F.struct(found["base"].alias("base"), S.ordered(found["base"], S.uncovered(found["more"], found["base"])).alias("every"))
+
+    found = F.struct(base_spans(text).alias("base"), entropy_spans(text).alias("more"))
+    return docs.withColumn(pair, S.let(found, both)).select(*docs.columns, F.col(pair)["base"].alias(base), F.col(pair)["every"].alias(every))
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: ``id_col``, ``base`` and ``every`` (spans with start, kind, stop and the text found)."""
+    one = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("_text"))
+    return with_spans(one, "_text", "base", "every").drop("_text")
+
+
+def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
+    """All rows and columns, the secrets in the text replaced by a mark; null text stays null."""
+    base, every = fresh(docs, stem="_base"), fresh(docs, stem="_every")
+    found = with_spans(docs, text_col, base, every)
+    text = F.col(text_col)
+
+    def cut(acc: Column, s: Column) -> Column:
+        fresh_one = s["start"] >= acc["at"]
+        parts = F.when(
+            fresh_one, F.concat(acc["parts"], F.array(text.cast("string").substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)))
+        ).otherwise(acc["parts"])
+        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), parts.alias("parts"))
+
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+    cleaned = F.aggregate(
+        F.col(every), zero, cut,
+        lambda acc: F.concat(F.array_join(acc["parts"], ""), text.cast("string").substr(acc["at"] + 1, F.length(text))),
+    )
+    return found.withColumn(text_col, F.when(F.size(every) > 0, cleaned).otherwise(text)).select(*docs.columns)
+
+
+def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Counts of the base kinds, the base spans' digest and all spans as text."""
+    base = F.col("base")
+    return found.select(
+        id_col, *(S.of_kind(base, k).alias(f"n_{k}") for k in KINDS[:3]),
+        F.sha2(S.joined(base).cast("binary"), 256).alias("base_sha256"), S.joined(F.col("every")).alias("spans"),
+    )
