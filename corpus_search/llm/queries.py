@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpus_search.llm import bpe, ctph, language_id, pii, secret_scan, toxicity
+from corpus_search.llm import bpe, ctph, language_id, pii, quality_rules, secret_scan, toxicity
 from corpus_search.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,12 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.scan(docs, pii.fit(docs)))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Surface counts of every document, and whether the base rule and the likelihood ratio keep it."""
+    docs = documents(spark, sf_dir)
+    return quality_rules.judge(docs, quality_rules.fit(docs, documents(spark, sf_dir, "labels")))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document: fixed formats, and runs of high entropy."""
     return secret_scan.digests(secret_scan.scan(documents(spark, sf_dir)))
@@ -45,5 +51,5 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctph.compared_to_next(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language, op2_pii, op4_secrets, op5_toxicity, op9_bpe, op10_fingerprints)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language, op2_pii, op3_quality, op4_secrets, op5_toxicity, op9_bpe, op10_fingerprints)}
 ORACLE_SQL: dict[str, str] = {}
