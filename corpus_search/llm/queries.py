@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpus_search.llm import bpe, ctph, language_id, pii, quality_rules, secret_scan, toxicity
+from corpus_search.llm import bpe, ctph, language_id, pii, quality_rules, secret_scan, toxicity, url_filter
 from corpus_search.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(docs, toxicity.fit(docs, documents(spark, sf_dir, "labels")))
 
 
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL: the longest rule that fits, else the likelihood ratio."""
+    pages = documents(spark, sf_dir, "pages")
+    return url_filter.judge(pages, url_filter.fit(pages))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of the decoded text of every document."""
     return bpe.round_trip(spark, documents(spark, sf_dir))
@@ -51,5 +57,5 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctph.compared_to_next(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language, op2_pii, op3_quality, op4_secrets, op5_toxicity, op9_bpe, op10_fingerprints)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language, op2_pii, op3_quality, op4_secrets, op5_toxicity, op6_urls, op9_bpe, op10_fingerprints)}
 ORACLE_SQL: dict[str, str] = {}
