@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpus_search.llm import bpe, ctph, language_id, pii, quality_rules, secret_scan, toxicity, url_filter
+from corpus_search.llm import bpe, ctph, language_id, mixing, pii, quality_rules, secret_scan, toxicity, url_filter
 from corpus_search.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,16 @@ def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, url_filter.fit(pages))
 
 
+#: The shares of tokens that the mix should have, by language.
+TARGETS = {"en": 0.55, "de": 0.17, "fr": 0.16, "es": 0.12}
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domain posterior, rate and copies of every document for the target mix of languages."""
+    docs = documents(spark, sf_dir)
+    return mixing.mix(docs, mixing.fit_classifier(docs, domain_col="lang"), TARGETS)
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of the decoded text of every document."""
     return bpe.round_trip(spark, documents(spark, sf_dir))
@@ -57,5 +67,5 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctph.compared_to_next(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language, op2_pii, op3_quality, op4_secrets, op5_toxicity, op6_urls, op9_bpe, op10_fingerprints)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language, op2_pii, op3_quality, op4_secrets, op5_toxicity, op6_urls, op8_mixing, op9_bpe, op10_fingerprints)}
 ORACLE_SQL: dict[str, str] = {}
