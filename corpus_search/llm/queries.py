@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpus_search.llm import bpe, ctph, language_id, mixing, pii, quality_rules, secret_scan, toxicity, url_filter
+from corpus_search.llm import bpe, ctph, jaccard_join, language_id, mixing, pii, quality_rules, secret_scan, toxicity, url_filter
 from corpus_search.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,11 @@ def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, url_filter.fit(pages))
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group and number of near copies of every document: five-word shingles, similarity 0.8 or more."""
+    return jaccard_join.classify(documents(spark, sf_dir))
+
+
 #: The shares of tokens that the mix should have, by language.
 TARGETS = {"en": 0.55, "de": 0.17, "fr": 0.16, "es": 0.12}
 
@@ -67,5 +72,5 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctph.compared_to_next(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language, op2_pii, op3_quality, op4_secrets, op5_toxicity, op6_urls, op8_mixing, op9_bpe, op10_fingerprints)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language, op2_pii, op3_quality, op4_secrets, op5_toxicity, op6_urls, op7_jaccard, op8_mixing, op9_bpe, op10_fingerprints)}
 ORACLE_SQL: dict[str, str] = {}
