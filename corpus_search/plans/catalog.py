@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from corpus_search.functions import paths as P
 from corpus_search.functions import text as T
 from corpus_search.functions import vectors as V
-from corpus_search.operators import chunking, context, dedup, embedding, images, ivf, knn, metrics, prompts, rerank, stats, training
+from corpus_search.operators import chunking, context, dedup, embedding, images, ivf, knn, metrics, ordered, prompts, rerank, stats, training
 from corpus_search.plans import retrieval
 from corpus_search.session import cut_lineage, scratch_path, ship_package, table
 from corpus_search.sinks import collections, objects
@@ -242,14 +242,6 @@ def q_knn_ivf_blocked(spark: SparkSession, sf: str) -> DataFrame:
     return _hits_out(hits)
 
 
-@register("knn_auto")
-def q_knn_auto(spark: SparkSession, sf: str) -> DataFrame:
-    """U4: exact below 1024 vectors, sampled-centroid IVF (16 cells, 4 probes) above."""
-    v = _vectors(spark, sf)
-    hits = ivf.knn_auto(_self_queries(v), v, 5, nlist=IVF_NLIST, nprobe=IVF_NPROBE)
-    return _hits_out(hits).join(hits.select("query_id", "vec_id", "method"), ["query_id", "vec_id"])
-
-
 @register("ivf_recall")
 def q_ivf_recall(spark: SparkSession, sf: str) -> DataFrame:
     """recall@5 of the index against exact search for nprobe 1, 4 and 16 (= nlist).
@@ -487,6 +479,24 @@ def q_step_elapsed(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("call_id", "user_id", "stage", F.col("prev_stage"), F.round("since_prev_s", 6).alias("since_prev_s"))
 
 
+@register("ordered_nulls")
+def q_ordered_nulls(spark: SparkSession, sf: str) -> DataFrame:
+    """Running totals and previous rows with null keys, times and values, and an outlying time."""
+    e = table(spark, sf, "events")
+    rows = e.select(
+        "event_id", F.when(F.col("user_id") % 7 != 0, F.col("event_type")).alias("k"),
+        F.when(F.col("event_id") % 11 == 0, F.lit(None)).when(F.col("event_id") == 5, F.lit(10**12)).otherwise(F.col("event_id") / 4).cast("bigint").alias("t"),
+        F.when(F.col("event_id") % 3 != 0, F.col("user_id")).alias("v"),
+    )
+    totals = ordered.running_totals(rows, "k", "t", "event_id", {"total": F.col("v")}, count_out="n", rows_per_bucket=700)
+    out = ordered.previous_row(totals, "k", "t", "event_id", ["event_id"], rows_per_bucket=700)
+    none = F.lit(-1)  # nulls as -1: the comparison keeps whole numbers whole
+    return out.select(
+        "event_id", F.coalesce("k", F.lit("none")).alias("k"), F.coalesce("t", none).alias("t"), "n",
+        F.coalesce("total", none).alias("total"), F.coalesce("prev_event_id", none).alias("prev"),
+    )
+
+
 @register("bytes_lookup")
 def q_bytes_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """Purchases record their own size; other calls fall back to the user's recorded

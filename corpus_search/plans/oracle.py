@@ -240,12 +240,6 @@ ORACLE_SQL["ivf_build"] = f"WITH {_E},{_ivf()}\nSELECT vec_id, cell_id FROM asg"
 ORACLE_SQL["knn_ivf"] = f"WITH {_E},{_ivf()}\nSELECT {_HITS_COLS} FROM ivf"
 ORACLE_SQL["knn_ivf_blocked"] = ORACLE_SQL["knn_ivf"]
 
-ORACLE_SQL["knn_auto"] = f"""WITH {_E},{_exact_hits()},{_ivf()},
-n AS (SELECT count(*) AS n FROM embeddings)
-SELECT {_HITS_COLS}, 'exact' AS method FROM exact WHERE (SELECT n FROM n) < 1024
-UNION ALL
-SELECT {_HITS_COLS}, 'ivf' AS method FROM ivf WHERE (SELECT n FROM n) >= 1024"""
-
 ORACLE_SQL["ivf_recall"] = f"""WITH {_E},{_exact_hits()},
 nps AS (SELECT * FROM (VALUES (1), (4), (16)) t(np)),{_ivf(nprobe_expr='nps.np', extra_from=', nps', extra_key='nps.np')},
 per_q AS (SELECT nps.np, x.query_id,
@@ -506,3 +500,12 @@ SELECT window_start, stage, count(*) AS calls, round(sum(value), 6) AS total_tim
 FROM w GROUP BY window_start, stage"""
 
 ORACLE_SQL["knn_ivf_stored"] = ORACLE_SQL["knn_ivf"]
+
+ORACLE_SQL["ordered_nulls"] = """
+WITH r AS (SELECT event_id, CASE WHEN user_id % 7 <> 0 THEN event_type END AS k,
+                  CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id = 5 THEN 1000000000000 ELSE event_id // 4 END AS t,
+                  CASE WHEN event_id % 3 <> 0 THEN user_id END AS v FROM events)
+SELECT event_id, coalesce(k, 'none') AS k, CAST(coalesce(t, -1) AS BIGINT) AS t, count(*) OVER w AS n,
+       CAST(coalesce(sum(v) OVER w, -1) AS BIGINT) AS total,
+       coalesce(lag(event_id) OVER (PARTITION BY k ORDER BY t NULLS FIRST, event_id), -1) AS prev
+FROM r WINDOW w AS (PARTITION BY k ORDER BY t NULLS FIRST, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""

@@ -71,25 +71,22 @@ def ship_package(spark: SparkSession) -> str:
     return path
 
 
+_LOCAL_ROOTS: dict[str, str] = {}
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only when the session leaves it unset (local tests) do we pick a fresh folder under
-    the system temp dir and register it, so that later reads see the same value.
+    Unset, a local session (tests) gets a folder of its own, the same for the whole application; on a
+    cluster, where a machine's own folder would not be shared, that is an error.
     """
-    conf = spark.sparkContext.getConf()
-    root = conf.get("spark.checkpoint.dir", None)
-    if not root:
-        try:
-            root = spark.conf.get("spark.checkpoint.dir")
-        except Exception:  # noqa: BLE001 - unset key raises in some versions
-            root = None
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="corpus-search-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors share")
+        root = _LOCAL_ROOTS.setdefault(sc.applicationId, "") or tempfile.mkdtemp(prefix="corpus-search-ckpt-")
+        _LOCAL_ROOTS[sc.applicationId] = root
     return root.rstrip("/")
 
 
@@ -111,37 +108,6 @@ def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.parquet(path)
 
 
-# Inputs at or below this size that arrive in fewer files than the cluster has cores are
-# spread by a hash of their key: a single-row-group file is otherwise read by one task.
-SMALL_INPUT_BYTES = 256 * 1024 * 1024
-
-
-def _input_bytes(files: list[str]) -> int:
-    import pyarrow.fs as pafs
-
-    fs, _ = pafs.FileSystem.from_uri(files[0])
-    infos = fs.get_file_info([pafs.FileSystem.from_uri(f)[1] for f in files])
-    return sum(max(0, i.size or 0) for i in infos)
-
-
-def spread_small(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Hash-repartition a small, few-file input over all cores; large inputs are returned as is.
-
-    Large inputs already come in many splits (files / row groups), so the guard keeps the plan
-    shuffle-free at scale while local single-file tables still use every core.
-    """
-    n = df.sparkSession.sparkContext.defaultParallelism
-    files = df.inputFiles()
-    if not files or len(files) >= n:
-        return df
-    try:
-        if _input_bytes(files) > SMALL_INPUT_BYTES:
-            return df
-    except Exception:  # noqa: BLE001 - unknown size: leave the plan alone
-        return df
-    return df.repartition(n, key or df.columns[0])
-
-
-def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
-    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    return spread_small(df) if spread else df
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table as it lies; callers that want it spread ask for a repartition."""
+    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))

@@ -115,7 +115,7 @@ def test_string_ids_blocked_equals_broadcast(spark):
     assert a == b
 
 
-def test_kmeans_centroids_and_auto_switch(spark):
+def test_kmeans_centroids(spark):
     rng = np.random.default_rng(2)
     centers = np.array([[10.0, 0.0], [0.0, 10.0], [-10.0, 0.0]])
     v = _vecs(spark, [(i, (centers[i % 3] + rng.normal(scale=0.1, size=2)).tolist()) for i in range(90)])
@@ -125,6 +125,3 @@ def test_kmeans_centroids_and_auto_switch(spark):
     cells = ivf.assign_cells(v, cents)
     per_cell = sorted(r["count"] for r in cells.groupBy("cell_id").count().collect())
     assert per_cell == [30, 30, 30]
-    q = v.withColumnRenamed("vec_id", "query_id").limit(5)
-    assert {r.method for r in ivf.knn_auto(q, v, 3, threshold=1024).collect()} == {"exact"}
-    assert {r.method for r in ivf.knn_auto(q, v, 3, threshold=10, nlist=3, nprobe=3).collect()} == {"ivf"}

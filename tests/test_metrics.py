@@ -51,6 +51,26 @@ def test_bucketed_lag_equals_lag(spark):
         assert {r.call_id: r.prev_stage for r in got.collect()} == plain
 
 
+def test_ordered_with_nulls_ties_and_an_outlier(spark):
+    rows = [(i, "ab"[i % 2] if i % 7 else None, None if i % 5 == 0 else (10**12 if i == 33 else i // 4), None if i % 3 else float(i)) for i in range(80)]
+    df = spark.createDataFrame(rows + [(100, "c", 1, None), (101, "c", 2, 4.0)], "id long, k string, t long, v double")
+    w = Window.partitionBy("k").orderBy("t", "id")
+    plain = df.select(
+        "id", F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("n"),
+        F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("s"), F.lag("id").over(w).alias("p"), F.lag("v").over(w).alias("pv"),
+    )
+    want = {r.id: tuple(r)[1:] for r in plain.collect()}
+    for per_bucket in (1000, 28, 1):  # one bucket, three, one for each row
+        totals = ordered.running_totals(df, "k", "t", "id", {"s": F.col("v")}, count_out="n", rows_per_bucket=per_bucket)
+        before = ordered.previous_row(df, "k", "t", "id", ["id", "v"], rows_per_bucket=per_bucket)
+        got = {r.id: (r.n, r.s) for r in totals.collect()}
+        lag = {r.id: (r.prev_id, r.prev_v) for r in before.collect()}
+        assert {i: got[i] + lag[i] for i in got} == want
+    skewed = df.withColumn("t", F.when(F.col("id") == 101, F.lit(10**12)).otherwise(F.col("id")))
+    sizes = [r["count"] for r in ordered.add_buckets(skewed, "t", "id", 20).groupBy("_bucket").count().collect()]
+    assert max(sizes) < 45  # ranges follow the rows, not the distance of the outlier
+
+
 def test_bytes_lookup(spark):
     calls = spark.createDataFrame([(1, "k1", 5), (2, "k2", None), (3, "k3", None)], "call_id long, key string, own_bytes long")
     listing = spark.createDataFrame([("k2", 7)], "key string, size long")
