@@ -373,13 +373,18 @@ def q_build_prompts(spark: SparkSession, sf: str) -> DataFrame:
 def q_request_payloads(spark: SparkSession, sf: str) -> DataFrame:
     """chat request JSON per prompt, checked by reading its fields back."""
     p = F.col("payload")
-    return prompts.request_payloads(_prompt_rows(spark, sf), model="generator").select(
+    settings = {"temperature": 0.2, "top_k": 40, "top_p": 0.9, "max_tokens": 512, "stream": None, "stop": ["@@@@"]}
+    return prompts.request_payloads(_prompt_rows(spark, sf), model="generator", settings=settings).select(
         "query_id",
         F.get_json_object(p, "$.model").alias("model"),
         F.get_json_object(p, "$.messages[0].role").alias("first_role"),
         F.get_json_object(p, "$.messages[1].content").alias("user"),
         F.get_json_object(p, "$.temperature").cast("double").alias("temperature"),
+        F.get_json_object(p, "$.top_p").cast("double").alias("top_p"),
+        F.get_json_object(p, "$.top_k").cast("bigint").alias("top_k"),
         F.get_json_object(p, "$.max_tokens").cast("bigint").alias("max_tokens"),
+        F.get_json_object(p, "$.stop[0]").alias("stop"),
+        F.get_json_object(p, "$.stream").isNull().alias("no_stream"),
     )
 
 

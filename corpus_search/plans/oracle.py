@@ -333,8 +333,8 @@ ctx AS (SELECT query_id, CASE WHEN len(string_split(context, ' ')) > 7168
 ORACLE_SQL["build_prompts"] = _flagship_hits() + f""",{_ctx_from_hits()},{_PAIRS},
 hist AS (SELECT conv_id AS query_id, string_agg(pair, ' ' ORDER BY turn) AS history FROM pairs GROUP BY conv_id)
 SELECT q.query_id, {_system_prompt()} AS system,
-       'User Question: ' || q.question || chr(10) || 'Relevant Context: #### ' || coalesce(c.context, '') || ' ####'
-       || chr(10) || 'Chat History: @@@@ ' || coalesce(h.history, '') || ' @@@@.' AS "user",
+       '#### ' || coalesce(c.context, '') || ' ####' || chr(10) || '@@@@ ' || coalesce(h.history, '') || ' @@@@'
+       || chr(10) || 'Asked: ' || q.question AS "user",
        CAST(2 AS BIGINT) AS n_messages
 FROM questions q LEFT JOIN ctx c ON c.query_id = q.query_id LEFT JOIN hist h ON h.query_id = q.query_id"""
 
@@ -472,12 +472,13 @@ _PROMPTS = _flagship_hits() + f""",{_ctx_from_hits()},{_PAIRS},
 hist AS (SELECT conv_id AS query_id, string_agg(pair, ' ' ORDER BY turn) AS history FROM pairs GROUP BY conv_id),
 prompts AS (
   SELECT q.query_id,
-         'User Question: ' || q.question || chr(10) || 'Relevant Context: #### ' || coalesce(c.context, '') || ' ####'
-         || chr(10) || 'Chat History: @@@@ ' || coalesce(h.history, '') || ' @@@@.' AS "user"
+         '#### ' || coalesce(c.context, '') || ' ####' || chr(10) || '@@@@ ' || coalesce(h.history, '') || ' @@@@'
+         || chr(10) || 'Asked: ' || q.question AS "user"
   FROM questions q LEFT JOIN ctx c ON c.query_id = q.query_id LEFT JOIN hist h ON h.query_id = q.query_id)"""
 
 ORACLE_SQL["request_payloads"] = _PROMPTS + """
-SELECT query_id, 'generator' AS model, 'system' AS first_role, "user", 0.0::DOUBLE AS temperature, CAST(1024 AS BIGINT) AS max_tokens
+SELECT query_id, 'generator' AS model, 'system' AS first_role, "user", 0.2::DOUBLE AS temperature, 0.9::DOUBLE AS top_p,
+       CAST(40 AS BIGINT) AS top_k, CAST(512 AS BIGINT) AS max_tokens, '@@@@' AS stop, true AS no_stream
 FROM prompts"""
 
 ORACLE_SQL["answer_prompts"] = _PROMPTS + f""",
@@ -485,7 +486,7 @@ ex AS (SELECT query_id,
               {_strip("CASE WHEN len(string_split(\"user\", '####')) >= 3 THEN string_split(\"user\", '####')[2] ELSE '' END")} AS ctx
        FROM prompts),
 fs AS (SELECT query_id, {_strip("string_split(ctx, '.')[1]")} AS first FROM ex)
-SELECT query_id, CASE WHEN first = '' THEN 'I don''t know based on the provided context.' ELSE first || '.' END AS answer,
+SELECT query_id, CASE WHEN first = '' THEN 'The passages hold no answer.' ELSE first || '.' END AS answer,
        'ok' AS status
 FROM fs"""
 
