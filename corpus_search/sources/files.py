@@ -1,8 +1,8 @@
 """File and object-store sources.
 
 * ``list_objects``  - recursive listing (path, length, modificationTime) from the ``binaryFile``
-                      source with the content column pruned (S1). Note: Spark's binaryFile
-                      source skips zero-byte files; the reference's listing includes them.
+                      source with the content column pruned (S1). Spark's file sources
+                      leave out zero-byte objects; they are listed in tasks and added.
 * ``scan_binary``   - bytes of every object with its md5 (S2); any Hadoop URI, credentials are
                       Spark configuration.
 * ``scan_text``     - each file read whole as UTF-8 text, ends stripped, with its path (S3).
@@ -13,41 +13,115 @@
 
 from __future__ import annotations
 
+import fnmatch
 import hashlib
+import math
+import re
 import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from corpus_search.functions import text as T
 
 
+def store_uri(path: str) -> str:
+    """A path or Hadoop path as a URI with its scheme; local ones start with ``file:///``."""
+    if "://" in path and not path.startswith("file:"):
+        return path
+    return "file://" + re.sub("^file:/*", "/", path)
+
+
+def open_store(uri: str):
+    """(filesystem, path) of a URI; the path is taken as it is, with blanks and signs."""
+    import pyarrow.fs as pafs
+
+    uri = store_uri(uri)
+    if uri.startswith("file://"):
+        return pafs.LocalFileSystem(), uri[len("file://") :]
+    scheme, _, rest = uri.partition("://")
+    bucket, _, key = rest.partition("/")
+    fs, base = pafs.FileSystem.from_uri(f"{scheme}://{bucket}")
+    return fs, f"{base.rstrip('/')}/{key}"
+
+
+def _listed(uri: str, recursive: bool):
+    """Entries below a folder as (path, is_file, length, modified); nothing if it is gone."""
+    import pyarrow.fs as pafs
+
+    fs, path = open_store(uri)
+    head = "file:" if uri.startswith("file:") else uri[: len(uri) - len(path.lstrip("/"))].rstrip("/") + "/"
+    for x in fs.get_file_info(pafs.FileSelector(path, allow_not_found=True, recursive=recursive)):
+        yield head + x.path.lstrip("/") if head != "file:" else head + x.path, x.is_file, x.size or 0, x.mtime
+
+
+def _empty_objects(spark: SparkSession, root: str) -> DataFrame:
+    """Zero-byte objects below ``root``, which Spark's file sources leave out: the root is listed in
+    one task, and each folder in it, with all that it holds, in a task of its own."""
+    schema = "path string, is_file boolean, length bigint, modificationTime timestamp"
+
+    def lister(recursive: bool):
+        def run(batches):
+            for rb in batches:
+                for uri in rb.column(0).to_pylist():
+                    rows = [r for r in _listed(store_uri(uri), recursive) if not recursive or r[1]]
+                    cols = list(zip(*rows)) if rows else [[], [], [], []]
+                    kinds = (pa.string(), pa.bool_(), pa.int64(), pa.timestamp("us", "UTC"))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["path", "is_file", "length", "modificationTime"])
+
+        return run
+
+    top = spark.createDataFrame([(root,)], "uri string").mapInArrow(lister(False), schema)
+    folders = top.filter(~F.col("is_file")).select("path").repartition(max(2, spark.sparkContext.defaultParallelism))
+    found = top.filter("is_file").unionByName(folders.mapInArrow(lister(True), schema))
+    return found.filter("is_file and length = 0").select("path", "length", "modificationTime")
+
+
+def _glob_column(path, glob: str | None):
+    if not glob:
+        return F.lit(True)
+    return F.element_at(F.split(path, "/"), -1).rlike(fnmatch.translate(glob))
+
+
 def list_objects(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
     r = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
         r = r.option("pathGlobFilter", glob)
-    return r.load(root).select("path", "length", "modificationTime")
+    some = r.load(root).select("path", "length", "modificationTime")
+    return some.unionByName(_empty_objects(spark, root).filter(_glob_column(F.col("path"), glob)))
 
 
 def scan_binary(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
     r = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
         r = r.option("pathGlobFilter", glob)
-    return r.load(root).select("path", "length", F.md5("content").alias("md5"), "content")
+    some = r.load(root).select("path", "length", "content")
+    none = _empty_objects(spark, root).filter(_glob_column(F.col("path"), glob))
+    both = some.unionByName(none.select("path", "length", F.lit(b"").alias("content")))
+    return both.select("path", "length", F.md5("content").alias("md5"), "content")
 
 
 def scan_text(spark: SparkSession, root: str, glob: str | None = "*.txt") -> DataFrame:
-    """(path, text, status): whole-file text, ASCII-whitespace stripped; blank files 'empty'."""
-    r = spark.read.option("recursiveFileLookup", True)
-    if glob:
-        r = r.option("pathGlobFilter", glob)
-    df = r.text(root, wholetext=True)  # the keyword, not .option(): text() would reset it
-    txt = T.strip("value")
-    return df.select(F.col("_metadata.file_path").alias("path"), txt.alias("text")).withColumn(
-        "status", F.when(F.col("text") == "", "empty").otherwise("ok")
+    """(path, text, status): whole-file text, ASCII-whitespace stripped. Status ``empty`` for blank and
+    zero-byte files, ``error`` (null text) for bytes that are no UTF-8 and, as one row with the root as
+    path, for a root that doesn't exist; ``ok`` else. Paths are written as ``list_objects`` writes them."""
+    schema = "path string, text string, status string"
+    try:
+        objects = scan_binary(spark, root, glob)
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        return spark.createDataFrame([(root, None, "error")], schema)
+    # only text that survives the way back to bytes was UTF-8
+    raw = F.decode("content", "UTF-8")
+    valid = F.expr("try_validate_utf8(cast(content as string))").isNotNull()
+    txt = F.when(valid, T.strip(raw))
+    return objects.select("path", txt.alias("text")).withColumn(
+        "status", F.when(F.col("text").isNull(), "error").when(F.col("text") == "", "empty").otherwise("ok")
     )
 
 
@@ -58,28 +132,19 @@ def scan_images(spark: SparkSession, root: str) -> DataFrame:
 # ---------------------------------------------------------------------------------- writers
 
 
-def _filesystem(uri: str):
-    import pyarrow.fs as pafs
-
-    return pafs.FileSystem.from_uri(uri)
-
-
 def _write_bytes(fs, path: str, data: bytes) -> None:
-    """Write one object; a retried task rewrites the same key. On local/HDFS-like stores the
-    bytes land under a temporary name first and are renamed into place."""
-    parent = path.rsplit("/", 1)[0]
-    try:
-        fs.create_dir(parent, recursive=True)
-    except Exception:  # noqa: BLE001 - object stores have no directories
-        pass
-    tmp = f"{path}.tmp-{hashlib.md5(data).hexdigest()[:8]}"
-    try:
-        with fs.open_output_stream(tmp) as out:
-            out.write(data)
-        fs.move(tmp, path)
-    except Exception:  # noqa: BLE001 - stores without rename: plain overwrite (atomic PUT)
+    """Write one object; a retried task rewrites the same key. On local and HDFS-like stores the
+    bytes land under a temporary name first and are renamed into place; object stores replace a key
+    at once. Any error (a full disk, missing rights) is the caller's."""
+    if fs.type_name not in ("local", "hdfs"):
         with fs.open_output_stream(path) as out:
             out.write(data)
+        return
+    fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    tmp = f"{path}.tmp-{hashlib.md5(data).hexdigest()[:8]}"
+    with fs.open_output_stream(tmp) as out:
+        out.write(data)
+    fs.move(tmp, path)
 
 
 def write_files(rows: DataFrame, root: str, rel_col: str, data_col: str) -> DataFrame:
@@ -91,7 +156,7 @@ def write_files(rows: DataFrame, root: str, rel_col: str, data_col: str) -> Data
     base = root.rstrip("/")
 
     def run(batches):
-        fs, prefix = _filesystem(base)
+        fs, prefix = open_store(base)
         prefix = prefix.rstrip("/")
         for rb in batches:
             paths, sizes = [], []
@@ -135,9 +200,10 @@ def png_bytes(pixels: np.ndarray) -> bytes:
     )
 
 
-def vectors_as_images(vectors: DataFrame, root: str, side: int = 8, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> int:
-    """Render each vector as a ``side x side`` image named ``<id>.<label>.png`` (values are
-    min-max scaled per vector; red = value, green = 255 - value, blue = mean)."""
+def vectors_as_images(vectors: DataFrame, root: str, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> int:
+    """Render each vector as the least square image that holds all its values, named
+    ``<id>.<label>.png`` (values are min-max scaled per vector, missing places are 0; red = value,
+    green = 255 - value, blue = mean)."""
     src = vectors.select(
         F.concat(F.col(id_col).cast("string"), F.lit("."), F.col(label_col).cast("string"), F.lit(".png")).alias("rel"),
         F.col(vec_col).alias("v"),
@@ -147,7 +213,8 @@ def vectors_as_images(vectors: DataFrame, root: str, side: int = 8, id_col: str
         for rb in batches:
             out = []
             for v in rb.column("v").to_pylist():
-                a = np.asarray(v, dtype=np.float64)[: side * side]
+                a = np.asarray(v, dtype=np.float64)
+                side = max(1, math.isqrt(max(a.size - 1, 0)) + 1)
                 a = np.pad(a, (0, side * side - a.size))
                 lo, hi = a.min(), a.max()
                 g = np.zeros_like(a) if hi <= lo else (a - lo) / (hi - lo)

@@ -24,14 +24,13 @@ def _tree(root):
         f.write(b"\x00\x01")
 
 
-def test_listing_prunes_content_and_skips_empty(spark, tmp):
+def test_listing_prunes_content_and_has_empty_objects(spark, tmp):
     _tree(tmp)
     listed = files.list_objects(spark, tmp)
     plan = listed._jdf.queryExecution().executedPlan().toString()
     assert "content" not in plan.split("ReadSchema")[-1].split("\n")[0]
     names = sorted(os.path.relpath(p.replace("file:", ""), tmp) for p in [r.path for r in listed.collect()])
-    # Spark's binaryFile source skips zero-byte files (documented gap)
-    assert names == ["a/x/same.txt", "b/data.bin", "b/latin1.txt", "b/other.txt", "b/x/same.txt"]
+    assert names == ["a/x/same.txt", "b/data.bin", "b/empty.txt", "b/latin1.txt", "b/other.txt", "b/x/same.txt"]
 
 
 def test_scan_text_and_dedup(spark, tmp):
@@ -39,7 +38,8 @@ def test_scan_text_and_dedup(spark, tmp):
     t = files.scan_text(spark, tmp)
     rows = {os.path.relpath(r.path.replace("file:", ""), tmp): (r.text, r.status) for r in t.collect()}
     assert rows["a/x/same.txt"] == ("hello world", "ok")
-    assert rows["b/latin1.txt"][0].startswith("caf")  # undecodable byte -> replacement char
+    assert rows["b/latin1.txt"] == (None, "error") and rows["b/empty.txt"] == ("", "empty")
+    assert [r.status for r in files.scan_text(spark, f"{tmp}/nowhere").collect()] == ["error"]
     groups = dedup.exact_dedup(t.withColumn("doc_id", F.monotonically_increasing_id()), col="text").filter("n_copies = 2").count()
     assert groups == 1
 
@@ -51,7 +51,24 @@ def test_replicate_keeps_relative_paths_and_rerun_is_stable(spark, tmp):
     second = sorted((r.target, r.bytes) for r in objects.replicate_objects(spark, src, dst).collect())
     assert first == second
     assert os.path.exists(f"{dst}/a/x/same.txt") and os.path.exists(f"{dst}/b/x/same.txt")
-    assert sorted(os.listdir(f"{dst}/b")) == ["data.bin", "latin1.txt", "other.txt", "x"]
+    assert sorted(os.listdir(f"{dst}/b")) == ["data.bin", "empty.txt", "latin1.txt", "other.txt", "x"]
+
+
+def test_replicate_from_a_file_uri_with_blanks_in_names(spark, tmp):
+    src, dst = f"{tmp}/src dir", f"{tmp}/dst"
+    os.makedirs(f"{src}/x")
+    for name in ("x/a b.txt", "x/100%.txt", "top+.txt"):
+        with open(f"{src}/{name}", "w") as f:
+            f.write(name)
+    got = objects.replicate_objects(spark, src, f"file://{dst}").collect()
+    assert sorted(r.bytes for r in got) == sorted(len(n) for n in ("x/a b.txt", "x/100%.txt", "top+.txt"))
+    assert open(f"{dst}/x/a b.txt").read() == "x/a b.txt" and open(f"{dst}/x/100%.txt").read() == "x/100%.txt"
+    os.makedirs(f"{tmp}/plain/y")
+    with open(f"{tmp}/plain/y/a.txt", "w") as f:
+        f.write("a")
+    assert [r.target for r in objects.replicate_objects(spark, f"file://{tmp}/plain", f"{tmp}/dst2").collect()] == [f"{tmp}/dst2/y/a.txt"]
+    texts = {r.path for r in files.scan_text(spark, src).collect()}
+    assert texts == {r.path for r in files.list_objects(spark, src).collect()}
 
 
 def test_routing_and_paths(spark):
