@@ -28,6 +28,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -182,13 +183,21 @@ def with_score(hits: DataFrame, metric: str) -> DataFrame:
     return hits.withColumn("score", score)
 
 
+def matrix_of(vectors, dims: int) -> np.ndarray:
+    """The vectors of an Arrow list column as rows of a matrix; one of another width fails the job
+    (a flat reshape would mix up neighbouring vectors)."""
+    vectors = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    widths = np.asarray(pc.list_value_length(vectors).to_numpy(zero_copy_only=False))
+    if len(widths) and (widths != dims).any():
+        raise ValueError(f"vector width is {widths[widths != dims][0]}, not {dims}")
+    return np.asarray(vectors.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(vectors), dims)
+
+
 def collect_matrix(df: DataFrame, id_col: str, vec_col: str, dims: int):
     """Pull a *size-checked* small table of vectors to the driver as (ids, matrix)."""
     tbl = df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).toArrow()
     ids = np.asarray(tbl.column("id").to_pylist(), dtype=object)
-    vcol = tbl.column("v").combine_chunks()
-    flat = np.asarray(vcol.flatten().to_numpy(zero_copy_only=False), dtype=np.float64)
-    return ids, flat.reshape(len(ids), dims)
+    return ids, matrix_of(tbl.column("v"), dims)
 
 
 # ------------------------------------------------------------------------------ public API
@@ -245,8 +254,7 @@ def _broadcast_partial(q: DataFrame, v: DataFrame, k: int, metric: str, dims: in
             if rb.num_rows == 0:
                 continue
             vids = np.asarray(rb.column("vec_id").to_pylist(), dtype=object)
-            flat = np.asarray(rb.column("vv").flatten().to_numpy(zero_copy_only=False), dtype=np.float64)
-            X = flat.reshape(rb.num_rows, dims)
+            X = matrix_of(rb.column("vv"), dims)
             a, b, c, _ = topk_block(metric, k, ids_q, mat_q, vids, X)
             if a:
                 # shrink the running candidate list of this partition to k per query
@@ -278,7 +286,9 @@ def _blocked_partial(
         if left.empty or right.empty:
             return empty_hits()
         Q = np.stack(left["qv"].to_numpy()).astype(np.float64)
-        X = np.stack(right["vv"].to_numpy()).astype(np.float64)
+        X = np.stack(right["vv"].to_numpy()).astype(np.float64)  # fails on different widths in a block
+        if X.shape[1] != dims:
+            raise ValueError(f"vector width is {X.shape[1]}, not {dims}")
         a, b, c, _ = topk_block(metric, k, left["query_id"].to_numpy(dtype=object), Q, right["vec_id"].to_numpy(dtype=object), X)
         return _merge(k, a, b, c)
 

@@ -684,10 +684,13 @@ def q_stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
 def q_stream_index(spark: SparkSession, sf: str) -> DataFrame:
     """R2: per micro-batch chunk + embed + cell assignment, written under batch_id (idempotent)."""
     root = _text_tree(spark, sf)
-    cents = ivf.sample_centroids(_collection_rows(spark, sf), IVF_NLIST, id_col="chunk_id")
+    cents = cut_lineage(ivf.sample_centroids(_collection_rows(spark, sf), IVF_NLIST, id_col="chunk_id"), "centroids")
     coll, ckpt = scratch_path(spark, "stream-collection"), scratch_path(spark, "index-ckpt")
-    jobs.stream_index(spark, f"{root}/*/*.txt", coll, ckpt, cents, max_files_per_trigger=250)
-    return spark.read.parquet(coll).select("chunk_id", "doc_id", "chunk_index")
+    jobs.stream_index(spark, root, f"{root}/*/*.txt", coll, ckpt, cents, max_files_per_trigger=250)
+    return spark.read.parquet(coll).select(
+        "chunk_id", "source", "chunk_index", F.md5("text").alias("text_md5"), F.size("embedding").cast("bigint").alias("width"),
+        F.col("cell_id").isNotNull().alias("has_cell"),
+    )
 
 
 @register("stream_stage_metrics")

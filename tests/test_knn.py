@@ -125,3 +125,13 @@ def test_kmeans_centroids(spark):
     cells = ivf.assign_cells(v, cents)
     per_cell = sorted(r["count"] for r in cells.groupBy("cell_id").count().collect())
     assert per_cell == [30, 30, 30]
+
+
+def test_mixed_widths_fail(spark):
+    q = spark.createDataFrame([(0, [0.0, 0.0, 0.0, 0.0])], "query_id long, embedding array<double>")
+    v = spark.createDataFrame([(1, [1.0, 1.0, 1.0]), (2, [9.0, 0.0, 0.0, 0.0, 0.0])], "vec_id long, embedding array<double>").coalesce(1)
+    for strategy in ("broadcast", "blocked"):
+        with pytest.raises(Exception, match="width|shape"):
+            knn.knn(q, v, 1, strategy=strategy).collect()
+    with pytest.raises(Exception, match="width"):
+        ivf.assign_cells(v, spark.createDataFrame([(0, [0.0] * 4)], "cell_id long, centroid array<double>")).collect()
