@@ -16,8 +16,8 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 def texts():
     rnd = random.Random(1)
-    symbols = [*" \n\t  'sthed.,!?0123éñß漢字\r\x1c\u0085 　", "<|endoftext|>", " the", " hello", "'ll", "😀"]
-    made = ["".join(rnd.choice(symbols) for _ in range(rnd.randint(0, 60))) for _ in range(400)]
+    symbols = [*" \n\t  'sthed.,!?0123éñß漢字\r\x1c\u0085 　", "<|endoftext|>", " the", " hello", "'ll", "😀", "É", "×", "÷", "'", "s", "re", "ö"]
+    made = ["".join(rnd.choice(symbols) for _ in range(rnd.randint(0, 60))) for _ in range(1500)]
     return [*made, "", "a" * 3000, "ab " * 500, " " * 100, "1" * 700, "\n\n x", "x  ", "it's we'LL don't"]
 
 
