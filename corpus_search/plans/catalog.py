@@ -18,7 +18,7 @@ from corpus_search.functions import paths as P
 from corpus_search.functions import text as T
 from corpus_search.functions import vectors as V
 from corpus_search.operators import chunking, context, dedup, embedding, images, ivf, knn, metrics, ordered, prompts, rerank, stats, training
-from corpus_search.plans import retrieval
+from corpus_search.plans import ingest, retrieval
 from corpus_search.session import cut_lineage, scratch_path, ship_package, table
 from corpus_search.sinks import collections, objects
 from corpus_search.sources import documents, files
@@ -433,6 +433,20 @@ def q_truncate_context(spark: SparkSession, sf: str) -> DataFrame:
     return context.truncate_tokens(docs, "context", 1024)
 
 
+@register("retrieve_stored")
+def q_retrieve_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """U2 from K1/J2: the documents ingested twice (the second time adds nothing), then every question
+    searched in the stored collection, all cells probed, so that the exact search must agree."""
+    docs, path = table(spark, sf, "documents"), scratch_path(spark, "stored-collection")
+    cents = ingest.ingest(docs, path, nlist=IVF_NLIST)
+    ingest.ingest(docs, path, centroids=cents)
+    hits = ingest.retrieve_stored(spark, path, cents, table(spark, sf, "benchmark"), k=5, nprobe=IVF_NLIST)
+    return hits.select(
+        "query_id", "rank", F.col("vec_id").alias("chunk_id"), "doc_id", F.col("chunk_index").cast("int").alias("chunk_index"),
+        F.round("distance", 6).alias("distance"), F.round("score", 6).alias("score"), "text",
+    )
+
+
 @register("rerank_bm25")
 def q_rerank_bm25(spark: SparkSession, sf: str) -> DataFrame:
     """50 kNN candidates per question -> BM25 rerank -> top 10 -> top 5."""

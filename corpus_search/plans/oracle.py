@@ -513,3 +513,6 @@ SELECT event_id, coalesce(k, 'none') AS k, CAST(coalesce(t, -1) AS BIGINT) AS t,
        CAST(coalesce(sum(v) OVER w, -1) AS BIGINT) AS total,
        coalesce(lag(event_id) OVER (PARTITION BY k ORDER BY t NULLS FIRST, event_id), -1) AS prev
 FROM r WINDOW w AS (PARTITION BY k ORDER BY t NULLS FIRST, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+
+# all cells are probed, so the stored collection must give the hits of the exact search
+ORACLE_SQL["retrieve_stored"] = ORACLE_SQL["knn_with_text"]
