@@ -676,10 +676,40 @@ def q_save_checkpoints(spark: SparkSession, sf: str) -> DataFrame:
 @register("chunk_recursive")
 def q_chunk_recursive(spark: SparkSession, sf: str) -> DataFrame:
     """Separator-aware recursive chunks (500/50) of every document."""
-    out = chunking.chunk_recursive(table(spark, sf, "documents"), size=500, overlap=50)
+    out = chunking.chunk_recursive(table(spark, sf, "documents"), size=500, overlap=50, separators=chunking.PDF_SEPARATORS)
     return out.withColumn("n_chars", T.n_chars("text"))
 
 
+@register("chunk_recursive_faults")
+def q_chunk_recursive_faults(spark: SparkSession, sf: str) -> DataFrame:
+    """Per document, chunks that are too long, blank, or no part of the text (there are none)."""
+    docs = table(spark, sf, "documents").filter(~T.is_blank("text"))
+    out = chunking.chunk_recursive(docs.withColumn("whole", F.col("text")), separators=chunking.PDF_SEPARATORS, keep=("doc_id", "whole"))
+
+    def count(fault):
+        return F.sum(fault.cast("bigint"))
+
+    return out.groupBy("doc_id").agg(
+        count(F.length("text") > 500).alias("too_long"), count(T.is_blank("text")).alias("blank"), count(~F.contains("whole", "text")).alias("foreign")
+    )
+
+
+@register("chunk_bulk")
+def q_chunk_bulk(spark: SparkSession, sf: str) -> DataFrame:
+    """P1/P4, the bulk flow: 40000/500 windows, then texts over 65535 characters cut into 65000."""
+    chunks = chunking.chunk_fixed(table(spark, sf, "documents"), size=chunking.BULK_CHUNK[0], overlap=chunking.BULK_CHUNK[1])
+    out = chunking.length_guard(chunks, keep=("doc_id", "chunk_index"))
+    return out.select("doc_id", "chunk_index", "piece", F.md5("text").alias("text_md5"), T.n_chars("text").alias("n_chars"))
+
+
+@register("sheet_text")
+def q_sheet_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Each region's nations as the text of a sheet, a line a row."""
+    nation = table(spark, sf, "nation")
+    lines = documents.rows_to_text(nation, ["n_nationkey", "n_name"], keep=["n_regionkey", "n_nationkey"])
+    return documents.sheet_text(lines, "n_regionkey", "n_nationkey")
+
+
 # ----------------------------------------------------------------------------- streaming
 
 
@@ -689,8 +719,8 @@ def q_stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     a second run over the same folder adds nothing."""
     root = _text_tree(spark, sf)
     sink, ckpt = scratch_path(spark, "ingest-sink"), scratch_path(spark, "ingest-ckpt")
-    jobs.stream_ingest(spark, f"{root}/*/*.txt", sink, ckpt, max_files_per_trigger=200)
-    jobs.stream_ingest(spark, f"{root}/*/*.txt", sink, ckpt, max_files_per_trigger=200)
+    jobs.stream_ingest(spark, f"{root}/*/*.txt", sink, ckpt, max_files_per_trigger=200, watermark="1 day")
+    jobs.stream_ingest(spark, f"{root}/*/*.txt", sink, ckpt, max_files_per_trigger=200, watermark="1 day")
     return spark.read.parquet(sink).select("md5", "length")
 
 
@@ -715,7 +745,7 @@ def q_stream_stage_metrics(spark: SparkSession, sf: str) -> DataFrame:
     events.repartition(4).write.parquet(src)
     sink, ckpt = scratch_path(spark, "stage-sink"), scratch_path(spark, "stage-ckpt")
     jobs.stream_stage_metrics(spark, src, sink, ckpt, events.schema)
-    return jobs.stage_metrics_from_totals(spark.read.parquet(sink))
+    return jobs.stage_metrics_from_totals(jobs.latest_batch(spark, sink))
 
 
 @register("stream_history")

@@ -516,3 +516,13 @@ FROM r WINDOW w AS (PARTITION BY k ORDER BY t NULLS FIRST, event_id ROWS BETWEEN
 
 # all cells are probed, so the stored collection must give the hits of the exact search
 ORACLE_SQL["retrieve_stored"] = ORACLE_SQL["knn_with_text"]
+
+ORACLE_SQL["chunk_recursive_faults"] = f"""
+SELECT doc_id, CAST(0 AS BIGINT) AS too_long, CAST(0 AS BIGINT) AS blank, CAST(0 AS BIGINT) AS "foreign"
+FROM documents WHERE {_strip('text')} <> ''"""
+
+ORACLE_SQL["chunk_bulk"] = f"""WITH {_chunks(40000, 500)}
+SELECT doc_id, chunk_index, CAST(0 AS INTEGER) AS piece, md5(text) AS text_md5, CAST(length(text) AS BIGINT) AS n_chars FROM chunks"""
+
+ORACLE_SQL["sheet_text"] = """
+SELECT n_regionkey, string_agg(n_nationkey || chr(9) || n_name, chr(10) ORDER BY n_nationkey) AS text FROM nation GROUP BY n_regionkey"""
