@@ -73,4 +73,19 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language, op2_pii, op3_quality, op4_secrets, op5_toxicity, op6_urls, op7_jaccard, op8_mixing, op9_bpe, op10_fingerprints)}
-ORACLE_SQL: dict[str, str] = {}
+#: The other queries train models or merge tokens, which SQL doesn't express; tests/llm compares them.
+ORACLE_SQL: dict[str, str] = {
+    "op7_jaccard": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, [x FOR x IN string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> ''] AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN [array_to_string(ws[i:i + 4], ' ') FOR i IN range(1, len(ws) - 3)]
+                                           WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS c FROM sh GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 5 * k >= 4 * (a.c + b.c - k)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.doc_id),
+c AS (SELECT x AS doc_id, count(*) AS n_links FROM e GROUP BY x)
+SELECT r.doc_id, min(r.root) AS class_id, any_value(coalesce(c.n_links, 0)) AS n_links
+FROM r LEFT JOIN c ON c.doc_id = r.doc_id GROUP BY r.doc_id""",
+}
