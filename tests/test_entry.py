@@ -1,6 +1,8 @@
 import __spark_entry__ as entry
 from conftest import SF_SMALL
 
+from corpus_search.plans.catalog import QUERIES
+
 
 def test_entry_runs_on_smoke_data(spark):
     df = entry.entry(spark)
@@ -11,9 +13,9 @@ def test_entry_runs_on_smoke_data(spark):
 
 
 def test_oracles_cover_registered_queries():
-    qs, sql = entry.queries(), entry.oracle_sql()
-    assert set(sql) <= set(qs)
-    rows_only = set(qs) - set(sql)
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(QUERIES) <= set(entry.queries())
+    rows_only = set(QUERIES) - set(entry.oracle_sql())
     assert rows_only == {
         "train_classifier", "list_objects",
         "scan_binary", "image_normalize", "save_checkpoints", "chunk_recursive", "epoch_loss", "ivf_kmeans_recall",
@@ -22,7 +24,7 @@ def test_oracles_cover_registered_queries():
 
 def test_every_query_builds_on_smoke_data(spark):
     skip = {"train_classifier", "save_checkpoints", "epoch_loss", "ivf_kmeans_recall", "stream_ingest", "stream_index", "stream_history", "stream_stage_metrics"}
-    for name, fn in entry.queries().items():
+    for name, fn in QUERIES.items():
         if name in skip:
             continue
         df = fn(spark, SF_SMALL)
@@ -30,8 +32,6 @@ def test_every_query_builds_on_smoke_data(spark):
 
 
 def test_flagship_same_under_any_partitioning(spark):
-    from corpus_search.plans.catalog import QUERIES
-
     out = []
     for n in ("1", "8"):
         spark.conf.set("spark.sql.shuffle.partitions", n)
