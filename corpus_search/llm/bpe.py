@@ -15,6 +15,7 @@ from __future__ import annotations
 import functools
 import heapq
 import json
+import math
 import os
 from collections.abc import Callable, Iterator
 
@@ -26,7 +27,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpus_search.llm.common import no_nulls, ranges, scratch, text_bytes, utf8_parts
+from corpus_search.llm.common import no_nulls, ranges, scratch, text_bytes, utf8_parts, written
 
 # Fixed values of the byte-level tokenizer format: how it cuts text into words before merging.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -282,8 +283,8 @@ class Codec:
         start[known] = self.out_ends[place[known]]
         size[known] = self.out_ends[place[known] + 1] - start[known]
         extra, at = [], len(self.out_ids)
-        for i in np.flatnonzero(~known):
-            ids = self.unseen(words[int(i)].as_py())
+        for i, word in zip(np.flatnonzero(~known).tolist(), words.filter(pa.array(~known)).to_pylist()):
+            ids = self.unseen(word)
             start[i], size[i] = at, len(ids)
             extra.append(ids)
             at += len(ids)
@@ -298,12 +299,18 @@ class Codec:
         return self.vocab_bytes[ranges(starts, size)], np.concatenate([[0], np.cumsum(size)])
 
 
+#: 1 for ASCII letters, 2 for digits, 3 for marks; 0 for white space, control characters and bytes beyond ASCII.
+_KIND = np.array([1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 3 if 32 < b < 127 else 0 for b in range(128)] + [0] * 128, np.uint8)
+
+
 def cut_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Texts (ASCII white space only) cut into pieces that merge alone, and each text's first piece.
 
     A piece is a run without white space with the one blank before it, or what is left of a run
     of white space: all but its last character, and that one if it is no blank, or the whole run
-    at the end of a text. The tokenizer's pattern never makes a word across two such pieces.
+    at the end of a text. Runs are cut again where letters (ASCII and the Latin letters of two bytes
+    that begin with C3) meet digits or ASCII marks, but not after an apostrophe, which may take the
+    letters after it. The tokenizer's pattern never makes a word across two such pieces.
     """
     raw, ends = text_bytes(texts)
     n = len(raw)
@@ -319,6 +326,13 @@ def cut_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     lead = space[:-1] & ~space[1:] & ~starts_text[1:n]  # last of its run, and its text goes on
     cut[:-1] |= lead
     cut[1:] |= lead & (raw[:-1] != 32)
+    kind = _KIND[raw]
+    latin = (raw[:-1] == 0xC3) & (raw[1:] != 0x97) & (raw[1:] != 0xB7)
+    begins, stops = kind.copy(), kind.copy()  # kind of the character that begins, or ends, at a byte
+    begins[:-1][latin] = 1
+    stops[1:][latin] = 1
+    a, b = stops[:-1], begins[1:]
+    cut[1:] |= (a != b) & (a > 0) & (b > 0) & (raw[:-1] != 39)
     at = np.flatnonzero(cut)
     offsets = np.append(at, n).astype(np.int32)
     pieces = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(raw))])
@@ -335,7 +349,7 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, part in utf8_parts(no_nulls(batch.column(0)), 16 << 20):
+            for _, part in utf8_parts(no_nulls(batch.column(0)), 4 << 20):
                 pieces, _ = cut_words(part)
                 got = pc.value_counts(pieces)
                 yield pa.RecordBatch.from_arrays([got.field("values"), got.field("counts")], ["word", "n"])
@@ -344,15 +358,25 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
     return parts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def build_lexicon(docs: DataFrame, text_col: str, tokenizer_path: str, size: int = 50_000, longest: int = 40) -> str:
-    """Compile the ``size`` most frequent words of up to ``longest`` bytes; returns the shipped file's name.
+def build_lexicon(docs: DataFrame, text_col: str, tokenizer_path: str, size: int = 100_000, longest: int = 40) -> str:
+    """Compile the most frequent words, ``size`` at most, of up to ``longest`` bytes; returns the shipped file's name.
 
     The file lies in the shared folder and reaches every executor with ``addFile``.
     """
     import pyarrow.fs as pafs
 
     spark = docs.sparkSession
-    top = word_counts(docs, text_col).where(F.length("word") <= longest).orderBy(F.desc("n"), "word").limit(size)
+    counts = written(word_counts(docs, text_col).where(F.length("word") <= longest), "words")
+    # the least count that leaves at most ``size`` words, from a histogram of counts by powers of 2 ** 0.25
+    step = F.floor(F.log2("n") * 4)
+    steps = sorted(((r["s"], r["m"]) for r in counts.groupBy(step.alias("s")).agg(F.count("*").alias("m")).collect()), reverse=True)
+    least, total = math.inf, 0
+    for s, m in steps:
+        total += m
+        if total > size:
+            break
+        least = s
+    top = counts.where(step >= least) if steps and least < math.inf else counts.limit(0)
     words = [bytes(r["word"]) for r in top.select("word").collect()]  # at most size * longest bytes
     data = compile_lexicon(tokenizer_path, [w for w in words if not regex.search(WIDE_SPACE, w.decode("utf-8", "replace"))])
     path = scratch(spark, "lexicon") + ".bin"
@@ -373,7 +397,7 @@ def encoded(text: Column, lexicon: str) -> Column:
         codec = _codec(lexicon)
         for batch in texts:
             n, blobs = [], []
-            for _, part in utf8_parts(no_nulls(batch)):
+            for _, part in utf8_parts(no_nulls(batch), 1 << 20):
                 ids, ends = codec.encode(part)
                 raw = ids.astype("<u4").tobytes()
                 n.append(np.diff(ends))
@@ -392,7 +416,7 @@ def decoded(ids: Column, lexicon: str) -> Column:
         codec = _codec(lexicon)
         for batch in batches:
             out: list[str] = []
-            for _, part in utf8_parts(pc.fill_null(batch, b"")):
+            for _, part in utf8_parts(pc.fill_null(batch, b""), 1 << 20):
                 raw, ends = text_bytes(part)
                 data, at = codec.decode(np.frombuffer(raw.tobytes(), "<u4"))
                 text = data.tobytes()
