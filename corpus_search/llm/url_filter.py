@@ -104,10 +104,17 @@ def scored(urls: DataFrame, contexts: DataFrame, key: str) -> DataFrame:
     """``key`` and ``_score`` of rows with ``_s``; rows without characters are left out."""
     rows = _places(urls, [key]).withColumn("_c", F.substring("_g", ORDER + 1, 1))
     pa = pr = F.lit(1.0 / (len(ALPHABET) + 2))
-    for k in range(ORDER + 1):
+    # the empty context is one row of at most the alphabet's length: its counts are constants of the plan
+    empty = contexts.where(F.length("ctx") == 0).first()
+    if empty is None:
+        return rows.select(key, F.lit(0.0).alias("d")).groupBy(key).agg(F.avg("d").alias("_score"))
+    rows = rows.withColumns({
+        "na0": F.lit(empty["na"]), "nr0": F.lit(empty["nr"]), "chars0": F.lit(empty["chars"]), "ca0": F.array(*map(F.lit, empty["ca"])), "cr0": F.array(*map(F.lit, empty["cr"])),
+    })
+    for k in range(1, ORDER + 1):
         # at most 1 / RARE contexts of each length
         side = contexts.where(F.length("ctx") == k).select(F.col("ctx").alias(f"x{k}"), *(F.col(c).alias(f"{c}{k}") for c in ("na", "nr", "chars", "ca", "cr")))
-        before = F.substring("_g", ORDER + 1 - k, k) if k else F.lit("")
+        before = F.substring("_g", ORDER + 1 - k, k)
         rows = rows.withColumn(f"b{k}", before).join(F.broadcast(side), F.col(f"b{k}") == F.col(f"x{k}"), "left").drop(f"b{k}", f"x{k}")
     for k in range(ORDER + 1):
         at = F.instr(F.col(f"chars{k}"), F.col("_c"))
