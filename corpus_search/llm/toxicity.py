@@ -119,7 +119,7 @@ def _in_texts(grams: np.ndarray, ends: np.ndarray, which: np.ndarray, first: np.
     return np.bincount(found % max(rows, 1), minlength=rows)
 
 
-def train(texts: list[str], labels: list[int], window: int = 2, dim: int = 8, steps: int = 70, rate: float = 0.1, decay: float = 0.1, least: int = 4, seed: int = 7) -> Model:
+def train(texts: list[str], labels: list[int], window: int = 2, dim: int = 8, steps: int = 100, rate: float = 0.08, decay: float = 0.1, least: int = 4, seed: int = 7) -> Model:
     """Fit the table, the weights and the bias together with Adam on all given texts."""
     rnd = np.random.default_rng(seed)
     words, first = words_of(pa.array(texts, pa.large_string()))
@@ -137,9 +137,9 @@ def train(texts: list[str], labels: list[int], window: int = 2, dim: int = 8, st
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in parts.items()}
     sizes, whole = np.diff(ends), np.flatnonzero(np.diff(first) > 0)
     for step in range(1, steps + 1) if len(used) else ():
-        vectors = _means(parts["table"][grams] * mask[grams, None], ends)
+        # a word's value is the mean of its rows' values: the vectors themselves need not be made
         diff = parts["weight"][:, 1] - parts["weight"][:, 0]
-        value = (vectors @ diff)[which]
+        value = _means((parts["table"] @ diff * mask)[grams], ends)[which]
         if step <= steps // 2:  # first by whole texts, which says which words matter at all
             has, start, wide = whole, first[:-1][whole], np.diff(first)[whole]
             top, scale = WARM * _means(value, np.append(start, first[-1])), WARM / wide
@@ -152,10 +152,10 @@ def train(texts: list[str], labels: list[int], window: int = 2, dim: int = 8, st
         g = (p - y[has]) * weight_of[has] / weight_of[has].sum()  # of the second logit; the first one's is -g
         at = which[ranges(start, wide)]
         of_word = np.bincount(at, np.repeat(g * scale, wide), minlength=len(sizes))
-        mean_vector = of_word @ vectors
+        of_row = np.bincount(grams, np.repeat(of_word / sizes, sizes), minlength=len(used)) * mask
+        mean_vector = of_row @ parts["table"]
         grad = {
-            "weight": np.stack([-mean_vector, mean_vector], 1), "bias": np.array([-g.sum(), g.sum()]),
-            "table": np.bincount(grams, np.repeat(of_word / sizes, sizes), minlength=len(used))[:, None] * mask[:, None] * diff[None, :],
+            "weight": np.stack([-mean_vector, mean_vector], 1), "bias": np.array([-g.sum(), g.sum()]), "table": of_row[:, None] * diff[None, :],
         }
         for k, v in parts.items():
             d = grad[k].astype(np.float32)
