@@ -111,12 +111,15 @@ def best_windows(value: np.ndarray, first: np.ndarray, window: int) -> tuple[np.
 
 def _in_texts(grams: np.ndarray, ends: np.ndarray, which: np.ndarray, first: np.ndarray, rows: int) -> np.ndarray:
     """In how many texts each table row occurs."""
-    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    pairs = np.unique(doc * max(len(ends) - 1, 1) + which)
-    doc, word = pairs // max(len(ends) - 1, 1), pairs % max(len(ends) - 1, 1)
-    size = np.diff(ends)[word]
-    found = np.unique(np.repeat(doc, size) * max(rows, 1) + grams[ranges(ends[:-1][word], size)])
-    return np.bincount(found % max(rows, 1), minlength=rows)
+    total, sizes = np.zeros(rows, np.int64), np.diff(ends)
+    for lo in range(0, len(first) - 1, 100):  # a hundred texts at a time: each is in one part
+        part = first[lo : lo + 101]
+        doc = np.repeat(np.arange(len(part) - 1), np.diff(part))
+        pairs = np.unique(doc * max(len(sizes), 1) + which[part[0] : part[-1]])
+        doc, word = pairs // max(len(sizes), 1), pairs % max(len(sizes), 1)
+        found = np.unique(np.repeat(doc, sizes[word]) * max(rows, 1) + grams[ranges(ends[:-1][word], sizes[word])])
+        total += np.bincount(found % max(rows, 1), minlength=rows)[:rows]
+    return total
 
 
 def train(texts: list[str], labels: list[int], window: int = 2, dim: int = 8, steps: int = 100, rate: float = 0.08, decay: float = 0.1, least: int = 4, seed: int = 7) -> Model:
