@@ -18,8 +18,10 @@ from corpus_search.llm.queries import TARGETS
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is below one half; the classifier is learnt from the labels table."""
+    """Documents whose score is below one half, all of them if the labels table gives nothing to learn from."""
     model = toxicity.fit(docs, documents(spark, sf_dir, "labels"))
+    if not model.learnt:
+        return docs
     return docs.where(toxicity.score(F.coalesce(F.col("text").cast("string"), F.lit("")), model) < 0.5)
 
 

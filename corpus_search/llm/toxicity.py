@@ -75,12 +75,13 @@ def grams_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class Model:
-    """Embeddings, softmax weights and bias, and the window's length in words."""
+    """Embeddings, softmax weights and bias, the window's length in words, and whether any word was learnt from."""
 
     table: np.ndarray  # BUCKETS x dim
     weight: np.ndarray  # dim x 2
     bias: np.ndarray  # 2
     window: int
+    learnt: bool = True
 
     def folded(self) -> np.ndarray:
         """Each table row's part in the difference of the two logits: all that scoring needs."""
@@ -123,7 +124,10 @@ def _in_texts(grams: np.ndarray, ends: np.ndarray, which: np.ndarray, first: np.
 
 
 def train(texts: list[str], labels: list[int], window: int = 2, dim: int = 8, steps: int = 100, rate: float = 0.08, decay: float = 0.1, least: int = 4, seed: int = 7) -> Model:
-    """Fit the table, the weights and the bias together with Adam on all given texts."""
+    """Fit the table, the weights and the bias together with Adam on all given texts.
+
+    Without a row that ``least`` texts share nothing can be learnt: all scores are 0.5 and ``learnt`` is false.
+    """
     rnd = np.random.default_rng(seed)
     words, first = words_of(pa.array(texts, pa.large_string()))
     coded = words.dictionary_encode()
@@ -135,11 +139,13 @@ def train(texts: list[str], labels: list[int], window: int = 2, dim: int = 8, st
     weight_of = np.where(y == 1, min(10.0, (1 - share) / share), 1.0)
     used, grams = np.unique(grams, return_inverse=True)
     mask = _in_texts(grams, ends, which, first, len(used)) >= least  # rows that only a text or two have say nothing
+    if not mask.any():
+        return Model(np.zeros((BUCKETS, dim), np.float32), np.zeros((dim, 2), np.float32), np.zeros(2, np.float32), window, learnt=False)
     table = rnd.normal(0, 0.1, (len(used), dim)).astype(np.float32)
     parts = {"table": table, "weight": rnd.normal(0, 0.5, (dim, 2)).astype(np.float32), "bias": np.zeros(2, np.float32)}
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in parts.items()}
     sizes, whole = np.diff(ends), np.flatnonzero(np.diff(first) > 0)
-    for step in range(1, steps + 1) if len(used) else ():
+    for step in range(1, steps + 1):
         # a word's value is the mean of its rows' values: the vectors themselves need not be made
         diff = parts["weight"][:, 1] - parts["weight"][:, 0]
         value = _means((parts["table"] @ diff * mask)[grams], ends)[which]
@@ -207,7 +213,7 @@ def fit(
     """Train on at most ``max_rows`` labelled documents outside the held fold.
 
     An id with several labels takes the largest; rows without id, label or text are left out. Without
-    labelled rows the model knows nothing and gives every text 0.5.
+    rows to learn from the model knows nothing, gives every text 0.5 and calls none toxic.
     """
     key = F.col(id_col)
     known = labels.where(key.isNotNull() & F.col(label_col).isNotNull() & (crc_mod(key, folds) != held))
@@ -225,8 +231,11 @@ def fit(
 
 
 def classify(docs: DataFrame, model: Model, folds: int = 5, held: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: ``id_col``, ``held_out``, ``score`` and ``predicted``; other columns are not read."""
+    """Per row: ``id_col``, ``held_out``, ``score`` and ``predicted``; other columns are not read.
+
+    A model that learnt nothing predicts 0.
+    """
     scored = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_t")).withColumn("score", score("_t", model))
     return scored.select(
-        id_col, (crc_mod(F.col(id_col), folds) == held).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted")
+        id_col, (crc_mod(F.col(id_col), folds) == held).alias("held_out"), "score", F.when((F.col("score") >= 0.5) & F.lit(model.learnt), 1).otherwise(0).cast("int").alias("predicted")
     )

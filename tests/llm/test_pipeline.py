@@ -8,7 +8,7 @@ from test_jaccard import compared, plain_set
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from corpus_search.llm import bpe
+from corpus_search.llm import bpe, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -76,3 +76,15 @@ def test_registered_and_whole_run(spark, inputs):
     queries = entry.queries()
     assert {f"op{n}_" for n in range(1, 11)} == {q.split("_")[0] + "_" for q in queries if q.startswith("op")}
     assert queries["pipeline"](spark, inputs[0]).columns == ["doc_id", "n_tokens", "ids"]
+
+
+@pytest.mark.parametrize("kind", ["empty", "null", "few"])
+def test_nothing_is_toxic_without_labels_to_learn_from(spark, inputs, tmp_path, kind):
+    root, rows = inputs
+    labels = {"empty": [], "null": [(i, 1, None) for i in range(240)], "few": [(1, 1, 1), (2, 1, 0), (3, 1, 0)]}[kind]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{root}/documents.parquet")
+    kept = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and kept.count() == len(rows)
+    model = toxicity.fit(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    assert {r["predicted"] for r in toxicity.classify(docs, model).collect()} == {0}
