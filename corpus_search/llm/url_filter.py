@@ -1,16 +1,16 @@
 """URL filter: host and path rules, and a ratio of two character language models.
 
 Accepted and rejected URLs (those that a rule decides, or any labelled ones) give two variable-order
-Markov models. A context of up to ``ORDER`` characters is kept if it makes up at least the share
-``RARE`` of all places of its length, so at most ``1 / RARE`` contexts of each length are kept,
-however much text there is: that bounds what is broadcast. The chance of a character after a context
-is interpolated with the next shorter context's, down to the uniform distribution; where a context
-isn't kept, the shorter one speaks. A URL's score is the mean over its characters of the difference
+Markov models. Every context of up to ``ORDER`` characters counts, so the models grow with the input. The
+chance of a character after a context is interpolated with the next shorter context's, down to the
+uniform distribution; where a context never occurred, the shorter one speaks. A URL's score is the mean over its characters of the difference
 of the two log-likelihoods. The threshold is calibrated on the fifth of the labelled URLs that the
 models didn't see: where the shares of both kinds that fall on the wrong side sum to the least.
 
 All is native; URLs are cut into characters in the row, counted with partial sums, and scored by
-joins with the broadcast contexts and a sum by row. A null URL, or one without ``://``, has an empty
+joins and a sum by row: each distinct gram (a character and those before it) is joined with the
+contexts and judged once, and the rows then look their grams up. The judged grams are broadcast only
+if their number, which is counted, keeps them within ``MAX_BROADCAST`` bytes. A null URL, or one without ``://``, has an empty
 host and path; a URL without characters after ``://`` scores 0 and is blocked unless a rule says else.
 Repeated rows are judged alike.
 """
@@ -33,8 +33,9 @@ RULES = (
     ("block", "com", "/de/"),
 )
 ORDER = 4
-RARE = 1e-4
 STRENGTH = 4.0
+#: Bytes of judged grams that may be broadcast, and of one of them in a task's hash table (text, number, pointers).
+MAX_BROADCAST, GRAM_BYTES = 32 << 20, 96
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Characters that the models tell apart; all others are one.
 ALPHABET = LOWER + "0123456789-._~/?#[]@!$&'()*+,;=:%"
@@ -71,7 +72,7 @@ def symbols(url: Column) -> Column:
 
 @dataclass(frozen=True)
 class Model:
-    """Kept contexts with both models' counts of the characters after them; the least score that is accepted."""
+    """All contexts with both models' counts of the characters after them; the least score that is accepted."""
 
     contexts: DataFrame
     least: float
@@ -85,47 +86,54 @@ def _places(urls: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def count_contexts(labelled: DataFrame) -> DataFrame:
-    """Kept contexts from rows of ``_s`` (symbols) and ``_ok`` (accepted): ``ctx``, and maps of counts by next character."""
+    """All contexts from rows of ``_s`` (symbols) and ``_ok`` (accepted): ``ctx``, and maps of counts by next character."""
     grams = _places(labelled, ["_ok"]).groupBy("_g").agg(F.sum(F.col("_ok").cast("long")).alias("a"), F.sum((~F.col("_ok")).cast("long")).alias("r"))
-    total = grams.agg(F.sum(F.col("a") + F.col("r")).alias("n")).first()["n"] or 0
     each = grams.select("a", "r", F.substring("_g", ORDER + 1, 1).alias("c"), F.explode(
         F.array(*(F.substring("_g", ORDER + 1 - k, k) if k else F.lit("") for k in range(ORDER + 1)))).alias("ctx"))
     by_char = each.groupBy("ctx", "c").agg(F.sum("a").alias("a"), F.sum("r").alias("r"))
     # at most one entry for each symbol of the alphabet in a context's list
-    lists = by_char.groupBy("ctx").agg(
+    return by_char.groupBy("ctx").agg(
         F.sum("a").alias("na"), F.sum("r").alias("nr"), F.array_join(F.sort_array(F.collect_list("c")), "").alias("chars"),
         F.transform(F.sort_array(F.collect_list(F.struct("c", "a"))), lambda x: x["a"].cast("double")).alias("ca"),
         F.transform(F.sort_array(F.collect_list(F.struct("c", "r"))), lambda x: x["r"].cast("double")).alias("cr"),
     )
-    return lists.where((F.length("ctx") == 0) | (F.col("na") + F.col("nr") >= RARE * total))
 
 
-def scored(urls: DataFrame, contexts: DataFrame, key: str) -> DataFrame:
-    """``key`` and ``_score`` of rows with ``_s``; rows without characters are left out."""
-    rows = _places(urls, [key]).withColumn("_c", F.substring("_g", ORDER + 1, 1))
-    pa = pr = F.lit(1.0 / (len(ALPHABET) + 2))
+def judged_grams(grams: DataFrame, contexts: DataFrame) -> DataFrame:
+    """``_g`` and ``d``, the difference of its last character's two log-likelihoods, of distinct grams."""
     # the empty context is one row of at most the alphabet's length: its counts are constants of the plan
     empty = contexts.where(F.length("ctx") == 0).first()
     if empty is None:
-        return rows.select(key, F.lit(0.0).alias("d")).groupBy(key).agg(F.avg("d").alias("_score"))
-    rows = rows.withColumns({
-        "na0": F.lit(empty["na"]), "nr0": F.lit(empty["nr"]), "chars0": F.lit(empty["chars"]), "ca0": F.array(*map(F.lit, empty["ca"])), "cr0": F.array(*map(F.lit, empty["cr"])),
-    })
-    for k in range(1, ORDER + 1):
-        # at most 1 / RARE contexts of each length
-        side = contexts.where(F.length("ctx") == k).select(F.col("ctx").alias(f"x{k}"), *(F.col(c).alias(f"{c}{k}") for c in ("na", "nr", "chars", "ca", "cr")))
-        before = F.substring("_g", ORDER + 1 - k, k)
-        rows = rows.withColumn(f"b{k}", before).join(F.broadcast(side), F.col(f"b{k}") == F.col(f"x{k}"), "left").drop(f"b{k}", f"x{k}")
+        return grams.select("_g", F.lit(0.0).alias("d"))
+    pa = pr = F.lit(1.0 / (len(ALPHABET) + 2))
+    rows = grams.select(
+        "_g", F.substring("_g", ORDER + 1, 1).alias("_c"), F.lit(empty["na"]).alias("na0"), F.lit(empty["nr"]).alias("nr0"),
+        F.lit(empty["chars"]).alias("chars0"), F.array(*map(F.lit, empty["ca"])).alias("ca0"), F.array(*map(F.lit, empty["cr"])).alias("cr0"),
+    )
     for k in range(ORDER + 1):
+        if k:
+            side = contexts.where(F.length("ctx") == k).select(F.col("ctx").alias("_x"), *(F.col(c).alias(f"{c}{k}") for c in ("na", "nr", "chars", "ca", "cr")))
+            rows = rows.join(side, F.substring("_g", ORDER + 1 - k, k) == F.col("_x"), "left").drop("_x")
         at = F.instr(F.col(f"chars{k}"), F.col("_c"))
 
         def mixed(counts: str, n: str, p: Column) -> Column:
             seen = F.when(at > 0, F.get(F.col(f"{counts}{k}"), at - 1)).otherwise(0.0)
             return F.when(F.col(f"{n}{k}").isNull(), p).otherwise((seen + STRENGTH * p) / (F.col(f"{n}{k}") + STRENGTH))
 
-        rows = rows.select("*", mixed("ca", "na", pa).alias(f"pa{k}"), mixed("cr", "nr", pr).alias(f"pr{k}"))
+        # only the two chances go on to the next join
+        rows = rows.select("_g", "_c", mixed("ca", "na", pa).alias(f"pa{k}"), mixed("cr", "nr", pr).alias(f"pr{k}"))
         pa, pr = F.col(f"pa{k}"), F.col(f"pr{k}")
-    return rows.select(key, (F.log(pa) - F.log(pr)).alias("d")).groupBy(key).agg(F.avg("d").alias("_score"))
+    return rows.select("_g", (F.log(pa) - F.log(pr)).alias("d"))
+
+
+def scored(urls: DataFrame, contexts: DataFrame, key: str) -> DataFrame:
+    """``key`` and ``_score`` of rows with ``_s``; rows without characters are left out."""
+    rows = _places(urls, [key])
+    grams = written(judged_grams(rows.select("_g").distinct(), contexts), "url-grams")
+    small = grams.count() * GRAM_BYTES <= MAX_BROADCAST
+    # hinted, as the planner's own guess rests on the size of the compressed file
+    grams = F.broadcast(grams) if small else grams.hint("merge")
+    return rows.join(grams, "_g").groupBy(key).agg(F.avg("d").alias("_score"))
 
 
 def fit(urls: DataFrame, url_col: str = "url", rules: tuple = RULES, bins: int = 100) -> Model:

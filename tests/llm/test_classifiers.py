@@ -194,3 +194,20 @@ def test_mix_reaches_the_targets(spark, texts):
     nobody = mixing.fit_classifier(docs.where("lang = 'zz'"), domain_col="lang")
     assert {r["rate"] for r in mixing.mix(docs, nobody, targets).collect()} == {1.0}
     assert mixing.mix(docs.limit(0), model, targets).count() == 0 and mixing.repeat(docs.limit(0), model, targets).count() == 0
+
+
+def test_rare_url_contexts_count_at_any_size(spark, monkeypatch):
+    # one accepted and one rejected text of their own kinds among 30,000 places
+    rows = [("abcdefghij" * 10, i % 2 == 0) for i in range(300)] + [("zyxwv", True), ("zyxuv", False)]
+    contexts = url_filter.count_contexts(spark.createDataFrame(rows, "_s string, _ok boolean")).cache()
+    got = {r["ctx"] for r in contexts.collect()}
+    want = {(" " * 4 + s)[j + 4 - k : j + 4] for s, _ in set(rows) for j in range(len(s)) for k in range(5)}
+    assert got == want
+    texts = spark.createDataFrame([(t, t) for t in ("zyxwv", "zyxuv", "abcde", "")], "k string, _s string")
+    near = {r["k"]: r["_score"] for r in url_filter.scored(texts, contexts, "k").collect()}
+    assert near["zyxwv"] > 0.1 and near["zyxuv"] < -0.1 and abs(near["abcde"]) < 0.01 and "" not in near
+    monkeypatch.setattr(url_filter, "MAX_BROADCAST", 0)
+    shuffled = url_filter.scored(texts, contexts, "k")
+    assert "SortMergeJoin" in shuffled._jdf.queryExecution().toString()
+    far = {r["k"]: r["_score"] for r in shuffled.collect()}
+    assert far.keys() == near.keys() and all(abs(far[k] - near[k]) < 1e-9 for k in far)
