@@ -3,9 +3,12 @@
 Generators with high recall propose spans that may overlap (anything around an at-sign, addresses
 spelt out, runs of digits with and without blanks). Each candidate has small whole-number features
 of its format (digits, separators, groups, brackets) and its context (neighbouring characters, words
-before it that announce such data). Gradient-boosted trees of depth two learn which features go with
-the base formats, which serve as labels here; the leading plus sign, which alone would tell a phone
-number's base format, is left out, so that the same digits and groups without it are found too. Features are counted over all documents first (the table of feature values is
+before it that announce such data or something else). Gradient-boosted trees of depth two learn
+which features go with personal data. A candidate is right if it overlaps a base span, or if its normal
+form (spelt signs as signs, a phone number with its plus, letters beyond ASCII as letters) has a base
+format and its context or its own form speaks for it; a grouped number of a base format whose context
+says nothing counts neither way, and the others are wrong. The leading plus sign isn't a feature, so
+that the same digits and groups without it are found too. Features are counted over all documents first (the table of feature values is
 bounded by the product of their ranges) and the trees are fitted to those counts. Per generator the
 threshold is the least score at which the wanted share of calibration candidates is right. Scoring
 is one native expression a candidate.
@@ -34,16 +37,20 @@ CARD = r"[0-9][0-9\x20-]*?(?=[\x20-]{2}|[\x20-]?+(?:[^0-9\x20-]|\z))"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 
-#: Generators of candidates: kind, pattern, cheap test of a text.
+#: Generators of candidates: kind, pattern, pattern of a cheap test of a text.
 GENERATORS = (
     ("maybe_email", r"(?<![^\s@<>,;()])[^\s@<>,;()]++@[^\s@<>,;()]++", "@"),
-    ("maybe_spelt", r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++\x20?[(\[]at[)\]]\x20?[A-Za-z0-9-]++\x20?(?:[(\[]dot[)\]]|\.)\x20?[A-Za-z]{2,}+", "at"),
+    ("maybe_spelt", r"(?i)(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++\x20?[(\[]at[)\]]\x20?[A-Za-z0-9-]++\x20?(?:[(\[]dot[)\]]|\.)\x20?[A-Za-z]{2,}+", r"(?i)[(\[]at[)\]]"),
     ("maybe_number", r"(?<![0-9A-Za-z])[+(]?[0-9][0-9().\x20/-]*[0-9]", ""),
     ("maybe_code", r"(?<![0-9A-Za-z.-])[0-9][0-9.-]*[0-9](?![0-9A-Za-z])", ""),
 )
-CONTEXT = r"(?i)(?:tel|phone|call|fax|mobile|card|visa|account|iban|ip|host|mail|contact|write)\W{0,3}$"
+TAIL = r"(?:\W{1,3}(?:me|us|at|on|is|to|number|no|nr))*\W{0,3}$"
+CONTEXT = r"(?i)(?:tel|phone|call|fax|mobile|card|visa|account|iban|ip|host|mail|contact|write)" + TAIL
+#: Words that announce a number of another sort.
+OTHER = r"(?i)(?<![a-z])(?:order|invoice|ref|reference|version|date|isbn|serial|ticket|id|total|page)" + TAIL
 #: Features and the number of values of each.
-FEATURES = (("digits", 8), ("marks", 6), ("groups", 6), ("last_group", 6), ("bracket", 2), ("letters", 4), ("dots", 4), ("before", 3), ("after", 3), ("told", 2), ("check", 2))
+FEATURES = (("digits", 8), ("marks", 6), ("groups", 6), ("last_group", 6), ("bracket", 3), ("letters", 4), ("dots", 4), ("before", 3), ("after", 3), ("told", 3), ("check", 2))
+PLACE = {name: i for i, (name, _) in enumerate(FEATURES)}
 
 
 def luhn(digits: Column) -> Column:
@@ -84,7 +91,7 @@ def candidates(text: Column) -> Column:
     for rank, (kind, pattern, needs) in enumerate(GENERATORS, len(KINDS)):
         found = S.matches(text, pattern, kind, rank)
         if needs:
-            proposed.append(S.when_any(F.contains(text, F.lit(needs)) & text.rlike(pattern), found))
+            proposed.append(S.when_any(text.rlike(needs) & text.rlike(pattern), found))
         else:
             enough = F.filter(found, lambda s: F.length(F.regexp_replace(s["part"], "[^0-9]", "")).between(7, 19))
             proposed.append(S.when_any(text.rlike(r"(?:[0-9][().\x20/-]*+){6}[0-9]"), enough))
@@ -103,15 +110,15 @@ def features(text: Column, s: Column) -> Column:
     # the first characters are the neighbourhood's own: places before the text don't exist
     before = F.when(s["start"] > 0, text.substr(s["start"], F.lit(1))).otherwise("")
     after = text.substr(s["stop"] + 1, F.lit(1))
-    lead = F.when(s["start"] > 0, text.substr(F.greatest(s["start"] - 11, F.lit(1)), F.least(s["start"], F.lit(12)))).otherwise("")
+    lead = F.when(s["start"] > 0, text.substr(F.greatest(s["start"] - 23, F.lit(1)), F.least(s["start"], F.lit(24)))).otherwise("")
 
     def side(c: Column) -> Column:
         return F.when(c.rlike(r"^[\p{L}\p{N}_]$"), 2).when(c.rlike(r"^\S$"), 1).otherwise(0)
 
     values = {
         "digits": F.least(F.greatest(digits - 6, F.lit(0)), F.lit(7)), "marks": F.least(marks, F.lit(5)), "groups": F.least(F.size(groups), F.lit(5)),
-        "last_group": F.least(last, F.lit(5)), "bracket": F.contains(part, F.lit("(")).cast("int"), "letters": F.least((letters / 4).cast("int"), F.lit(3)),
-        "dots": F.least(dots, F.lit(3)), "before": side(before), "after": side(after), "told": lead.rlike(CONTEXT).cast("int"),
+        "last_group": F.least(last, F.lit(5)), "bracket": F.when(s["kind"] == "maybe_spelt", 2).otherwise(F.contains(part, F.lit("(")).cast("int")), "letters": F.least((letters / 4).cast("int"), F.lit(3)),
+        "dots": F.least(dots, F.lit(3)), "before": side(before), "after": side(after), "told": F.when(lead.rlike(CONTEXT), 2).when(lead.rlike(OTHER), 0).otherwise(1),
         "check": F.when(digits.between(12, 19), luhn(F.regexp_replace(part, "[^0-9]", ""))).otherwise(False).cast("int"),
     }
     return F.array(*(values[name] for name, _ in FEATURES))
@@ -121,6 +128,21 @@ def overlaps(span: Column, base: Column) -> Column:
     return F.exists(base, lambda b: (b["start"] < span["stop"]) & (span["start"] < b["stop"]))
 
 
+def evidence(c: Column, base: Column) -> Column:
+    """Whether a candidate is personal data, as far as base spans, its normal form and its context tell; null if they don't."""
+    span, part, x = c["span"], c["span"]["part"], c["x"]
+    told = x[PLACE["told"]]
+    mail = F.regexp_replace(part, r"[^\x00-\x7f]", "x").rlike(EMAIL)
+    signs = F.regexp_replace(F.regexp_replace(part, r"(?i)\x20?[(\[]at[)\]]\x20?", "@"), r"(?i)\x20?[(\[]dot[)\]]\x20?", ".")
+    # a point with a blank beside it may end a sentence
+    spelt = F.translate(signs, " ", "").rlike(f"^(?:{EMAIL})$") & (~F.contains(signs, F.lit(" ")) | (told == 2))
+    digits = F.regexp_replace(part, "[^0-9]", "")
+    phone = F.concat(F.lit("+"), F.translate(F.regexp_replace(part, r"^[+(]+", ""), "/", "-")).rlike(f"^(?:{PHONE})$") & F.length(digits).between(9, 15)
+    formed = phone | (x[PLACE["check"]] == 1)
+    number = F.when(~formed | (told == 0), False).when(told == 2, True).when(x[PLACE["groups"]] < 2, False)
+    return F.when(overlaps(span, base), True).when(span["kind"] == "maybe_email", mail).when(span["kind"] == "maybe_spelt", spelt).otherwise(number)
+
+
 @dataclass(frozen=True)
 class Model:
     """Trees as (feature, bound, feature below, bound, feature above, bound, four leaves); least score by kind."""
@@ -203,11 +225,11 @@ def fit(docs: DataFrame, precision: float = 0.95, id_col: str = "doc_id", text_c
 
     def judged(found: Column) -> Column:
         return F.transform(found["more"], lambda c: F.struct(
-            c["span"]["kind"].alias("kind"), c["x"].alias("x"), overlaps(c["span"], found["base"]).alias("right")))
+            c["span"]["kind"].alias("kind"), c["x"].alias("x"), evidence(c, found["base"]).alias("right")))
 
     found = S.let(F.struct(base_spans(text).alias("base"), candidates(text).alias("more")), judged)
     one = docs.select((crc_mod(F.col(id_col), 5) == 0).alias("aside"), F.explode(found).alias("c"))
-    counted = one.groupBy("aside", F.col("c.kind").alias("kind"), F.col("c.x").alias("x")).agg(
+    counted = one.where(F.col("c.right").isNotNull()).groupBy("aside", F.col("c.kind").alias("kind"), F.col("c.x").alias("x")).agg(
         F.sum(F.col("c.right").cast("long")).alias("right"), F.sum((~F.col("c.right")).cast("long")).alias("wrong"))
     rows = sorted(((r["aside"], r["kind"], list(r["x"]), float(r["right"]), float(r["wrong"])) for r in counted.collect()), key=repr)
     start, trees = boost([r[2:] for r in rows if not r[0]])

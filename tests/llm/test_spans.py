@@ -97,3 +97,23 @@ def test_phone_without_plus_is_found(spark):
     got = {r["doc_id"]: r["spans"] for r in pii.digests(pii.scan(docs, model)).collect()}
     assert got[999].startswith("maybe_number:11:")
     assert not any(got[100 + i] for i in range(60))
+
+
+def test_other_forms_are_found_though_they_are_a_third(spark):
+    names = ["ann", "bob.lee", "c_d", "eve-x"]
+    rows = []
+    for i in range(120):
+        rows += [
+            (10 * i, f"call me at +1 (375) 555-{4000 + i} today"), (10 * i + 1, f"reach them under 1 (375) 555-{5000 + i} today"),
+            (10 * i + 2, f"so {names[i % 4]}{i}@site{i}.org it was"), (10 * i + 3, f"so {names[i % 4]}{i} {['[at]', '(AT)', '[At]'][i % 3]} site{i} {['[dot]', '[DOT]', '(dot)'][i % 3]} org it was"),
+            (10 * i + 4, f"look (at) noon{i}. The end"), (10 * i + 5, f"order 2024-{100000 + i}-11 number 17-{i:05d}"),
+        ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = pii.fit(docs)
+    got = {r["doc_id"]: r["spans"] for r in pii.digests(pii.scan(docs, model)).collect()}
+    for i in range(120):
+        plain_phone, spelt = rows[6 * i + 1][1], rows[6 * i + 3][1]
+        assert got[10 * i + 1] == f"maybe_number:17:{len(plain_phone) - 6}"
+        assert got[10 * i + 3] == f"maybe_spelt:3:{len(spelt) - 7}"
+        assert got[10 * i].startswith("phone:11:") and got[10 * i + 2].startswith("email:3:")
+        assert got[10 * i + 4] == "" and "maybe" not in got[10 * i + 5]  # some of the latter pass as cards
