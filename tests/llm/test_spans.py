@@ -117,3 +117,27 @@ def test_other_forms_are_found_though_they_are_a_third(spark):
         assert got[10 * i + 3] == f"maybe_spelt:3:{len(spelt) - 7}"
         assert got[10 * i].startswith("phone:11:") and got[10 * i + 2].startswith("email:3:")
         assert got[10 * i + 4] == "" and "maybe" not in got[10 * i + 5]  # some of the latter pass as cards
+
+
+def test_random_keys_are_found_whatever_their_prefix(spark):
+    rnd = random.Random(9)
+    lower, letters = "abcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+    def drawn(alphabet, n):
+        return "".join(rnd.choice(alphabet) for _ in range(n))
+
+    keys = ["key-3ax6xnjp29jd6fds4gc373sgvjxteol0", "sk-9f2k7q0w3m8z1x5v4b6n", "v1/keys/9f2k7q0w3m8z1x5v4b6n"]
+    keys += [f"{p}{drawn(lower, 32)}" for p in ("key-", "sk_live_", "v1/keys/", "/home/user/") for _ in range(50)]
+    keys += [drawn(a, 40) for a in (letters, letters[:26], letters[26:]) for _ in range(50)]
+    keys += [f"{p}{drawn(letters, 30)}" for p in ("example-", "sample_", "") for _ in range(20)]
+    names = [
+        "/usr/local/lib/python3/dist-packages/numpy/core/include", "getElementsByTagNameAndClassForDocument", "MAX_NUMBER_OF_CONNECTIONS_PER_HOST",
+        "das-ist-ein-langer-name-mit-vielen-worten", "le_nom_de_la_fonction_est_tres_long", "una-funcion-con-muchas-palabras-largas", "projects/v1/x86_64/release-2024-05-11",
+        "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "replace-with-placeholder-value", "background-thread-length-check", "AbstractSingletonProxyFactoryBean",
+    ]
+    docs = spark.createDataFrame([(i, f"the {k} here") for i, k in enumerate(keys + names)], "doc_id int, text string")
+    out = {r["doc_id"]: r["text"] for r in secret_scan.redact(docs).collect()}
+    missed = [k for i, k in enumerate(keys) if out[i] != "the [secret] here"]
+    # entropy that random letters don't reach by chance
+    assert not set(missed) & set(keys[:3]) and len(missed) <= len(keys) * 0.02, missed
+    assert [k for i, k in enumerate(names, len(keys)) if out[i] != f"the {k} here"] == []
