@@ -8,8 +8,9 @@ in a short and in a very long text alike; training finds those windows as it goe
 the window that is worst at that time). Everything is a sum over words, so a whole text costs one
 lookup a word and one cumulative sum.
 
-Labels are learnt from a bounded sample (``max_rows`` labelled documents of at most ``max_chars``
-characters each, chosen by a hash of the id); scores are for whole texts. Null text counts as
+Labels are learnt from a bounded sample (``max_rows`` labelled documents that have words, a quota of
+them for each label, chosen by a hash of the id; of a text longer than ``max_chars`` characters a
+stretch of that length, placed by a hash); scores are for whole texts. Null text counts as
 empty; a text without words has the score of no evidence (the softmax of the bias).
 """
 
@@ -24,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpus_search.llm.common import crc_mod, no_nulls, ranges, text_bytes, text_offsets, utf8_parts
+from corpus_search.llm.common import crc_mod, no_nulls, ranges, text_bytes, text_offsets, utf8_parts, written
 
 BUCKETS = 1 << 16
 SIZES = (3, 4, 5)
@@ -206,26 +207,44 @@ def score(text: Column | str, model: Model) -> Column:
     return of(F.col(text) if isinstance(text, str) else text)
 
 
+def quotas(counts: dict[int, int], most: int) -> dict[int, int]:
+    """How many rows of each label a sample of at most ``most`` has: an equal part for each, the rest by their number."""
+    if sum(counts.values()) <= most:
+        return dict(counts)
+    least = {y: min(n, most // (len(counts) + 1)) for y, n in counts.items()}
+    left, more = most - sum(least.values()), sum(counts.values()) - sum(least.values())
+    return {y: least[y] + left * (n - least[y]) // more for y, n in counts.items()}
+
+
 def fit(
     docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, max_rows: int = 3000, max_chars: int = 6_000,
     id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
 ) -> Model:
     """Train on at most ``max_rows`` labelled documents outside the held fold.
 
-    An id with several labels takes the largest; rows without id, label or text are left out. Without
+    An id with several labels takes the largest; rows without id, label or words are left out. Without
     rows to learn from the model knows nothing, gives every text 0.5 and calls none toxic.
     """
     key = F.col(id_col)
     known = labels.where(key.isNotNull() & F.col(label_col).isNotNull() & (crc_mod(key, folds) != held))
     known = known.groupBy(key.alias("_id")).agg(F.max(label_col).cast("int").alias("_y"))
-    total = known.count()
-    if total == 0:
+    text = F.col(text_col).cast("string")
+    texts = docs.where(key.isNotNull() & text.rlike(r"[\p{L}\p{N}\p{M}@$]")).select(key.alias("_id"), text.alias("_t"))
+    # ids alone are joined, so that labels without a text take no place in the sample
+    known = written(known.join(texts.select("_id").distinct(), "_id"), "labels")
+    counts = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count("*").alias("n")).collect()}
+    if not counts:
         return train([], [])
-    share = min(1.0, 0.95 * max_rows / total)
-    picked = known.where(F.pmod(F.xxhash64("_id", F.lit("sample")), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))).limit(max_rows)
-    texts = docs.where(key.isNotNull() & F.col(text_col).isNotNull()).select(key.alias("_id"), F.col(text_col).cast("string").alias("_t"))
+    place = F.pmod(F.xxhash64("_id", F.lit("sample")), F.lit(1 << 40))
+    picked = known.limit(0)
+    for y, quota in sorted(quotas(counts, max_rows).items()):
+        # a little more than the quota by a bound on the hash, of those the first
+        bound = int(min(1.0, (quota + 6 * quota**0.5 + 20) / counts[y]) * (1 << 40))
+        picked = picked.unionByName(known.where((F.col("_y") == y) & (place < F.lit(bound))).orderBy(place, "_id").limit(quota))
     # at most max_rows ids of 8 bytes and a label are broadcast
-    rows = texts.join(F.broadcast(picked), "_id").where(F.length("_t") <= max_chars).dropDuplicates(["_id"]).orderBy("_id")
+    long = F.length("_t") - max_chars
+    at = F.when(long > 0, F.pmod(F.xxhash64("_id", F.lit("stretch")), long + 1)).otherwise(0).cast("int")
+    rows = texts.join(F.broadcast(picked), "_id").withColumn("_t", F.col("_t").substr(at + 1, F.lit(max_chars))).dropDuplicates(["_id"]).orderBy("_id")
     got = rows.select("_t", "_y").toArrow()
     return train(got.column("_t").to_pylist(), got.column("_y").to_pylist())
 

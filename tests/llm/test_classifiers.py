@@ -211,3 +211,32 @@ def test_rare_url_contexts_count_at_any_size(spark, monkeypatch):
     assert "SortMergeJoin" in shuffled._jdf.queryExecution().toString()
     far = {r["k"]: r["_score"] for r in shuffled.collect()}
     assert far.keys() == near.keys() and all(abs(far[k] - near[k]) < 1e-9 for k in far)
+
+
+def test_toxicity_learns_rare_labels_and_long_texts(spark):
+    rnd = random.Random(12)
+
+    def text(n, toxic):
+        words = [rnd.choice(WORDS["en"]) + rnd.choice(["", "er", "ing", "s"]) for _ in range(n)]
+        for k in range(0, n if toxic else 0, 8):
+            words[k] = rnd.choice(["idiot", "moron"])
+        return " ".join(words)
+
+    # a few toxic ones of many; most labelled ids have no text
+    docs = spark.createDataFrame([(i, text(20, i % 250 == 0)) for i in range(4000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 4000 and i % 250 == 0)) for i in range(20000)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.classify(docs, toxicity.fit(docs, labels, max_rows=200)).collect()}
+    assert all(got[i] == 1 for i in range(0, 4000, 250)) and sum(got.values()) < 16 + 40
+    # all labelled texts are longer than a stretch
+    docs = spark.createDataFrame([(i, text(300 if i < 100 else 30, i % 4 == 0)) for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(100)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, max_chars=500)
+    assert model.learnt
+    assert {r["doc_id"] for r in toxicity.classify(docs, model).collect() if r["predicted"]} == set(range(0, 200, 4))
+
+
+def test_quotas_of_labels():
+    assert toxicity.quotas({0: 5, 1: 2}, 10) == {0: 5, 1: 2}
+    assert toxicity.quotas({0: 10**6, 1: 1000}, 3000) == {0: 2000, 1: 1000}
+    assert toxicity.quotas({0: 10**6, 1: 3}, 3000)[1] == 3
+    assert sum(toxicity.quotas({0: 10**6, 1: 10**5}, 3000).values()) <= 3000
