@@ -1,7 +1,7 @@
 """Quality rules: surface counts, and a log-likelihood ratio of hashed n-grams.
 
 Two multinomials over hashed word 1- and 2-grams are counted: the raw corpus (all texts) and a
-trusted target (texts labelled good, at most ``max_target`` of them, chosen by a hash of the id).
+trusted target (all texts labelled good).
 A document's score is the mean over its n-grams of ``log(p_target / p_raw)`` with additive
 smoothing, so it doesn't depend on length. The threshold is the score that all but ``lost`` of the
 trusted texts reach, less ``margin`` of its distance from their median; every document is judged by it. All is native: n-grams are hashed in the row,
@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpus_search.llm import spans as S
+from corpus_search.llm.common import written
 
 # White space that parts words, and the symbols that are counted.
 SPACE = " \t\n\x0b\x0c\r"
@@ -96,19 +97,19 @@ def score(word_list: Column, weights: Column) -> Column:
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, max_target: int = 20_000, lost: float = 0.001, margin: float = 0.25, smooth: float = 1.0,
+    docs: DataFrame, labels: DataFrame, lost: float = 0.001, margin: float = 0.25, smooth: float = 1.0,
     id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
 ) -> Model:
     """Count both multinomials over whole texts and calibrate the threshold on the trusted ones."""
     good = labels.where((F.col(label_col) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id")).distinct()
-    total = good.count()
-    share = min(1.0, 0.95 * max_target / max(total, 1))
-    good = good.where(F.pmod(F.xxhash64("_id", F.lit("target")), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))).limit(max_target)
-    good = F.broadcast(good.withColumn("_good", F.lit(1)))  # at most max_target ids
     text = docs.select(F.col(id_col).alias("_id"), _text(text_col).alias("_t"))
-    marked = text.join(good, "_id", "left").select(F.coalesce("_good", F.lit(0)).alias("g"), S.let(words(F.col("_t")), buckets).alias("b"))
-    counted = marked.select("g", F.explode("b").alias("bucket")).groupBy("bucket").agg(F.sum("g").alias("t"), F.count("*").alias("r"))
-    every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counted, "bucket", "left").na.fill(0, ["t", "r"])
+    trusted = written(text.join(good, "_id", "left_semi").select("_t"), "trusted")  # joined once, read twice
+
+    def counted(texts: DataFrame, name: str) -> DataFrame:
+        return texts.select(F.explode(S.let(words(F.col("_t")), buckets)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias(name))
+
+    every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
+    every = every.join(counted(text, "r"), "bucket", "left").join(counted(trusted, "t"), "bucket", "left").na.fill(0, ["t", "r"])
     rows = every.select("bucket", "t", "r").collect()  # BUCKETS rows
     target, raw = (sum(r[k] for r in rows) for k in ("t", "r"))
     weights = [0.0] * BUCKETS
@@ -118,8 +119,8 @@ def fit(
             p, q = (r["t"] + smooth * (r["r"] + smooth) / (raw + smooth * BUCKETS) * BUCKETS) / (target + smooth * BUCKETS), (r["r"] + smooth) / (raw + smooth * BUCKETS)
             weights[r["bucket"]] = math.log(p / q)
     model = Model(tuple(weights), -1e300)
-    trusted = text.join(good, "_id", "left_semi").select(S.let(words(F.col("_t")), lambda w: score(w, model.column())).alias("s"))
-    low, mid = trusted.agg(F.percentile_approx("s", F.array(F.lit(lost), F.lit(0.5)), 10_000).alias("x")).first()["x"] or (None, None)
+    scores = trusted.select(S.let(words(F.col("_t")), lambda w: score(w, model.column())).alias("s"))
+    low, mid = scores.agg(F.percentile_approx("s", F.array(F.lit(lost), F.lit(0.5)), 10_000).alias("x")).first()["x"] or (None, None)
     return Model(model.weights, low - margin * (mid - low)) if target and low is not None else model
 
 

@@ -71,3 +71,15 @@ def test_ratio_against_brute_force_and_junk_falls(spark):
         q = (raw[b] + 1) / (n + Q.BUCKETS)
         p = (target[b] + q * Q.BUCKETS) / (t + Q.BUCKETS)
         assert abs(model.weights[b] - math.log(p / q)) < 1e-9
+
+
+def test_all_trusted_texts_count(spark):
+    import math
+
+    n = 21_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id").cast("string")).alias("text"))
+    model = Q.fit(docs, docs.select("doc_id", F.lit(1).alias("quality")))
+    counts = {r["b"]: r["n"] for r in docs.select(F.explode(Q.buckets(F.array("text"))).alias("b")).groupBy("b").agg(F.count("*").alias("n")).collect()}
+    for b in range(0, Q.BUCKETS, 97):
+        q = (counts.get(b, 0) + 1) / (n + Q.BUCKETS)
+        assert abs(model.weights[b] - math.log((counts.get(b, 0) + q * Q.BUCKETS) / (n + Q.BUCKETS) / q)) < 1e-9
