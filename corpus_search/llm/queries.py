@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpus_search.llm import bpe, ctph, jaccard_join, language_id, mixing, pii, quality_rules, secret_scan, toxicity, url_filter
+from corpus_search.llm import bpe, ctph, jaccard_join, language_id, mixing, pii, quality_rules, secret_scan, toxicity, url_filter, whitening
 from corpus_search.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,7 +72,15 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctph.compared_to_next(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language, op2_pii, op3_quality, op4_secrets, op5_toxicity, op6_urls, op7_jaccard, op8_mixing, op9_bpe, op10_fingerprints)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding projected on the first 16 components of the distinct ones, in unit variance."""
+    vectors = documents(spark, sf_dir, "embeddings")
+    return whitening.by_component(whitening.whiten(vectors, whitening.fit(vectors)))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_language, op2_pii, op3_quality, op4_secrets, op5_toxicity, op6_urls, op7_jaccard, op8_mixing, op9_bpe, op10_fingerprints, op11_whitening,
+)}
 #: The other queries train models or merge tokens, which SQL doesn't express; tests/llm compares them.
 ORACLE_SQL: dict[str, str] = {
     "op7_jaccard": r"""
