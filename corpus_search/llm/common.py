@@ -19,6 +19,11 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes up to which the small side of a join is broadcast, and into how many keys one is parted beyond.
+MAX_BROADCAST = 32 << 20
+SALTS = 16
+
+
 def fresh(*taken: DataFrame, stem: str) -> str:
     """A column name that no column of the given tables has."""
     names = {c.lower() for df in taken for c in df.columns}
@@ -39,6 +44,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def with_small(big: DataFrame, small: DataFrame, on: list[str], weight: Column, how: str = "inner") -> DataFrame:
+    """A join with a table whose bytes are counted: broadcast up to MAX_BROADCAST, else by salted keys."""
+    size = small.agg(F.sum(weight)).first()[0] or 0
+    if size <= MAX_BROADCAST:
+        return big.join(F.broadcast(small), on, how)
+    salt = fresh(big, small, stem="_salt")
+    dealt = big.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    copied = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(copied, [*on, salt], how).drop(salt)
+
+
 def crc_mod(id_col: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n: the fold of a row (null ids: fold of the empty text)."""
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), F.lit(n))
