@@ -3,30 +3,43 @@
 Two multinomials over hashed word 1- and 2-grams are counted: the raw corpus (all texts) and a
 trusted target (all texts labelled good).
 A document's score is the mean over its n-grams of ``log(p_target / p_raw)`` with additive
-smoothing, so it doesn't depend on length. The threshold is the score that all but ``lost`` of the
-trusted texts reach, less ``margin`` of its distance from their median; every document is judged by it. All is native: n-grams are hashed in the row,
-only bucket counts are shuffled, and the weights are one array of ``BUCKETS`` numbers.
+smoothing, so it doesn't depend on length. A text that the target counted scores higher than a new one
+like it, so the threshold comes from texts that weren't counted: the trusted are dealt into ``FOLDS`` by
+their ids, and each is scored by a target without its own fold. The threshold is the score that all but
+``lost`` of them reach, less ``margin`` of its distance from their median; the model itself counts all
+trusted texts, and every document is judged by it. All is native: n-grams are hashed in the row, only
+bucket counts are shuffled, and the weights are arrays of ``BUCKETS`` numbers. Trusted texts are found
+by their ids, broadcast in at most ``SCANS`` slices of a counted size with a scan of the documents for
+each, so that texts are neither shuffled nor stored; beyond that many ids the texts are joined by a shuffle.
 
 Null text counts as empty. A text without words scores 0; the base rule rejects it. Without trusted
-texts every score is 0 and only the base rule decides. Repeated rows are judged alike.
+texts every score is 0 and only the base rule decides; texts that are all in one fold have nothing to be
+scored by and give no threshold. Repeated rows are judged alike, and count as often as they are there.
+Without documents the result is empty. Null ids have no label.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpus_search.llm import spans as S
-from corpus_search.llm.common import written
+from corpus_search.llm.common import crc_mod, written
 
 # White space that parts words, and the symbols that are counted.
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 
 BUCKETS = 1 << 14
+FOLDS = 5
+#: Bytes of a trusted id in a broadcast, of a broadcast, and how many scans of the documents the slices may take.
+ID_BYTES = 64
+SLICE_BYTES = 128 << 20
+SCANS = 4
 
 
 def words(text: Column) -> Column:
@@ -83,7 +96,7 @@ class Model:
 
     def column(self) -> Column:
         """The weights as a constant array (BUCKETS numbers of a few digits)."""
-        return F.split(F.lit(",".join(f"{x:.4g}" for x in self.weights)), ",").cast("array<double>")
+        return _column(self.weights)
 
 
 def _text(name: str) -> Column:
@@ -96,32 +109,62 @@ def score(word_list: Column, weights: Column) -> Column:
     return F.when(F.size(word_list) > 0, total / (2 * F.size(word_list) - 1)).otherwise(F.lit(0.0))
 
 
+def _of_trusted(texts: DataFrame, good: DataFrame) -> DataFrame:
+    """The rows of ``texts`` whose ``_id`` is one of the distinct ids ``good``."""
+    slices = max(1, math.ceil(good.count() * ID_BYTES / SLICE_BYTES))
+    if slices > SCANS:
+        return written(texts.join(good, "_id", "left_semi"), "trusted")
+    found = [texts.join(F.broadcast(good.where(F.pmod(F.xxhash64("_id"), F.lit(slices)) == k)), "_id", "left_semi") for k in range(slices)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _weights(target: list[int], raw: list[int], smooth: float) -> tuple[float, ...]:
+    """The log ratio of both multinomials by bucket; without a target all 0."""
+    t, r = sum(target), sum(raw)
+    if not t:
+        return (0.0,) * len(raw)
+    weights = []
+    for a, b in zip(target, raw):
+        # shares of the same total smoothing: an empty bucket says nothing for either side
+        q = (b + smooth) / (r + smooth * len(raw))
+        weights.append(math.log((a + smooth * q * len(raw)) / (t + smooth * len(raw)) / q))
+    return tuple(weights)
+
+
+def _column(weights: tuple[float, ...]) -> Column:
+    """Weights as a constant array, of a few digits each."""
+    return F.split(F.lit(",".join(f"{x:.4g}" for x in weights)), ",").cast("array<double>")
+
+
 def fit(
     docs: DataFrame, labels: DataFrame, lost: float = 0.001, margin: float = 0.25, smooth: float = 1.0,
     id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
 ) -> Model:
-    """Count both multinomials over whole texts and calibrate the threshold on the trusted ones."""
+    """Count both multinomials over whole texts and calibrate the threshold on the trusted ones, each by the other folds."""
     good = labels.where((F.col(label_col) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id")).distinct()
+    good = written(good, "trusted-ids")
     text = docs.select(F.col(id_col).alias("_id"), _text(text_col).alias("_t"))
-    trusted = written(text.join(good, "_id", "left_semi").select("_t"), "trusted")  # joined once, read twice
-
-    def counted(texts: DataFrame, name: str) -> DataFrame:
-        return texts.select(F.explode(S.let(words(F.col("_t")), buckets)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias(name))
-
-    every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
-    every = every.join(counted(text, "r"), "bucket", "left").join(counted(trusted, "t"), "bucket", "left").na.fill(0, ["t", "r"])
-    rows = every.select("bucket", "t", "r").collect()  # BUCKETS rows
-    target, raw = (sum(r[k] for r in rows) for k in ("t", "r"))
-    weights = [0.0] * BUCKETS
-    if target:
-        for r in rows:
-            # shares of the same total smoothing: an empty bucket says nothing for either side
-            p, q = (r["t"] + smooth * (r["r"] + smooth) / (raw + smooth * BUCKETS) * BUCKETS) / (target + smooth * BUCKETS), (r["r"] + smooth) / (raw + smooth * BUCKETS)
-            weights[r["bucket"]] = math.log(p / q)
-    model = Model(tuple(weights), -1e300)
-    scores = trusted.select(S.let(words(F.col("_t")), lambda w: score(w, model.column())).alias("s"))
-    low, mid = scores.agg(F.percentile_approx("s", F.array(F.lit(lost), F.lit(0.5)), 10_000).alias("x")).first()["x"] or (None, None)
-    return Model(model.weights, low - margin * (mid - low)) if target and low is not None else model
+    trusted = _of_trusted(text, good).select("_t", crc_mod(F.col("_id"), FOLDS).alias("fold"))
+
+    def counted(texts: DataFrame, *by: str) -> list:
+        """Counts by bucket (and fold): BUCKETS rows, times the folds."""
+        return texts.select(*by, F.explode(S.let(words(F.col("_t")), buckets)).alias("bucket")).groupBy(*by, "bucket").agg(F.count("*").alias("n")).collect()
+
+    raw, by_fold = [0] * BUCKETS, [[0] * BUCKETS for _ in range(FOLDS)]
+    for r in counted(text):
+        raw[r["bucket"]] = r["n"]
+    for r in counted(trusted, "fold"):
+        by_fold[r["fold"]][r["bucket"]] = r["n"]
+    target = [sum(n) for n in zip(*by_fold)]
+    model = Model(_weights(target, raw, smooth), -1e300)
+    rests = [[t - n for t, n in zip(target, fold)] for fold in by_fold]
+    judged = [k for k in range(FOLDS) if any(by_fold[k]) and any(rests[k])]
+    if not judged:
+        return model
+    others = F.coalesce(*(F.when(F.col("fold") == k, _column(_weights(rests[k], raw, smooth))) for k in judged))
+    scores = trusted.where(F.col("fold").isin(judged)).select(S.let(words(F.col("_t")), lambda w: F.when(F.size(w) > 0, S.let(others, lambda o: score(w, o)))).alias("s"))
+    low, mid = scores.agg(F.percentile_approx("s", F.array(F.lit(lost), F.lit(0.5)), 10_000).alias("x")).first()["x"]
+    return Model(model.weights, low - margin * (mid - low))
 
 
 def judge(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
