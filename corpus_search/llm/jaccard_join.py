@@ -10,11 +10,19 @@ most ``LEAF`` classes are compared by brute force; larger ones are split again,
 levels, and what is still large then is compared in blocks, whole. ``RUNS`` runs bring the chance to
 find a pair of similarity 0.8 to over 0.999 (``recall`` computes it).
 
+A large group of near copies would hardly split. So a large node takes one of its least classes as a
+center: the classes whose sketch agrees with it in ``BALL`` places form a ball, a leaf that is named by
+that class alone and so is the same one for all nodes and runs that have it; and those that agree in
+``INNER`` places leave the node. Whatever is similar to an inner class is near enough to the center to be
+in its ball (distances obey the triangle inequality), so the node's pairs with it are compared there, once,
+and only the rest is split.
+
 A pair that meets in several leaves belongs to the least of them, so links are counted once without
 listing them: leaves compare sketches first and name the classes with a likely partner; their texts
 are fetched, and the exact similarity decides. A leaf gives each class's number of links and a tree
 of edges for every group, not all pairs. Groups are the connected components of those edges, by
-passing on the least label; the trees have small degree, so no key is hot.
+hooking trees to the least label next to them and halving their height, in a logarithmic number of
+rounds; the trees have small degree, and joins on labels are broadcast up to a counted size or salted.
 
 Null text counts as empty. Texts without words have the empty set; they are copies of each other.
 Rows are told apart by id and text; equal ids with different texts are different documents.
@@ -24,13 +32,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpus_search.llm.common import fresh, no_nulls, ranges, text_bytes, utf8_parts, written
+from corpus_search.llm.common import fresh, no_nulls, ranges, text_bytes, utf8_parts, with_small, written
 
 WORDS = 5
 SIMILAR = 0.8
@@ -38,6 +47,12 @@ PLACES = 64
 RUNS = 10
 LEAF = 256
 DEPTH = 6
+#: Classes of a block of a leaf that is too large to be compared at once.
+SIDE = 512
+#: Places that agree with a large node's center: of its ball, and of the classes that need no other leaf of the node.
+BALL, INNER = 28, 50
+#: Classes of a large node that may be its center.
+CENTERS = 8
 #: A pair goes on to the exact comparison if so many places agree: 0.8 of 64 less over four deviations.
 LIKELY = 37
 NO_ID = (1 << 63) - 1
@@ -155,6 +170,57 @@ def named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("rid"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
+def _named_by(keys: pa.Array) -> np.ndarray:
+    """The leaf that a ball around a class is, from the class's key."""
+    raw = np.frombuffer(text_bytes(keys)[0].tobytes(), np.uint64).reshape(-1, 2)
+    return _mix(raw[:, 0] * _C1 + _mix(raw[:, 1] + _C3)).view(np.int64)
+
+
+def balls_of(large: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of large nodes (path, key, tokens): the balls (key, leaf) around their centers, and the nodes without inner classes.
+
+    A node's center is that of its ``CENTERS`` least classes which has the most inner ones.
+    """
+    least = large.withColumn("k", F.row_number().over(Window.partitionBy("path").orderBy("key"))).where(F.col("k") <= CENTERS)
+    least = least.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("key", "tokens"))).alias("c"))
+    least = written(least.select("path", F.array_join(F.transform("c", lambda x: F.hex(x["key"])), "").alias("centers"), F.array_join(F.transform("c", lambda x: F.hex(x["tokens"])), "").alias("about")), "centers")
+    # a node is a hot key: its one row of centers is broadcast, or salted
+    near = with_small(large, least, ["path"], F.length("centers") + F.length("about") + 32).select("path", "key", "tokens", "about")
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own, paths = _tokens(batch.column(2), np.uint32), batch.column(0).to_numpy()
+            ball, inner = np.zeros((2, len(own)), np.int32)
+            _, first, which = np.unique(paths, return_index=True, return_inverse=True)
+            for node, at in enumerate(first.tolist()):
+                rows = np.flatnonzero(which == node)
+                for k, center in enumerate(np.frombuffer(bytes.fromhex(batch.column(3)[at].as_py()), np.uint32).reshape(-1, PLACES)):
+                    agree = (own[rows] == center).sum(1)
+                    ball[rows] |= (agree >= BALL).astype(np.int32) << k
+                    inner[rows] |= (agree >= INNER).astype(np.int32) << k
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ball), pa.array(inner)], ["path", "key", "ball", "inner"])
+
+    found = written(near.mapInArrow(of, "path long, key binary, ball int, inner int"), "balls")
+    bit = lambda c, k: F.getbit(F.col(c), F.lit(k)).cast("int")
+    counts = found.groupBy("path").agg(*(F.sum(bit("inner", k)).alias(f"n{k}") for k in range(CENTERS)))
+    # the most inner classes, the first of equal ones; a class alone has met nobody, and stays
+    best = counts.select("path", F.greatest(*(F.struct(F.col(f"n{k}").alias("n"), F.lit(-k).alias("k")) for k in range(CENTERS))).alias("b")).where("b.n > 1")
+    best = best.join(least, "path").select("path", (-F.col("b.k")).alias("k"), F.unhex(F.substring(F.col("centers"), F.lit(1) - 32 * F.col("b.k"), F.lit(32))).alias("center"))
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_named_by(batch.column(2)))], ["path", "k", "leaf"])
+
+    best = written(best.mapInArrow(name, "path long, k int, leaf long"), "best-centers")
+    chosen = with_small(found, best, ["path"], F.lit(40), "left")
+    has = lambda c: F.getbit(F.col(c), F.col("k")) == 1
+    balls = chosen.where(has("ball")).select("key", "leaf").distinct()
+    return balls, chosen.where(F.col("k").isNull() | ~has("inner")).select("key", "path")
+
+
 def leaves_of(classes: DataFrame) -> DataFrame:
     """(key, leaf, n) for every class and leaf of two classes or more."""
 
@@ -171,19 +237,28 @@ def leaves_of(classes: DataFrame) -> DataFrame:
             row, child = children(batch.column(1).to_numpy().view(np.uint64), tokens)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(child.view(np.int64))], ["key", "path"])
 
-    found, at = None, classes.select("key", "tokens").mapInArrow(first, "key binary, path long")
+    def sized(rows: DataFrame, name: str) -> DataFrame:
+        sizes = rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
+        return written(rows.join(sizes, "path"), name)
+
+    tokens = classes.select("key", "tokens")
+    at, parts, balls = tokens.mapInArrow(first, "key binary, path long"), [], []
     for level in range(1, DEPTH + 1):
-        at = written(at, f"paths-{level}")
-        sizes = at.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
-        sized = written(at.join(sizes, "path"), f"nodes-{level}")
-        here = sized if level == DEPTH else sized.where(F.col("n") <= LEAF)
-        here = here.select("key", F.col("path").alias("leaf"), "n")
-        found = here if found is None else found.unionByName(here)
-        large = sized.where(F.col("n") > LEAF)
+        nodes = sized(written(at, f"paths-{level}"), f"nodes-{level}")
+        large = nodes.where(F.col("n") > LEAF)
+        parts.append(nodes if level == DEPTH else nodes.where(F.col("n") <= LEAF))
         if level == DEPTH or large.isEmpty():
             break
-        at = large.select("key", "path").join(classes.select("key", "tokens"), "key").select("key", "path", "tokens").mapInArrow(deeper, "key binary, path long")
-    return found
+        ball, rest = balls_of(large.select("path", "key").join(tokens, "key").select("path", "key", "tokens"))
+        balls.append(ball)
+        rest = sized(rest, f"rest-{level}")
+        parts.append(rest.where(F.col("n") <= LEAF))
+        at = rest.where(F.col("n") > LEAF).select("key", "path").join(tokens, "key").select("key", "path", "tokens").mapInArrow(deeper, "key binary, path long")
+    found = reduce(DataFrame.unionByName, (p.select("key", F.col("path").alias("leaf"), "n") for p in parts))
+    if not balls:
+        return found
+    every = written(reduce(DataFrame.unionByName, balls).distinct().withColumnRenamed("leaf", "path"), "all-balls")
+    return found.unionByName(sized(every, "ball-sizes").select("key", F.col("path").alias("leaf"), "n"))
 
 
 def _groups(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
@@ -224,11 +299,19 @@ def _pairs(lo: int, hi: int, side: np.ndarray, cross: bool) -> tuple[np.ndarray,
 
 def _met_before(leaf: int, lists: list[np.ndarray]) -> np.ndarray:
     """For all pairs of a group, whether they share a leaf less than this one, to which they then belong."""
-    names, inverse = np.unique(np.concatenate(lists), return_inverse=True)
+    names, inverse, count = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    at = np.zeros((len(lists), len(names)), np.float32)
-    at[owner, inverse] = names[inverse] < leaf
-    return at @ at.T > 0
+    telling = ((names < leaf) & (count > 1))[inverse]  # what one class alone has is shared by no pair
+    shared, inverse = np.unique(inverse[telling], return_inverse=True)
+    owner, met, width = owner[telling], np.zeros((len(lists), len(lists)), bool), 2048
+    order = np.argsort(inverse, kind="stable")
+    owner, inverse = owner[order], inverse[order]
+    for lo in range(0, len(shared), width):
+        x, y = np.searchsorted(inverse, [lo, lo + width])
+        at = np.zeros((len(lists), min(width, len(shared) - lo)), np.float32)
+        at[owner[x:y], inverse[x:y] - lo] = 1
+        met |= at @ at.T > 0
+    return met
 
 
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,16 +413,26 @@ def _common(inverse: np.ndarray, size: np.ndarray, names: int) -> np.ndarray:
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(key, label): the least (rid, key) that edges lead to, over as many rounds as it takes."""
+    """(key, label): the least (rid, key) that edges lead to.
+
+    Each round a class takes the least label next to it, and so does the class that its old label names (a
+    tree is hooked to a lesser one); then every class takes the label of its label, which halves the trees.
+    """
     both = written(edges.select("key", "other").union(edges.select("other", "key")).distinct(), "edges")
     labels = written(both.select("key").distinct().join(nodes.select("key", F.struct("rid", "key").alias("label")), "key"), "labels")
     while True:
         seen = both.join(labels, "key").groupBy(F.col("other").alias("key")).agg(F.min("label").alias("best"))
-        new = labels.join(seen, "key", "left").select("key", F.least("label", "best").alias("label"), (F.col("best") < F.col("label")).alias("moved"))
-        new = written(new, "labels")
-        if new.where("moved").isEmpty():
-            return new.select("key", "label")
+        near = written(labels.join(seen, "key").select("key", F.col("label").alias("was"), F.least("label", "best").alias("label")), "near")
+        hooks = near.groupBy(F.col("was.key").alias("key")).agg(F.min("label").alias("hook"))
+        near = written(near.join(hooks, "key", "left").select("key", "was", F.least("label", "hook").alias("label")), "hooked")
+        # many classes have one label: its row is broadcast, or salted
+        named = near.select("label.key").distinct()
+        tops = written(near.join(named, "key", "left_semi").select(F.col("key").alias("_top"), F.col("label").alias("next")), "tops")
+        new = with_small(near.withColumn("_top", F.col("label.key")), tops, ["_top"], F.lit(96), "left")
+        new = written(new.select("key", F.least("label", "next").alias("label"), (F.least("label", "next") < F.col("was")).alias("moved")), "labels")
         labels = new.select("key", "label")
+        if new.where("moved").isEmpty():
+            return labels
 
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -357,7 +450,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_blob(tokens), pa.binary())], ["key", "short"])
 
     small = classes.select("key", "tokens").mapInArrow(short, "key binary, short binary")
-    blocks = F.ceil(F.col("n") / LEAF).cast("int")
+    blocks = F.when(F.col("n") <= LEAF, 1).otherwise(F.ceil(F.col("n") / SIDE)).cast("int")
     own = F.pmod(F.xxhash64("key", "leaf"), blocks).cast("int")
     placed = found.join(small, "key").select("leaf", "key", "short", blocks.alias("blocks"), own.alias("side"))
     # a leaf of more than one block is compared block by block: a row goes to each pair that has its block
@@ -377,7 +470,8 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     per_class = classes.select("key", "rid", "copies").join(labels, "key", "left").join(counts, "key", "left").select(
         "key", F.coalesce("label", F.struct("rid", "key")).alias("label"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     per_class = written(per_class, "per-class")
-    return rows.select("rid", "th", "key").join(per_class, "key")
+    # copies of one text are one key: its row is broadcast, or salted
+    return with_small(rows.select("rid", "th", "key"), per_class, ["key"], F.lit(96))
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

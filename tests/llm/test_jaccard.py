@@ -114,3 +114,43 @@ def test_first_of_groups_and_empty_table(spark):
         assert all(not (a == b or 5 * len(a & b) >= 4 * len(a | b)) for b in sets[:i])
     assert len(got) == len(set(compared(rows)[0]))
     assert J.classify(docs.limit(0)).count() == 0 and J.first_of_groups(docs.limit(0)).count() == 0
+
+
+def test_a_large_group_of_near_copies_is_compared_once(spark, monkeypatch):
+    """600 versions of one text: their ball is found and they don't go down the levels; all links are counted."""
+    monkeypatch.setattr(J, "LEAF", 64)
+    monkeypatch.setattr(J, "SIDE", 100)
+    rnd = random.Random(3)
+    base = [f"w{rnd.randrange(400)}" for _ in range(120)]
+    rows = []
+    for i in range(600):
+        text = list(base)
+        for _ in range(rnd.choice([0, 1, 1, 2, 3])):
+            text[rnd.randrange(len(text))] = f"v{rnd.randrange(300)}"
+        rows.append((i, " ".join(text)))
+    rows += [(1000 + i, " ".join(f"w{rnd.randrange(400)}" for _ in range(80))) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    levels = []
+    monkeypatch.setattr(J, "written", lambda df, name, was=J.written: levels.append((name, x := was(df, name))) or x)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in J.classify(docs).collect()}
+    sizes = {name: df.count() for name, df in levels if name.startswith("paths")}
+    assert sum(n for name, n in sizes.items() if name != "paths-1") < sizes["paths-1"] / 2
+    want = {d: (g, n) for d, g, n in plain(rows)}
+    assert {d: g for d, (g, _) in got.items()} == {d: g for d, (g, _) in want.items()}
+    found, all_of = sum(n for _, n in got.values()), sum(n for _, n in want.values())
+    assert all(got[d][1] <= want[d][1] for d in want) and found >= 0.99 * all_of
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    n = 500
+    names = list(range(n))
+    random.Random(2).shuffle(names)
+    nodes = spark.createDataFrame([(k, f"{k:016d}".encode()) for k in range(n + 40)], "rid long, key binary")
+    chain = [(f"{a:016d}".encode(), f"{b:016d}".encode()) for a, b in zip(names, names[1:])]
+    hub = [(f"{n:016d}".encode(), f"{n + k:016d}".encode()) for k in range(1, 30)]
+    rounds = []
+    monkeypatch.setattr(J, "written", lambda df, name, was=J.written: rounds.append(name) or was(df, name))
+    got = J.components(nodes, spark.createDataFrame(chain + hub, "key binary, other binary")).collect()
+    assert rounds.count("near") < 15
+    label = {int(r["key"]): r["label"]["rid"] for r in got}
+    assert label == {**dict.fromkeys(range(n), 0), **dict.fromkeys(range(n, n + 30), n)}
