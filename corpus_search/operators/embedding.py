@@ -98,12 +98,13 @@ def embed_hashed(
     """
     keep = list(keep) if keep is not None else [c for c in df.columns if c != out_col]
     value_type = pa.float64() if dtype == "double" else pa.float32()
-    staged = df.select(*keep, F.col(text_col).alias("_txt"))
+    sent = text_col if text_col in keep else "_txt"  # a kept text goes to Python once
+    staged = df.select(*keep) if sent in keep else df.select(*keep, F.col(text_col).alias(sent))
     in_fields = [staged.schema[c] for c in keep]
 
     def run(batches):
         for rb in batches:
-            counts = hashed_counts(rb.column("_txt"), dims)
+            counts = hashed_counts(rb.column(sent), dims)
             vec = _matrix_to_list(_normalise(counts), value_type)
             cols = [rb.column(c) for c in keep] + [vec]
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, out_col])
@@ -128,12 +129,13 @@ def embed_with(
     """
     keep = list(keep) if keep is not None else [c for c in df.columns if c != out_col]
     value_type = pa.float64() if dtype == "double" else pa.float32()
-    staged = df.select(*keep, F.col(text_col).alias("_txt"))
+    sent = text_col if text_col in keep else "_txt"  # a kept text goes to Python once
+    staged = df.select(*keep) if sent in keep else df.select(*keep, F.col(text_col).alias(sent))
     in_fields = [staged.schema[c] for c in keep]
 
     def run(batches):
         for rb in batches:
-            texts = [t or "" for t in rb.column("_txt").to_pylist()]
+            texts = [t or "" for t in rb.column(sent).to_pylist()]
             mat = np.asarray(model(texts), dtype=np.float64).reshape(len(texts), dims)
             cols = [rb.column(c) for c in keep] + [_matrix_to_list(mat, value_type)]
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, out_col])
