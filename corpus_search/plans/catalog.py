@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from corpus_search.functions import paths as P
 from corpus_search.functions import text as T
 from corpus_search.functions import vectors as V
-from corpus_search.operators import chunking, context, dedup, embedding, images, ivf, knn, metrics, ordered, prompts, rerank, stats, training
+from corpus_search.operators import chunking, context, dedup, embedding, images, ivf, knn, metrics, ordered, postings, prompts, pruned, rerank, segments, stats, training
 from corpus_search.plans import ingest, retrieval
 from corpus_search.session import cut_lineage, scratch_path, ship_package, table
 from corpus_search.sinks import collections, objects
@@ -750,16 +750,30 @@ def q_stream_stage_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("stream_history")
 def q_stream_history(spark: SparkSession, sf: str) -> DataFrame:
-    """Turns arrive one turn index per file; per-conversation state yields the history
-    before each turn (equals history_before_turn)."""
-    conv = _conv(spark, sf)
-    src = scratch_path(spark, "turns-stream")
-    n_turns = conv.agg(F.max("turn")).collect()[0][0]
-    for t in range(int(n_turns) + 1):  # one file per turn index, written in turn order
-        conv.filter(F.col("turn") == t).coalesce(1).write.mode("append").parquet(src)
-    sink, ckpt = scratch_path(spark, "history-sink"), scratch_path(spark, "history-ckpt")
-    jobs.stream_history(spark, src, sink, ckpt, conv.schema)
-    return spark.read.parquet(sink)
+    """Turns arrive in any order and wait in state for the watermark; the texts made of the stream's
+    output are those of the batch twin."""
+    turns, pairs = _streamed_turns(spark, sf)
+    return prompts.expand_history(turns, pairs).select("conv_id", "turn", "role", "history", "n_pairs")
+
+
+@register("stream_turns")
+def q_stream_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """The linear output of the same stream: how many pairs and characters lie before each turn."""
+    turns, _ = _streamed_turns(spark, sf)
+    return turns
+
+
+def _streamed_turns(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(turns, pairs) of a stream over a shuffled feed of eight files, a minute a turn, and its closing mark."""
+    conv = _conv(spark, sf).withColumn("ts", F.timestamp_seconds(10**9 + F.col("turn") * 60))
+    src, sink, ckpt = (scratch_path(spark, n) for n in ("turns-stream", "turns-sink", "turns-ckpt"))
+    far = spark.range(1).select(*(F.lit(None).cast(conv.schema[c].dataType).alias(c) for c in conv.columns[:-1]), F.timestamp_seconds(F.lit(2 * 10**9)).alias("ts"))
+    conv.repartition(8, F.xxhash64("conv_id", "turn")).write.parquet(f"{src}/feed=1")
+    far.write.parquet(f"{src}/feed=2")
+    # the feed is in no order at all, so the delay is the whole of its time
+    jobs.stream_turns(spark, f"{src}/*", sink, ckpt, conv.schema, delay="1000 days")
+    out = spark.read.parquet(sink)
+    return out.select("conv_id", "turn", "role", "n_pairs", "history_chars"), out.where("pair is not null").select("conv_id", "pair_no", "start", "pair")
 
 
 # ----------------------------------------------------------------------------- more operator variants
@@ -795,19 +809,19 @@ def q_ivf_kmeans_recall(spark: SparkSession, sf: str) -> DataFrame:
 @register("stream_window_metrics")
 def q_stream_window_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """R3 (event time): daily per-stage metrics with a 1-hour watermark (update mode). Events
-    arrive as 4 files in time order; the latest update of every window is its value."""
+    arrive in four quarters in time order; the latest update of every window is its value."""
     events = table(spark, sf, "events")
     src = scratch_path(spark, "events-by-time")
     ts = F.col("ts").cast("timestamp")
     bounds = events.select(F.percentile_approx(F.unix_micros(ts), [0.25, 0.5, 0.75], 10000).alias("q")).collect()[0]["q"]
     edges = [None, *bounds, None]
-    for lo, hi in zip(edges[:-1], edges[1:]):  # 4 files written in time order
+    for lo, hi in zip(edges[:-1], edges[1:]):  # four quarters in time order, each written by the tasks that read it
         part = events
         if lo is not None:
             part = part.filter(F.unix_micros(ts) > F.lit(lo))
         if hi is not None:
             part = part.filter(F.unix_micros(ts) <= F.lit(hi))
-        part.coalesce(1).write.mode("append").parquet(src)
+        part.write.mode("append").parquet(src)
     sink, ckpt = scratch_path(spark, "window-sink"), scratch_path(spark, "window-ckpt")
     jobs.stream_window_metrics(spark, src, sink, ckpt, events.schema)
     out = jobs.latest_windows(spark.read.parquet(sink))
@@ -826,3 +840,104 @@ def q_knn_ivf_stored(spark: SparkSession, sf: str) -> DataFrame:
     ivf.write_index(cells, path)
     stored = spark.read.parquet(path)
     return _hits_out(ivf.knn_ivf(_self_queries(v), stored, cents, 5, IVF_NPROBE))
+
+
+# ----------------------------------------------------------------------------- pruned and indexed search
+
+
+@register("knn_pruned")
+def q_knn_pruned(spark: SparkSession, sf: str) -> DataFrame:
+    """J1 through pivot cells and triangle-inequality bounds: every vector's 5 exact nearest neighbours."""
+    v = _vectors(spark, sf)
+    return _hits_out(pruned.knn_pruned(_self_queries(v), v, 5))
+
+
+@register("ivf_tree")
+def q_ivf_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """The 4 nearest of 16 centroids of every vector, found through a two-level centroid tree."""
+    v = _vectors(spark, sf)
+    tree = pruned.CentroidTree.of(ivf.sample_centroids(v, IVF_NLIST))
+    near = tree.nearest(v, IVF_NPROBE)
+    return near.select("vec_id", F.col("cell_id").cast("bigint").alias("cell_id"), F.col("probe_rank").cast("bigint").alias("probe_rank"), F.round("distance", 6).alias("distance"))
+
+
+def _term_index(spark: SparkSession, sf: str) -> postings.Index:
+    path = scratch_path(spark, "term-index")
+    postings.write_index(_chunks(spark, sf), path)
+    return postings.Index(spark, path)
+
+
+@register("bm25_search")
+def q_bm25_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The 10 best chunks of every question by BM25 over the whole collection, from the stored index."""
+    hits = _term_index(spark, sf).search(retrieval.question_table(table(spark, sf, "benchmark")), 10).rows
+    return hits.select("query_id", F.col("vec_id").alias("chunk_id"), "rank", F.round("score", 6).alias("score"))
+
+
+@register("rerank_bm25_stored")
+def q_rerank_bm25_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """T2 from the stored index: the same 50 -> 10 -> 5 as rerank_bm25, no chunk tokenised at query time."""
+    docs, bench = table(spark, sf, "documents"), table(spark, sf, "benchmark")
+    hits, _ = retrieval.search_chunks(docs, bench, k=rerank.CANDIDATES)
+    hits = cut_lineage(hits, "rerank-candidates")
+    scores = _term_index(spark, sf).scores(hits, retrieval.question_table(bench))
+    return rerank.rerank(hits, scores).select(
+        "query_id", F.col("vec_id").alias("chunk_id"), F.col("rank").alias("knn_rank"), "rerank_rank", F.round("rerank_score", 6).alias("rerank_score"),
+    )
+
+
+@register("page_segments")
+def q_page_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents assembled from their lines in numbered segments of about 4000 characters."""
+    pages = documents.split_pages(table(spark, sf, "documents"))
+    out = segments.joined_segments(pages, "doc_id", "page_no", "page_text", "\n", segment_chars=4000, rows_per_bucket=2000)
+    return out.select("doc_id", "segment", "start", "n_values", "text")
+
+
+@register("history_prefixes")
+def q_history_prefixes(spark: SparkSession, sf: str) -> DataFrame:
+    """W4 in linear space: pairs stored once, each turn a prefix of them, expanded for all turns."""
+    turns, pairs = prompts.history_prefixes(_conv(spark, sf), rows_per_bucket=300)
+    texts = prompts.expand_history(turns, pairs)
+    return texts.join(turns.select("conv_id", "turn", "history_chars"), ["conv_id", "turn"]).select("conv_id", "turn", "role", "n_pairs", "history_chars", "segment", "history")
+
+
+# ----------------------------------------------------------------------------- files to answers
+
+
+def _mixed_tree(spark: SparkSession, sf: str) -> str:
+    """Documents as text files, and pages as files with their URL's extension."""
+    root = _text_tree(spark, sf)
+    pages = table(spark, sf, "pages")
+    ext = P.extension(P.key("url"))
+    rel = F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.when(F.coalesce(ext, F.lit("")) != "", F.concat(F.lit("."), ext)).otherwise(F.lit("")))
+    files.materialise(files.write_files(pages.select(rel.alias("rel"), "html"), root, "rel", "html"))
+    return root
+
+
+@register("file_statuses")
+def q_file_statuses(spark: SparkSession, sf: str) -> DataFrame:
+    """How many files were read, blank, broken or of no readable kind."""
+    return stats.status_counts(ingest.read_files(spark, _mixed_tree(spark, sf)))
+
+
+@register("answer_from_files")
+def q_answer_from_files(spark: SparkSession, sf: str) -> DataFrame:
+    """U2 whole: files -> statuses -> collection and inverted index; then the last user turn of every
+    conversation -> 50 nearest in 4 of 16 cells -> BM25 from the index -> context -> prompt with its session's history."""
+    root, path = _text_tree(spark, sf), scratch_path(spark, "answers-collection")
+    _, cents = ingest.ingest_files(spark, root, path, doc_id=_doc_id_from_path(), nlist=IVF_NLIST)
+    asked, histories = _last_questions(spark, sf)
+    out = ingest.answer_stored(spark, path, cents, asked, histories, nprobe=IVF_NPROBE)
+    return out.select("query_id", "user")
+
+
+def _last_questions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The last user turn of every conversation as a question, and the history before it, by the conversation's id."""
+    conv = _conv(spark, sf)
+    last = conv.where(F.col("role") == "user").groupBy("conv_id").agg(F.max_by("text", "turn").alias("question"), F.max("turn").alias("turn"))
+    last = cut_lineage(last.where(~T.is_blank("question")), "last-questions")
+    turns, pairs = prompts.history_prefixes(conv)
+    asked = turns.join(last.select("conv_id", "turn"), ["conv_id", "turn"], "left_semi")
+    texts = prompts.expand_history(asked, pairs).groupBy("conv_id").agg(context.ordered_join(F.col("segment"), F.col("history"), " ").alias("history"))
+    return last.select(F.col("conv_id").alias("query_id"), "question"), texts.select(F.col("conv_id").alias("query_id"), "history")

@@ -526,3 +526,102 @@ SELECT doc_id, chunk_index, CAST(0 AS INTEGER) AS piece, md5(text) AS text_md5,
 
 ORACLE_SQL["sheet_text"] = """
 SELECT n_regionkey, string_agg(n_nationkey || chr(9) || n_name, chr(10) ORDER BY n_nationkey) AS text FROM nation GROUP BY n_regionkey"""
+
+# ----------------------------------------------------------------------------- pruned and indexed search
+
+ORACLE_SQL["knn_pruned"] = ORACLE_SQL["knn_exact"]
+
+ORACLE_SQL["ivf_tree"] = f"""WITH {_E},{_ivf()},
+near AS (SELECT e.vec_id, c.cell_id, {_d2('e.v', 'c.v')} AS distance,
+                row_number() OVER (PARTITION BY e.vec_id ORDER BY round({_d2('e.v', 'c.v')}, 9), c.cell_id) - 1 AS probe_rank
+         FROM e, cent c)
+SELECT vec_id, cell_id, probe_rank, round(distance, 6) AS distance FROM near WHERE probe_rank < 4"""
+
+_BM25 = f"""
+qt AS (SELECT DISTINCT query_id, t AS term
+       FROM (SELECT query_id, unnest(string_split_regex(lower(question), '{WS}+')) AS t FROM questions) WHERE t <> ''),
+ctoks AS (SELECT chunk_id, unnest(string_split_regex(lower(text), '{WS}+')) AS t FROM chunks),
+dl AS (SELECT chunk_id, count(*) FILTER (WHERE t <> '') AS dl FROM ctoks GROUP BY chunk_id),
+corpus AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
+tf AS (SELECT chunk_id, t AS term, count(*) AS tf FROM ctoks WHERE t IN (SELECT term FROM qt) GROUP BY ALL),
+idf AS (SELECT term, ln(1.0::DOUBLE + ((SELECT n FROM corpus) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf FROM tf GROUP BY term),
+part AS (SELECT tf.chunk_id, tf.term,
+                idf.idf * tf.tf * 2.2::DOUBLE / (tf.tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl.dl / (SELECT avgdl FROM corpus))) AS s
+         FROM tf JOIN idf ON idf.term = tf.term JOIN dl ON dl.chunk_id = tf.chunk_id)"""
+
+ORACLE_SQL["bm25_search"] = f"""
+WITH {_chunks()},
+questions AS (SELECT item_id AS query_id, text AS question FROM benchmark WHERE {_strip('text')} <> ''),{_BM25},
+sc AS (SELECT query_id, chunk_id, sum(s) AS score FROM qt JOIN part ON part.term = qt.term GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM sc)
+SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM r WHERE rank <= 10"""
+
+ORACLE_SQL["rerank_bm25_stored"] = ORACLE_SQL["rerank_bm25"]
+
+ORACLE_SQL["page_segments"] = """
+WITH pages AS (
+  SELECT d.doc_id, u.page_no, coalesce(u.page_text, '') AS t
+  FROM documents d, unnest(string_split(d.text, chr(10))) WITH ORDINALITY AS u(page_text, page_no)),
+p AS (SELECT *, CAST(sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY page_no) AS BIGINT) - length(t) - 1 AS start FROM pages)
+SELECT doc_id, start // 4000 AS segment, min(start) AS start, count(*) AS n_values, string_agg(t, chr(10) ORDER BY page_no) AS text
+FROM p GROUP BY doc_id, start // 4000"""
+
+ORACLE_SQL["history_prefixes"] = f"""
+SELECT conv_id, turn, role, n_pairs, CAST(length(history) AS BIGINT) AS history_chars, CAST(0 AS BIGINT) AS segment, history
+FROM ({ORACLE_SQL['history_before_turn']})"""
+
+ORACLE_SQL["stream_turns"] = f"""
+SELECT conv_id, turn, role, n_pairs, CAST(length(history) AS BIGINT) AS history_chars FROM ({ORACLE_SQL['history_before_turn']})"""
+
+_PAGE_EXT = _ext(_KEY)
+
+ORACLE_SQL["file_statuses"] = f"""
+WITH f AS (
+  SELECT 'text' AS format, {_strip("coalesce(text, '')")} AS t FROM documents
+  UNION ALL
+  SELECT CASE WHEN {_PAGE_EXT} = 'txt' THEN 'text' WHEN {_PAGE_EXT} LIKE 'htm%' THEN 'html' END AS format,
+         CASE WHEN {_PAGE_EXT} LIKE 'htm%' THEN x.text ELSE {_strip("coalesce(html, '')")} END AS t
+  FROM pages LEFT JOIN ({ORACLE_SQL['extract_page_text']}) x USING (page_id))
+SELECT format, CASE WHEN format IS NULL THEN 'unsupported' WHEN t = '' THEN 'empty' ELSE 'ok' END AS status, count(*) AS n FROM f GROUP BY ALL"""
+
+_STRIPPED = f"documents AS (SELECT doc_id, source, {_strip('text')} AS text FROM main.documents WHERE {_strip('text')} <> '')"
+
+
+def _float(weights: str) -> str:
+    return f"SELECT id, b, CAST(CAST(w AS FLOAT) AS DOUBLE) AS w FROM {weights}"
+
+
+ORACLE_SQL["answer_from_files"] = f"""
+WITH {_STRIPPED},{_chunks()},
+lastq AS (SELECT conv_id, max(turn) AS turn, arg_max(text, turn) AS question FROM conversations WHERE role = 'user' GROUP BY conv_id),
+questions AS (SELECT conv_id AS query_id, question FROM lastq WHERE {_strip('question')} <> ''),
+{_hash_weights('c', 'chunks', 'chunk_id', 'text')},
+{_hash_weights('q', 'questions', 'query_id', 'question')},
+cf AS ({_float('c_w')}),
+cn AS (SELECT chunk_id AS id, coalesce(n, 0) AS n FROM chunks LEFT JOIN (SELECT id, sum(w * w) AS n FROM cf GROUP BY id) ON id = chunk_id),
+qn AS (SELECT query_id AS id, coalesce(n, 0) AS n FROM questions LEFT JOIN (SELECT id, sum(w * w) AS n FROM q_w GROUP BY id) ON id = query_id),
+cell AS (SELECT cell_id, id FROM (SELECT row_number() OVER (ORDER BY md5(chunk_id)) - 1 AS cell_id, chunk_id AS id FROM chunks) WHERE cell_id < 16),
+ccd AS (SELECT a.id, cell_id, sum(a.w * b.w) AS dot FROM cf a JOIN cf b ON a.b = b.b JOIN cell ON cell.id = b.id GROUP BY a.id, cell_id),
+asg AS (SELECT id, cell_id FROM (
+  SELECT a.id, k.cell_id, row_number() OVER (PARTITION BY a.id ORDER BY round(a.n + kn.n - 2 * coalesce(dot, 0), 9), k.cell_id) AS r
+  FROM cn a CROSS JOIN cell k JOIN cn kn ON kn.id = k.id LEFT JOIN ccd ON ccd.id = a.id AND ccd.cell_id = k.cell_id) WHERE r = 1),
+qcd AS (SELECT a.id, cell_id, sum(a.w * b.w) AS dot FROM q_w a JOIN cf b ON a.b = b.b JOIN cell ON cell.id = b.id GROUP BY a.id, cell_id),
+probe AS (SELECT id, cell_id FROM (
+  SELECT a.id, k.cell_id, row_number() OVER (PARTITION BY a.id ORDER BY round(a.n + kn.n - 2 * coalesce(dot, 0), 9), k.cell_id) AS r
+  FROM qn a CROSS JOIN cell k JOIN cn kn ON kn.id = k.id LEFT JOIN qcd ON qcd.id = a.id AND qcd.cell_id = k.cell_id) WHERE r <= 4),
+dots AS (SELECT q_w.id AS query_id, cf.id AS chunk_id, sum(q_w.w * cf.w) AS dot FROM q_w JOIN cf ON q_w.b = cf.b GROUP BY ALL),
+near AS (SELECT p.id AS query_id, a.id AS chunk_id,
+                row_number() OVER (PARTITION BY p.id ORDER BY round(qn.n + cn.n - 2 * coalesce(dot, 0), 9), a.id) AS rank
+         FROM probe p JOIN asg a ON a.cell_id = p.cell_id JOIN qn ON qn.id = p.id JOIN cn ON cn.id = a.id
+         LEFT JOIN dots ON dots.query_id = p.id AND dots.chunk_id = a.id),
+hits AS (SELECT * FROM near WHERE rank <= 50),{_BM25},
+sc AS (SELECT h.query_id, h.chunk_id, sum(part.s) AS s FROM hits h JOIN qt ON qt.query_id = h.query_id
+       JOIN part ON part.chunk_id = h.chunk_id AND part.term = qt.term GROUP BY ALL),
+r AS (SELECT h.query_id, h.chunk_id, row_number() OVER (PARTITION BY h.query_id ORDER BY sc.s IS NULL, round(sc.s, 9) DESC, h.rank) AS rr
+      FROM hits h LEFT JOIN sc ON sc.query_id = h.query_id AND sc.chunk_id = h.chunk_id),
+ctx AS (SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY rr) AS c FROM r JOIN chunks USING (chunk_id) WHERE rr <= 5 GROUP BY query_id),
+hb AS ({ORACLE_SQL['history_before_turn']}),
+hist AS (SELECT lastq.conv_id AS query_id, hb.history FROM lastq JOIN hb ON hb.conv_id = lastq.conv_id AND hb.turn = lastq.turn)
+SELECT q.query_id, '#### ' || CASE WHEN len(string_split(ctx.c, ' ')) > 7168 THEN array_to_string(string_split(ctx.c, ' ')[1:7168], ' ') ELSE coalesce(ctx.c, '') END
+       || ' ####' || chr(10) || '@@@@ ' || coalesce(hist.history, '') || ' @@@@' || chr(10) || 'Asked: ' || q.question AS "user"
+FROM questions q LEFT JOIN ctx USING (query_id) LEFT JOIN hist USING (query_id)"""
