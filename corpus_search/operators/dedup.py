@@ -1,6 +1,5 @@
 """Exact duplicate handling by content hash.
 
-* ``content_md5``        - md5 of the text (or bytes) column.
 * ``exact_dedup``        - duplicate groups: one row per distinct hash with the first id and
                            the number of copies. A plain aggregation (partial per task, then
                            merged), so a hash held by a third of all rows costs nothing extra.
@@ -16,10 +15,6 @@ from pyspark.sql import functions as F
 from corpus_search.session import cut_lineage
 
 
-def content_md5(df: DataFrame, col: str = "text", out: str = "md5") -> DataFrame:
-    return df.withColumn(out, F.md5(F.col(col)))
-
-
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", col: str = "text") -> DataFrame:
     return (
         df.select(F.col(id_col), F.md5(F.col(col)).alias("md5"))
@@ -35,7 +30,9 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", col: str = "text") -> Data
     return hashed.join(firsts, on=["md5", id_col], how="left_semi")
 
 
-MAX_BROADCAST_HASHES = 5_000_000
+#: Bytes of a broadcast of hashes, and of one hash in it.
+MAX_BROADCAST_BYTES = 64 << 20
+HASH_BYTES = 96
 
 
 def dedup_against_seen(incoming: DataFrame, seen: DataFrame, col: str = "text", seen_col: str = "md5") -> DataFrame:
@@ -50,5 +47,5 @@ def dedup_against_seen(incoming: DataFrame, seen: DataFrame, col: str = "text",
     incoming_hashes = hashed.select("md5").distinct()
     seen_hashes = seen.select(F.col(seen_col).alias("md5")).distinct()
     hit = cut_lineage(incoming_hashes.join(seen_hashes, "md5", "left_semi"), "seen-hits")
-    small = hit.count() <= MAX_BROADCAST_HASHES
+    small = hit.count() * HASH_BYTES <= MAX_BROADCAST_BYTES
     return hashed.join(F.broadcast(hit) if small else hit, on="md5", how="left_anti")

@@ -5,11 +5,15 @@
                         can be counted with ``label_status``.
 * ``image_normalize`` - nearest-neighbour resize, BGR -> RGB, scale to [0, 1], per-channel
                         standardisation; one flat ``array<float>`` (C, H, W order) per image.
+* ``image_features``  - a bank of filters over the normalised image, rectified and pooled on a grid: a
+                        short vector for a classifier (``training.train_adam``).
+
+Pixels stay numpy buffers; a task hands on images as soon as they fill ``FLUSH_BYTES``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -58,33 +62,78 @@ def normalize_array(data: bytes, height: int, width: int, channels: int, size: i
     return np.transpose(x, (2, 0, 1))
 
 
+#: Bytes of pixels that a task holds before it hands them on.
+FLUSH_BYTES = 16 << 20
+
+
+def _decodable(images: DataFrame) -> DataFrame:
+    image = F.col("image")
+    columns = [image[c].alias(a) for c, a in (("origin", "origin"), ("height", "h"), ("width", "w"), ("nChannels", "c"), ("data", "data"))]
+    return images.filter(F.col("image.height") > 0).select(*columns)
+
+
+def _tensors(batches: Iterator[pa.RecordBatch], size: int, mean, std, most: int) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Origins and normalised images (n x 3 x size x size, n at most ``most``), row by row out of the batches."""
+    names, held = [], np.empty((most, 3, size, size), np.float32)
+    for batch in batches:
+        for k in range(batch.num_rows):
+            name, h, w, c, data = (batch.column(i)[k] for i in range(5))
+            held[len(names)] = normalize_array(data.as_buffer(), h.as_py(), w.as_py(), c.as_py(), size, mean, std)
+            names.append(name.as_py())
+            if len(names) == most:
+                yield names, held
+                names, held = [], np.empty_like(held)  # what was yielded may still be read
+    if names:
+        yield names, held[: len(names)]
+
+
+def _lists(a: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1, dtype=np.int32) * a.shape[1]), pa.array(np.ascontiguousarray(a).ravel()))
+
+
 def image_normalize(images: DataFrame, size: int = SIZE, mean=MEAN, std=STD, keep_pixels: bool = True) -> DataFrame:
     """Adds ``pixels`` (flat CHW float array, if ``keep_pixels``) and per-channel means."""
-    src = images.filter(F.col("image.height") > 0).select(
-        F.col("image.origin").alias("origin"),
-        F.col("image.height").alias("h"),
-        F.col("image.width").alias("w"),
-        F.col("image.nChannels").alias("c"),
-        F.col("image.data").alias("data"),
-    )
+    most = max(1, FLUSH_BYTES // (12 * size * size))
 
     def run(batches):
-        for rb in batches:
-            pix, mr, mg, mb = [], [], [], []
-            for d, h, w, c in zip(*(rb.column(n).to_pylist() for n in ("data", "h", "w", "c"))):
-                x = normalize_array(d, h, w, c, size, mean, std)
-                if keep_pixels:
-                    pix.append(x.reshape(-1))
-                m = x.reshape(3, -1).mean(axis=1)
-                mr.append(float(m[0]))
-                mg.append(float(m[1]))
-                mb.append(float(m[2]))
-            cols = [rb.column("origin"), pa.array(mr), pa.array(mg), pa.array(mb)]
-            names = ["origin", "mean_r", "mean_g", "mean_b"]
+        for names, x in _tensors(batches, size, mean, std, most):
+            channel = x.reshape(len(x), 3, -1).mean(axis=2).astype(np.float64)
+            columns = [pa.array(names, pa.string()), *(pa.array(channel[:, k]) for k in range(3))]
             if keep_pixels:
-                cols.append(pa.array([p.tolist() for p in pix], pa.list_(pa.float32())))
-                names.append("pixels")
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+                columns.append(_lists(x.reshape(len(x), -1)))
+            yield pa.RecordBatch.from_arrays(columns, ["origin", "mean_r", "mean_g", "mean_b", *(["pixels"] if keep_pixels else [])])
 
     ddl = "origin string, mean_r double, mean_g double, mean_b double" + (", pixels array<float>" if keep_pixels else "")
-    return src.mapInArrow(run, ddl)
+    return _decodable(images).mapInArrow(run, ddl)
+
+
+def filter_bank(width: int = 3) -> np.ndarray:
+    """width^2 filters of width x width: products of cosines, the constant one first; unit norm each."""
+    place = (np.arange(width) + 0.5) * np.pi / width
+    waves = np.cos(np.arange(width)[:, None] * place)
+    bank = np.einsum("iy,jx->ijyx", waves, waves).reshape(-1, width, width)
+    return bank / np.sqrt((bank**2).sum((1, 2), keepdims=True))
+
+
+def pooled(x: np.ndarray, bank: np.ndarray, grid: int) -> np.ndarray:
+    """Of images (n x 3 x s x s): each filter's answers on each channel, positive and negative parts apart, as means over a grid of cells."""
+    width = bank.shape[-1]
+    views = np.lib.stride_tricks.sliding_window_view(x, (width, width), axis=(2, 3))
+    answers = np.einsum("ncyxij,kij->nckyx", views, bank.astype(np.float32), optimize=True)
+    both = np.concatenate([np.maximum(answers, 0), np.maximum(-answers, 0)], axis=2)
+    cuts = np.linspace(0, both.shape[-1], grid + 1).astype(int)
+    rows = np.stack([both[..., a : max(b, a + 1), :].mean(-2) for a, b in zip(cuts[:-1], cuts[1:])], -2)
+    return np.stack([rows[..., a : max(b, a + 1)].mean(-1) for a, b in zip(cuts[:-1], cuts[1:])], -1).reshape(len(x), -1)
+
+
+def image_features(images: DataFrame, size: int = 32, grid: int = 4, mean=MEAN, std=STD) -> DataFrame:
+    """(origin, features): filtered and pooled images, ``6 * 9 * grid^2`` numbers each."""
+    bank = filter_bank()
+    # the filters' answers take most: 18 maps of a channel, and what the sum is made of
+    most = max(1, FLUSH_BYTES // (4 * 3 * 40 * size * size))
+
+    def run(batches):
+        for names, x in _tensors(batches, size, mean, std, most):
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), _lists(pooled(x, bank, grid).astype(np.float32))], ["origin", "features"])
+
+    return _decodable(images).mapInArrow(run, "origin string, features array<float>")

@@ -8,17 +8,24 @@
 * ``train_classifier``   - softmax layer (``MultilayerPerceptronClassifier``) trained epoch by
                            epoch through ``initialWeights``; mean cross-entropy per epoch;
                            model saved every ``checkpoint_every`` epochs under a shared folder.
+* ``train_adam``         - the same layer by mini-batches with Adam: the batches of ``split_batches``,
+                           gradient sums of each by the executors, weights sent to them at every step.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpus_search.functions.vectors import mean_vectors
-from corpus_search.operators import ivf
+from corpus_search.operators import ivf, knn
+from corpus_search.session import scratch_path
 
 # Batch 64, 10 epochs, checkpoint every 2 epochs, learning rate 0.001, 5 folds
 # (one held out for validation).
@@ -112,3 +119,139 @@ def train_classifier(
         rows.append((epoch, round(loss, 6), round(100.0 * float(acc_row["a"] or 0.0), 6), path))
     spark = train.sparkSession
     return model, spark.createDataFrame(rows, "epoch int, loss double, accuracy double, checkpoint string")
+
+
+# ------------------------------------------------------------------------------ mini-batch Adam
+
+#: Adam's other settings, and tasks that add up the tasks' gradients before the driver does.
+BETAS, EPSILON = (0.9, 0.999), 1e-8
+MERGERS = 8
+
+
+@dataclass(frozen=True)
+class Softmax:
+    """Weights (inputs x classes) and bias of a softmax layer."""
+
+    weight: np.ndarray
+    bias: np.ndarray
+
+    def probabilities(self, x: np.ndarray) -> np.ndarray:
+        z = x @ self.weight + self.bias
+        e = np.exp(z - z.max(1, keepdims=True))
+        return e / e.sum(1, keepdims=True)
+
+    def gradient(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """[rows, summed cross-entropy, summed gradients of weight and bias]: what tasks add up."""
+        p = self.probabilities(x)
+        loss = -np.log(np.maximum(p[np.arange(len(y)), y], 1e-15)).sum()
+        p[np.arange(len(y)), y] -= 1
+        return np.concatenate([[len(y), loss], (x.T @ p).ravel(), p.sum(0)])
+
+
+class Adam:
+    """One optimiser's moments over a flat vector of parameters."""
+
+    def __init__(self, size: int, rate: float) -> None:
+        self.rate, self.step, self.first, self.second = rate, 0, np.zeros(size), np.zeros(size)
+
+    def update(self, gradient: np.ndarray) -> np.ndarray:
+        """What the gradient changes the parameters by."""
+        self.step += 1
+        self.first += (1 - BETAS[0]) * (gradient - self.first)
+        self.second += (1 - BETAS[1]) * (gradient**2 - self.second)
+        return -self.rate * (self.first / (1 - BETAS[0] ** self.step)) / (np.sqrt(self.second / (1 - BETAS[1] ** self.step)) + EPSILON)
+
+
+def _gradient_sums(rows: DataFrame, model: Softmax, dims: int) -> np.ndarray:
+    """The gradient of all rows (x, y), added up by tasks and then by few of them."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                part = model.gradient(knn.matrix_of(batch.column(0), dims), batch.column(1).to_numpy().astype(np.int64))
+                total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0.0
+        for batch in batches:
+            for sums in batch.column(0).to_pylist():
+                total = total + np.frombuffer(sums)
+        if not np.isscalar(total):
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+    parts = rows.select("x", "y").mapInArrow(of, "sums binary")
+    parts = parts.repartition(MERGERS).mapInArrow(merge, "sums binary")
+    return sum((np.frombuffer(r["sums"]) for r in parts.collect()), np.zeros(2 + model.weight.size + model.bias.size))
+
+
+def save_layer(spark: SparkSession, model: Softmax, path: str, epoch: int, seen: Adam | None = None) -> None:
+    """A checkpoint: the weights, and the optimiser's moments, as a row for each in Parquet."""
+    rows = [("weight", model.weight.ravel().tolist()), ("bias", model.bias.tolist())]
+    if seen is not None:
+        rows += [("first", seen.first.tolist()), ("second", seen.second.tolist()), ("step", [float(seen.step)])]
+    spark.createDataFrame(rows, "name string, numbers array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+
+def load_layer(spark: SparkSession, path: str, epoch: int, rate: float = LEARNING_RATE) -> tuple[Softmax, Adam]:
+    got = {r["name"]: np.array(r["numbers"]) for r in spark.read.parquet(f"{path}/epoch={epoch}").collect()}
+    seen = Adam(got["weight"].size + got["bias"].size, rate)
+    if "step" in got:
+        seen.first, seen.second, seen.step = got["first"], got["second"], int(got["step"][0])
+    return Softmax(got["weight"].reshape(-1, got["bias"].size), got["bias"]), seen
+
+
+def train_adam(
+    train: DataFrame, n_classes: int, vec_col: str = "embedding", label_col: str = "label", epochs: int = EPOCHS, rate: float = LEARNING_RATE,
+    checkpoint_dir: str | None = None, checkpoint_every: int = CHECKPOINT_EVERY, start: tuple[int, Softmax, Adam] | None = None,
+) -> tuple[Softmax, DataFrame]:
+    """Train on rows with ``batch`` numbers; returns (layer, per-epoch DataFrame(epoch, loss, checkpoint)).
+
+    The rows are stored by batch once; a step reads its batch's files only, sums up the gradients in the
+    tasks and moves the weights on the driver, which holds the layer and nothing else. ``loss`` is the mean
+    cross-entropy of an epoch's rows, each before its batch's step. ``start`` goes on from a checkpoint (its
+    epoch, layer and moments). Rows without label, vector or batch are left out; no rows train nothing.
+    """
+    spark = train.sparkSession
+    rows = train.where(F.col(vec_col).isNotNull() & F.col(label_col).isNotNull() & F.col("batch").isNotNull())
+    path = scratch_path(spark, "batches")
+    rows.select(F.col(vec_col).alias("x"), F.col(label_col).cast("int").alias("y"), "batch").repartition("batch").write.partitionBy("batch").parquet(path)
+    if rows.isEmpty():
+        return Softmax(np.zeros((0, n_classes)), np.zeros(n_classes)), spark.createDataFrame([], "epoch int, loss double, checkpoint string")
+    stored = spark.read.parquet(path)
+    numbers = sorted(r[0] for r in stored.select("batch").distinct().collect())  # one number a step
+    _, dims = knn.count_and_width(stored, "x")
+    done, model, adam = start or (0, Softmax(np.zeros((dims, n_classes)), np.zeros(n_classes)), Adam((dims + 1) * n_classes, rate))
+    out = []
+    for epoch in range(done + 1, epochs + 1):
+        count = loss = 0.0
+        for number in numbers:
+            sums = _gradient_sums(stored.where(F.col("batch") == number), model, dims)
+            count, loss = count + sums[0], loss + sums[1]
+            change = adam.update(sums[2:] / sums[0])
+            model = Softmax(model.weight + change[: dims * n_classes].reshape(dims, n_classes), model.bias + change[dims * n_classes :])
+        saved = None
+        if checkpoint_dir and epoch % checkpoint_every == 0:
+            save_layer(spark, model, checkpoint_dir, epoch, adam)
+            saved = f"{checkpoint_dir}/epoch={epoch}"
+        out.append((epoch, float(loss / count), saved))
+    return model, spark.createDataFrame(out, "epoch int, loss double, checkpoint string")
+
+
+def predict(df: DataFrame, model: Softmax, vec_col: str = "embedding", out_col: str = "prediction") -> DataFrame:
+    """``df`` with the likeliest class of each vector (the first of equal ones; null without a vector)."""
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    dims, names = model.weight.shape[0], df.columns
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            there = np.asarray(batch.column(names.index(vec_col)).is_valid())
+            best = np.zeros(batch.num_rows, np.int64)
+            if there.any():
+                best[there] = model.probabilities(knn.matrix_of(batch.column(names.index(vec_col)).filter(pa.array(there)), dims)).argmax(1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, mask=~there)], [*names, out_col])
+
+    return df.mapInArrow(of, StructType([*df.schema.fields, StructField(out_col, LongType())]))

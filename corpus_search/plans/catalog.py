@@ -262,15 +262,17 @@ def q_ivf_recall(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
-MAX_BROADCAST_MEANS = 100_000
+#: Bytes of means that are broadcast.
+MAX_BROADCAST_MEANS = 64 << 20
 
 
 def _label_means(v: DataFrame) -> DataFrame:
-    """Mean vector per label, materialised (one row per label) and broadcast when the label
-    count is bounded: joining on label would otherwise put a label holding a third of the
+    """Mean vector per label, materialised (one row per label) and broadcast when their
+    bytes are bounded: joining on label would otherwise put a label holding a third of the
     vectors on one task."""
     means = cut_lineage(V.mean_vectors(v, "label").select("label", "mean"), "label-means")
-    return F.broadcast(means) if means.count() <= MAX_BROADCAST_MEANS else means
+    size = means.agg(F.sum(8 * F.size("mean") + 64)).first()[0] or 0
+    return F.broadcast(means) if size <= MAX_BROADCAST_MEANS else means
 
 
 @register("vector_distance")
@@ -941,3 +943,51 @@ def _last_questions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]
     asked = turns.join(last.select("conv_id", "turn"), ["conv_id", "turn"], "left_semi")
     texts = prompts.expand_history(asked, pairs).groupBy("conv_id").agg(context.ordered_join(F.col("segment"), F.col("history"), " ").alias("history"))
     return last.select(F.col("conv_id").alias("query_id"), "question"), texts.select(F.col("conv_id").alias("query_id"), "history")
+
+
+# ----------------------------------------------------------------------------- training by mini-batches
+
+
+@register("train_adam")
+def q_train_adam(spark: SparkSession, sf: str) -> DataFrame:
+    """The softmax layer by mini-batches of about 64 with Adam at 0.001, loss per epoch, checkpoint every 2."""
+    train = training.split_batches(_vectors(spark, sf)).where("split = 'train'")
+    _, epochs = training.train_adam(train, 10, checkpoint_dir=scratch_path(spark, "adam"))
+    return epochs.select("epoch", F.round("loss", 6).alias("loss"), F.col("checkpoint").isNotNull().alias("saved"))
+
+
+@register("image_classifier")
+def q_image_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    """Images read, filtered and pooled, the layer trained on four fifths and judged on the rest."""
+    scanned = files.scan_images(spark, _image_tree(spark, sf))
+    found = images.image_features(scanned, size=16, grid=4).join(images.image_labels(scanned), "origin")
+    vec_id = F.regexp_extract("name", r"^([0-9]+)", 1).cast("bigint")
+    parts = training.split_batches(cut_lineage(found.select(vec_id.alias("vec_id"), F.col("features").alias("embedding"), "label"), "image-features"))
+    layer, _ = training.train_adam(parts.where("split = 'train'"), 10, epochs=5)
+    return training.accuracy(training.predict(parts.where("split = 'test'"), layer))
+
+
+# ----------------------------------------------------------------------------- trees and their contents
+
+
+@register("list_tree")
+def q_list_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """A tree of the documents listed, empty ones too: name below the root and length."""
+    root = _text_tree(spark, sf)
+    return files.list_objects(spark, root).select(F.regexp_extract("path", r"([^/]*/[0-9]+[.]txt)$", 1).alias("name"), F.col("length").cast("bigint").alias("length"))
+
+
+@register("scan_tree_md5")
+def q_scan_tree_md5(spark: SparkSession, sf: str) -> DataFrame:
+    """The bytes of the same tree: length and md5 of every object."""
+    return files.scan_binary(spark, _text_tree(spark, sf)).select(_doc_id_from_path().alias("doc_id"), F.col("length").cast("bigint").alias("length"), "md5")
+
+
+@register("stream_ingest_exact")
+def q_stream_ingest_exact(spark: SparkSession, sf: str) -> DataFrame:
+    """Files in micro-batches of 300, contents of any earlier batch dropped by an anti-join; a second run adds nothing."""
+    root = _text_tree(spark, sf)
+    sink, ckpt = scratch_path(spark, "exact-sink"), scratch_path(spark, "exact-ckpt")
+    for _ in range(2):
+        jobs.stream_ingest_exact(spark, f"{root}/*/*.txt", sink, ckpt, max_files_per_trigger=300)
+    return spark.read.parquet(sink).select("md5", "length")

@@ -625,3 +625,11 @@ hist AS (SELECT lastq.conv_id AS query_id, hb.history FROM lastq JOIN hb ON hb.c
 SELECT q.query_id, '#### ' || CASE WHEN len(string_split(ctx.c, ' ')) > 7168 THEN array_to_string(string_split(ctx.c, ' ')[1:7168], ' ') ELSE coalesce(ctx.c, '') END
        || ' ####' || chr(10) || '@@@@ ' || coalesce(hist.history, '') || ' @@@@' || chr(10) || 'Asked: ' || q.question AS "user"
 FROM questions q LEFT JOIN ctx USING (query_id) LEFT JOIN hist USING (query_id)"""
+
+ORACLE_SQL["list_tree"] = """
+SELECT source || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS name, CAST(strlen(coalesce(text, '')) AS BIGINT) AS length FROM documents"""
+
+ORACLE_SQL["scan_tree_md5"] = """
+SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS length, md5(coalesce(text, '')) AS md5 FROM documents"""
+
+ORACLE_SQL["stream_ingest_exact"] = ORACLE_SQL["stream_ingest"]

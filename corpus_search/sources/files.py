@@ -2,7 +2,7 @@
 
 * ``list_objects``  - recursive listing (path, length, modificationTime) from the ``binaryFile``
                       source with the content column pruned (S1). Spark's file sources
-                      leave out zero-byte objects; they are listed in tasks and added.
+                      leave out zero-byte objects; ``walk`` lists them level by level in tasks.
 * ``scan_binary``   - bytes of every object with its md5 (S2); any Hadoop URI, credentials are
                       Spark configuration.
 * ``scan_text``     - each file read whole as UTF-8 text, ends stripped, with its path (S3).
@@ -14,7 +14,9 @@
 from __future__ import annotations
 
 import fnmatch
+import functools
 import hashlib
+import itertools
 import math
 import re
 import struct
@@ -27,6 +29,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from corpus_search.functions import text as T
+from corpus_search.session import cut_lineage
 
 
 def store_uri(path: str) -> str:
@@ -49,36 +52,48 @@ def open_store(uri: str):
     return fs, f"{base.rstrip('/')}/{key}"
 
 
-def _listed(uri: str, recursive: bool):
-    """Entries below a folder as (path, is_file, length, modified); nothing if it is gone."""
+#: Rows of a batch of a listing.
+LIST_ROWS = 10_000
+
+
+def _listed(uri: str):
+    """Entries of a folder as (path, is_file, length, modified); nothing if it is gone."""
     import pyarrow.fs as pafs
 
     fs, path = open_store(uri)
     head = "file:" if uri.startswith("file:") else uri[: len(uri) - len(path.lstrip("/"))].rstrip("/") + "/"
-    for x in fs.get_file_info(pafs.FileSelector(path, allow_not_found=True, recursive=recursive)):
+    for x in fs.get_file_info(pafs.FileSelector(path, allow_not_found=True)):
         yield head + x.path.lstrip("/") if head != "file:" else head + x.path, x.is_file, x.size or 0, x.mtime
 
 
-def _empty_objects(spark: SparkSession, root: str) -> DataFrame:
-    """Zero-byte objects below ``root``, which Spark's file sources leave out: the root is listed in
-    one task, and each folder in it, with all that it holds, in a task of its own."""
+def walk(spark: SparkSession, root: str) -> DataFrame:
+    """(path, is_file, length, modificationTime) of all that lies below ``root``, level by level.
+
+    A round lists the folders that the round before found, dealt over all tasks, so folders deep below a
+    single one are listed by many; each round is stored, and its entries are handed on in bounded batches.
+    """
     schema = "path string, is_file boolean, length bigint, modificationTime timestamp"
+    kinds = (pa.string(), pa.bool_(), pa.int64(), pa.timestamp("us", "UTC"))
 
-    def lister(recursive: bool):
-        def run(batches):
-            for rb in batches:
-                for uri in rb.column(0).to_pylist():
-                    rows = [r for r in _listed(store_uri(uri), recursive) if not recursive or r[1]]
-                    cols = list(zip(*rows)) if rows else [[], [], [], []]
-                    kinds = (pa.string(), pa.bool_(), pa.int64(), pa.timestamp("us", "UTC"))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["path", "is_file", "length", "modificationTime"])
-
-        return run
-
-    top = spark.createDataFrame([(root,)], "uri string").mapInArrow(lister(False), schema)
-    folders = top.filter(~F.col("is_file")).select("path").repartition(max(2, spark.sparkContext.defaultParallelism))
-    found = top.filter("is_file").unionByName(folders.mapInArrow(lister(True), schema))
-    return found.filter("is_file and length = 0").select("path", "length", "modificationTime")
+    def run(batches):
+        for rb in batches:
+            for uri in rb.column(0).to_pylist():
+                rows = _listed(store_uri(uri))
+                while part := list(itertools.islice(rows, LIST_ROWS)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part), kinds)], ["path", "is_file", "length", "modificationTime"])
+
+    folders, levels = spark.createDataFrame([(root,)], "path string"), []
+    while True:
+        levels.append(cut_lineage(folders.mapInArrow(run, schema), "listing"))
+        folders = levels[-1].where("not is_file").select("path")
+        if folders.isEmpty():
+            return functools.reduce(DataFrame.unionByName, levels)
+        folders = folders.repartition(max(2, spark.sparkContext.defaultParallelism))
+
+
+def _empty_objects(spark: SparkSession, root: str) -> DataFrame:
+    """Zero-byte objects below ``root``, which Spark's file sources leave out."""
+    return walk(spark, root).filter("is_file and length = 0").select("path", "length", "modificationTime")
 
 
 def _glob_column(path, glob: str | None):

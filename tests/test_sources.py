@@ -159,3 +159,25 @@ def test_pluggable_embedder_and_hashed_embedding(spark):
     native = docs.select("doc_id", embedding.hash_buckets(F.col("text"), 16).alias("b")).collect()
     b1 = [r.b for r in native if r.doc_id == 1][0]
     assert sorted(set(b1)) == sorted(np.flatnonzero(h[1]).tolist())
+
+
+def test_a_deep_tree_is_listed_level_by_level(spark, tmp, monkeypatch):
+    import os
+
+    from corpus_search.sources import files
+
+    want = {}
+    for i in range(30):
+        folder = f"{tmp}/one/two/three/f{i % 6}/g{i}"
+        os.makedirs(folder)
+        for k in range(3):
+            with open(f"{folder}/{k}.txt", "w") as f:
+                f.write("x" * (i % 3))
+            want[f"{folder}/{k}.txt"] = i % 3
+    os.makedirs(f"{tmp}/one/hollow")
+    monkeypatch.setattr(files, "LIST_ROWS", 2)
+    found = files.walk(spark, f"{tmp}/one").where("is_file").collect()
+    assert {r.path.removeprefix("file:"): r.length for r in found} == want
+    listed = files.list_objects(spark, f"{tmp}/one").collect()
+    assert {r.path.removeprefix("file:"): r.length for r in listed} == want
+    assert files.walk(spark, f"{tmp}/nowhere").count() == 0
