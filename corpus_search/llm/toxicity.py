@@ -16,6 +16,7 @@ empty; a text without words has the score of no evidence (the softmax of the bia
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpus_search.llm.common import crc_mod, no_nulls, ranges, text_bytes, text_offsets, utf8_parts, written
+from corpus_search.llm.common import crc_mod, no_nulls, quotas, ranges, text_bytes, utf8_parts, written
 
 BUCKETS = 1 << 16
 SIZES = (3, 4, 5)
@@ -124,48 +125,95 @@ def _in_texts(grams: np.ndarray, ends: np.ndarray, which: np.ndarray, first: np.
     return total
 
 
-def train(texts: list[str], labels: list[int], window: int = 2, dim: int = 8, steps: int = 100, rate: float = 0.08, decay: float = 0.1, least: int = 4, seed: int = 7) -> Model:
-    """Fit the table, the weights and the bias together with Adam on all given texts.
+def _coded(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of texts, each word's place among them, and each text's first word; read in parts of bounded size."""
+    names, places, sizes, known = [], [], [np.zeros(1, np.int64)], 0
+    for _, part in utf8_parts(texts, 1 << 20):
+        words, first = words_of(part)
+        coded = words.dictionary_encode()
+        names.append(coded.dictionary)
+        places.append(coded.indices.to_numpy() + np.int32(known))
+        known += len(coded.dictionary)
+        sizes.append(np.diff(first))
+    if not names:
+        return pa.array([], texts.type), np.zeros(0, np.int32), np.zeros(1, np.int64)
+    every = pa.concat_arrays(names).dictionary_encode()  # a word of several parts is there several times
+    which = every.indices.to_numpy().astype(np.int32)[np.concatenate(places)]
+    return every.dictionary, which, np.cumsum(np.concatenate(sizes))
+
+
+def _coded_grams(names: pa.Array, words: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
+    """``grams_of`` of many words, in parts, in 32 bits."""
+    rows, sizes = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+    for lo in range(0, len(names), words):
+        grams, ends = grams_of(names.slice(lo, words))
+        rows.append(grams.astype(np.int32))
+        sizes.append(np.diff(ends))
+    return np.concatenate(rows), np.cumsum(np.concatenate(sizes))
+
+
+def _cuts(first: np.ndarray, most: int = 1 << 18) -> list[int]:
+    """Bounds of runs (of texts, or of words) of about so many elements."""
+    cuts = [0]
+    while cuts[-1] < len(first) - 1:
+        far = int(np.searchsorted(first, first[cuts[-1]] + most, side="right")) - 1
+        cuts.append(min(len(first) - 1, max(far, cuts[-1] + 1)))
+    return cuts
+
+
+def train(texts: list[str] | pa.Array, labels: list[int], window: int = 2, dim: int = 8, steps: int = 100, rate: float = 0.08, decay: float = 0.1, least: int = 4, seed: int = 7) -> Model:
+    """Fit the table, the weights and the bias together with Adam on all given texts, which are gone through in parts.
 
     Without a row that ``least`` texts share nothing can be learnt: all scores are 0.5 and ``learnt`` is false.
     """
     rnd = np.random.default_rng(seed)
-    words, first = words_of(pa.array(texts, pa.large_string()))
-    coded = words.dictionary_encode()
-    which = coded.indices.to_numpy().astype(np.int64)
-    grams, ends = grams_of(coded.dictionary) if len(coded.dictionary) else (np.zeros(0, np.int64), np.zeros(1, np.int64))
+    names, which, first = _coded(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()))
+    grams, ends = _coded_grams(names)
     y = np.asarray(labels, np.float64)
     share = min(max(float(y.mean()) if len(y) else 0.5, 1e-3), 1 - 1e-3)
     # the rare label counts up to ten times, so that it isn't drowned
     weight_of = np.where(y == 1, min(10.0, (1 - share) / share), 1.0)
-    used, grams = np.unique(grams, return_inverse=True)
+    used = np.flatnonzero(np.bincount(grams, minlength=BUCKETS))
+    place = np.zeros(BUCKETS, np.int32)
+    place[used] = np.arange(len(used))
+    grams = place[grams]
     mask = _in_texts(grams, ends, which, first, len(used)) >= least  # rows that only a text or two have say nothing
     if not mask.any():
         return Model(np.zeros((BUCKETS, dim), np.float32), np.zeros((dim, 2), np.float32), np.zeros(2, np.float32), window, learnt=False)
     table = rnd.normal(0, 0.1, (len(used), dim)).astype(np.float32)
     parts = {"table": table, "weight": rnd.normal(0, 0.5, (dim, 2)).astype(np.float32), "bias": np.zeros(2, np.float32)}
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in parts.items()}
-    sizes, whole = np.diff(ends), np.flatnonzero(np.diff(first) > 0)
+    sizes, cuts, all_weight = np.diff(ends), _cuts(first), weight_of[np.diff(first) > 0].sum()
+    runs = list(itertools.pairwise(_cuts(ends)))
     for step in range(1, steps + 1):
         # a word's value is the mean of its rows' values: the vectors themselves need not be made
         diff = parts["weight"][:, 1] - parts["weight"][:, 0]
-        value = _means((parts["table"] @ diff * mask)[grams], ends)[which]
-        if step <= steps // 2:  # first by whole texts, which says which words matter at all
-            has, start, wide = whole, first[:-1][whole], np.diff(first)[whole]
-            top, scale = WARM * _means(value, np.append(start, first[-1])), WARM / wide
-        else:  # then by the worst window of each text
-            has, top, start = best_windows(value, first, window)
-            wide = np.minimum(np.diff(first)[has], window)
-            scale = 1 / wide
-        z = top + parts["bias"][1] - parts["bias"][0]
-        p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-        g = (p - y[has]) * weight_of[has] / weight_of[has].sum()  # of the second logit; the first one's is -g
-        at = which[ranges(start, wide)]
-        of_word = np.bincount(at, np.repeat(g * scale, wide), minlength=len(sizes))
-        of_row = np.bincount(grams, np.repeat(of_word / sizes, sizes), minlength=len(used)) * mask
+        of_gram = parts["table"] @ diff * mask
+        of_name = np.concatenate([_means(of_gram[grams[ends[a] : ends[b]]], ends[a : b + 1] - ends[a]) for a, b in runs])
+        of_word, g_sum = np.zeros(len(sizes)), 0.0
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            own, words = first[lo : hi + 1] - first[lo], which[first[lo] : first[hi]]
+            value = of_name[words]
+            if step <= steps // 2:  # first by whole texts, which says which words matter at all
+                has = np.flatnonzero(np.diff(own) > 0)
+                start, wide = own[:-1][has], np.diff(own)[has]
+                top, scale = WARM * _means(value, np.append(start, own[-1])), WARM / wide
+            else:  # then by the worst window of each text
+                has, top, start = best_windows(value, own, window)
+                wide = np.minimum(np.diff(own)[has], window)
+                scale = 1 / wide
+            z = top + parts["bias"][1] - parts["bias"][0]
+            p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+            g = (p - y[lo + has]) * weight_of[lo + has] / all_weight  # of the second logit; the first one's is -g
+            of_word += np.bincount(words[ranges(start, wide)], np.repeat(g * scale, wide), minlength=len(sizes))
+            g_sum += g.sum()
+        of_row = np.zeros(len(used))
+        for a, b in runs:
+            of_row += np.bincount(grams[ends[a] : ends[b]], np.repeat(of_word[a:b] / sizes[a:b], sizes[a:b]), minlength=len(used))
+        of_row *= mask
         mean_vector = of_row @ parts["table"]
         grad = {
-            "weight": np.stack([-mean_vector, mean_vector], 1), "bias": np.array([-g.sum(), g.sum()]), "table": of_row[:, None] * diff[None, :],
+            "weight": np.stack([-mean_vector, mean_vector], 1), "bias": np.array([-g_sum, g_sum]), "table": of_row[:, None] * diff[None, :],
         }
         for k, v in parts.items():
             d = grad[k].astype(np.float32)
@@ -207,15 +255,6 @@ def score(text: Column | str, model: Model) -> Column:
     return of(F.col(text) if isinstance(text, str) else text)
 
 
-def quotas(counts: dict[int, int], most: int) -> dict[int, int]:
-    """How many rows of each label a sample of at most ``most`` has: an equal part for each, the rest by their number."""
-    if sum(counts.values()) <= most:
-        return dict(counts)
-    least = {y: min(n, most // (len(counts) + 1)) for y, n in counts.items()}
-    left, more = most - sum(least.values()), sum(counts.values()) - sum(least.values())
-    return {y: least[y] + left * (n - least[y]) // more for y, n in counts.items()}
-
-
 def fit(
     docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, max_rows: int = 3000, max_chars: int = 6_000,
     id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
@@ -246,7 +285,10 @@ def fit(
     at = F.when(long > 0, F.pmod(F.xxhash64("_id", F.lit("stretch")), long + 1)).otherwise(0).cast("int")
     rows = texts.join(F.broadcast(picked), "_id").withColumn("_t", F.col("_t").substr(at + 1, F.lit(max_chars))).dropDuplicates(["_id"]).orderBy("_id")
     got = rows.select("_t", "_y").toArrow()
-    return train(got.column("_t").to_pylist(), got.column("_y").to_pylist())
+    model = train(got.column("_t").cast(pa.large_string()).combine_chunks(), got.column("_y").to_numpy())
+    del got
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def classify(docs: DataFrame, model: Model, folds: int = 5, held: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
