@@ -20,7 +20,7 @@ from corpus_search.functions import vectors as V
 from corpus_search.operators import chunking, context, dedup, embedding, images, ivf, knn, metrics, ordered, postings, prompts, pruned, rerank, segments, stats, training
 from corpus_search.plans import ingest, retrieval
 from corpus_search.session import cut_lineage, scratch_path, ship_package, table
-from corpus_search.sinks import collections, objects
+from corpus_search.sinks import collections, ledger, objects
 from corpus_search.sources import documents, files
 from corpus_search.streaming import jobs
 
@@ -416,9 +416,8 @@ def q_parse_replies(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("parse_stream_lines")
 def q_parse_stream_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """assistant replies as streamed 'data: ' lines (plus a broken line) reassembled."""
-    c = _conv(spark, sf).filter(F.col("role") == "assistant")
-    return prompts.parse_stream(prompts.stream_lines(c))
+    """every turn as streamed 'data: ' lines (plus a broken line) reassembled."""
+    return prompts.parse_stream(prompts.stream_lines(_conv(spark, sf)))
 
 
 @register("context_text")
@@ -991,3 +990,13 @@ def q_stream_ingest_exact(spark: SparkSession, sf: str) -> DataFrame:
     for _ in range(2):
         jobs.stream_ingest_exact(spark, f"{root}/*/*.txt", sink, ckpt, max_files_per_trigger=300)
     return spark.read.parquet(sink).select("md5", "length")
+
+
+@register("append_by_ledger")
+def q_append_by_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    """K1: the chunks appended in three overlapping batches, each looking its ids up in their buckets only."""
+    path, rows = scratch_path(spark, "ledger-collection"), cut_lineage(_collection_rows(spark, sf), "ledger-rows")
+    part = F.pmod(F.xxhash64("chunk_id"), F.lit(10))
+    for batch in (rows.where(part < 6), rows.where(part >= 4), rows):
+        ledger.append_by_ledger(batch, path, embedding.HASH_DIMS, bucket_ids=200)
+    return spark.read.parquet(path).select("chunk_id", "doc_id", "chunk_index")

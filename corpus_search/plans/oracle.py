@@ -346,7 +346,7 @@ SELECT conv_id, turn, CASE WHEN role = 'user' THEN 500 ELSE 200 END AS status,
 FROM conversations"""
 
 ORACLE_SQL["parse_stream_lines"] = """
-WITH a AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'),
+WITH a AS (SELECT conv_id, turn, text FROM conversations),
 w AS (SELECT a.conv_id, a.turn, u.i, u.w FROM a, unnest(string_split(a.text, ' ')) WITH ORDINALITY AS u(w, i)),
 l AS (SELECT conv_id, turn, CAST(i AS BIGINT) AS line_no,
              'data: ' || json_object('choices', json_array(json_object('delta',
@@ -633,3 +633,5 @@ ORACLE_SQL["scan_tree_md5"] = """
 SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS length, md5(coalesce(text, '')) AS md5 FROM documents"""
 
 ORACLE_SQL["stream_ingest_exact"] = ORACLE_SQL["stream_ingest"]
+
+ORACLE_SQL["append_by_ledger"] = ORACLE_SQL["append_collection"]
