@@ -1000,3 +1000,10 @@ def q_append_by_ledger(spark: SparkSession, sf: str) -> DataFrame:
     for batch in (rows.where(part < 6), rows.where(part >= 4), rows):
         ledger.append_by_ledger(batch, path, embedding.HASH_DIMS, bucket_ids=200)
     return spark.read.parquet(path).select("chunk_id", "doc_id", "chunk_index")
+
+
+@register("replicate_ranges")
+def q_replicate_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """K3: a text tree copied in ranges of 1000 bytes: bytes, ranges and the md5 of the first of each object."""
+    out = objects.replicate_ranges(spark, _text_tree(spark, sf), scratch_path(spark, "range-replica"), range_bytes=1000)
+    return out.select(_doc_id_from_path("target").alias("doc_id"), "bytes", F.size("digests").cast("bigint").alias("n_ranges"), F.when(F.size("digests") == 1, F.col("digests")[0]).alias("md5"))

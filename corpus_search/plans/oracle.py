@@ -635,3 +635,8 @@ SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS length, md5(coalesc
 ORACLE_SQL["stream_ingest_exact"] = ORACLE_SQL["stream_ingest"]
 
 ORACLE_SQL["append_by_ledger"] = ORACLE_SQL["append_collection"]
+
+ORACLE_SQL["replicate_ranges"] = """
+SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS bytes, greatest(1, (strlen(coalesce(text, '')) + 999) // 1000) AS n_ranges,
+       CASE WHEN strlen(coalesce(text, '')) <= 1000 THEN md5(coalesce(text, '')) END AS md5
+FROM documents"""

@@ -181,3 +181,26 @@ def test_a_deep_tree_is_listed_level_by_level(spark, tmp, monkeypatch):
     listed = files.list_objects(spark, f"{tmp}/one").collect()
     assert {r.path.removeprefix("file:"): r.length for r in listed} == want
     assert files.walk(spark, f"{tmp}/nowhere").count() == 0
+
+
+def test_large_objects_are_copied_in_ranges(spark, tmp):
+    import hashlib
+    import os
+
+    from corpus_search.sinks import objects
+
+    rnd = __import__("random").Random(1)
+    blobs = {"a/big.bin": rnd.randbytes(2_500), "a/even.bin": rnd.randbytes(2_000), "small one+.txt": b"x", "none.txt": b""}
+    for rel, data in blobs.items():
+        os.makedirs(os.path.dirname(f"{tmp}/in/{rel}"), exist_ok=True)
+        with open(f"{tmp}/in/{rel}", "wb") as f:
+            f.write(data)
+    for _ in range(2):  # again: the same
+        got = {r.target.removeprefix(f"{tmp}/out/"): r for r in objects.replicate_ranges(spark, f"{tmp}/in", f"{tmp}/out", range_bytes=1000).collect()}
+        assert set(got) == set(blobs)
+        for rel, data in blobs.items():
+            with open(f"{tmp}/out/{rel}", "rb") as f:
+                assert hashlib.md5(f.read()).digest() == hashlib.md5(data).digest()
+            assert got[rel].bytes == len(data) and got[rel].digests == [hashlib.md5(data[k : k + 1000]).hexdigest() for k in range(0, max(len(data), 1), 1000)]
+        assert not [n for _, _, names in os.walk(f"{tmp}/out") for n in names if ".tmp-" in n]
+    assert len(got["a/big.bin"].digests) == 3
