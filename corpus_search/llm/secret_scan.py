@@ -51,25 +51,32 @@ def _bits(count: Column) -> Column:
     return F.when(count > 1, count * F.log2(count.cast("double"))).otherwise(F.lit(0.0))
 
 
-def _count(text: Column, symbol: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, symbol, F.lit("")))
+def _count(symbols: Column, symbol: Column) -> Column:
+    return F.size(F.filter(symbols, lambda x: x == symbol))
 
 
 def top_entropy(run: Column) -> Column:
-    """The largest entropy (bits) of any window of a run of at least WINDOW characters."""
-    head = F.substring(run, 1, WINDOW)
-    first = F.aggregate(F.array_distinct(F.split(head, "")), F.lit(0.0), lambda a, x: a + F.when(x != "", _bits(_count(head, x))).otherwise(0.0))
+    """The largest entropy (bits) of any window of a run of at least WINDOW characters.
 
-    def move(acc: Column, i: Column) -> Column:
-        kept = run.substr(i - WINDOW + 1, F.lit(WINDOW - 1))
-        out, new = run.substr(i - WINDOW, F.lit(1)), run.substr(i, F.lit(1))
-        gone, come = _count(kept, out), _count(kept, new)
-        total = acc["sum"] - _bits(gone + 1) + _bits(gone) + _bits(come + 1) - _bits(come)
-        return F.struct(total.alias("sum"), F.least(acc["least"], total).alias("least"))
+    The run is cut into an array of characters once; a step looks at one window of it.
+    """
 
-    steps = F.when(F.length(run) > WINDOW, F.sequence(F.lit(WINDOW + 1), F.length(run))).otherwise(F.array().cast("array<int>"))
-    least = F.aggregate(steps, F.struct(first.alias("sum"), first.alias("least")), move, lambda acc: acc["least"])
-    return F.log2(F.lit(float(WINDOW))) - least / WINDOW
+    def of(symbols: Column) -> Column:
+        head = F.slice(symbols, 1, WINDOW)
+        first = F.aggregate(F.array_distinct(head), F.lit(0.0), lambda a, x: a + _bits(_count(head, x)))
+
+        def move(acc: Column, i: Column) -> Column:
+            kept = F.slice(symbols, i - WINDOW + 1, WINDOW - 1)
+            out, new = F.element_at(symbols, i - WINDOW), F.element_at(symbols, i)
+            gone, come = _count(kept, out), _count(kept, new)
+            total = acc["sum"] - _bits(gone + 1) + _bits(gone) + _bits(come + 1) - _bits(come)
+            return F.struct(total.alias("sum"), F.least(acc["least"], total).alias("least"))
+
+        steps = F.when(F.size(symbols) > WINDOW, F.sequence(F.lit(WINDOW + 1), F.size(symbols))).otherwise(F.array().cast("array<int>"))
+        start = S.let(first, lambda f: F.struct(f.alias("sum"), f.alias("least")))
+        return F.log2(F.lit(float(WINDOW))) - F.aggregate(steps, start, move, lambda acc: acc["least"]) / WINDOW
+
+    return S.let(F.filter(F.split(run, ""), lambda x: x != ""), of)
 
 
 def odd_length(run: Column) -> Column:
@@ -134,19 +141,7 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> D
     base, every = fresh(docs, stem="_base"), fresh(docs, stem="_every")
     found = with_spans(docs, text_col, base, every)
     text = F.col(text_col)
-
-    def cut(acc: Column, s: Column) -> Column:
-        fresh_one = s["start"] >= acc["at"]
-        parts = F.when(
-            fresh_one, F.concat(acc["parts"], F.array(text.cast("string").substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)))
-        ).otherwise(acc["parts"])
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), parts.alias("parts"))
-
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-    cleaned = F.aggregate(
-        F.col(every), zero, cut,
-        lambda acc: F.concat(F.array_join(acc["parts"], ""), text.cast("string").substr(acc["at"] + 1, F.length(text))),
-    )
+    cleaned = S.replaced(text.cast("string"), F.col(every), mark)
     return found.withColumn(text_col, F.when(F.size(every) > 0, cleaned).otherwise(text)).select(*docs.columns)
 
 
