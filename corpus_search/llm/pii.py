@@ -85,21 +85,27 @@ def base_spans(text: Column) -> Column:
     )
 
 
+#: Characters before a candidate that may announce it.
+LEAD = 24
+
+
 def candidates(text: Column) -> Column:
-    """All proposals of all generators with their features, and their neighbours in ``at``."""
+    """All proposals of all generators (``span``) with their features (``x``)."""
     proposed = []
     for rank, (kind, pattern, needs) in enumerate(GENERATORS, len(KINDS)):
-        found = S.matches(text, pattern, kind, rank)
+        found = S.matches_around(text, pattern, kind, rank, LEAD)
+        none = F.array().cast(f"array<struct<span: {S.SPAN[6:-1]}, lead: string, after: string>>")
         if needs:
-            proposed.append(S.when_any(text.rlike(needs) & text.rlike(pattern), found))
+            proposed.append(F.when(text.rlike(needs) & text.rlike(pattern), found).otherwise(none))
         else:
-            enough = F.filter(found, lambda s: F.length(F.regexp_replace(s["part"], "[^0-9]", "")).between(7, 19))
-            proposed.append(S.when_any(text.rlike(r"(?:[0-9][().\x20/-]*+){6}[0-9]"), enough))
-    return F.transform(F.concat(*proposed), lambda s: F.struct(s.alias("span"), features(text, s).alias("x")))
+            enough = F.filter(found, lambda s: F.length(F.regexp_replace(s["span"]["part"], "[^0-9]", "")).between(7, 19))
+            proposed.append(F.when(text.rlike(r"(?:[0-9][().\x20/-]*+){6}[0-9]"), enough).otherwise(none))
+    return F.transform(F.concat(*proposed), lambda s: F.struct(s["span"].alias("span"), features(s).alias("x")))
 
 
-def features(text: Column, s: Column) -> Column:
+def features(c: Column) -> Column:
     """The small whole numbers that describe a candidate, as an array in the order of FEATURES."""
+    s, lead, after = c["span"], c["lead"], c["after"]
     part = s["part"]
     digits = F.length(F.regexp_replace(part, "[^0-9]", ""))
     groups = F.filter(F.split(part, "[^0-9]+"), lambda g: g != "")
@@ -107,10 +113,7 @@ def features(text: Column, s: Column) -> Column:
     letters = F.length(F.regexp_replace(part, r"[^A-Za-z]", ""))
     dots = F.length(F.regexp_replace(part, r"[^.]", ""))
     last = F.when(F.size(groups) > 0, F.length(F.element_at(groups, -1))).otherwise(0)
-    # the first characters are the neighbourhood's own: places before the text don't exist
-    before = F.when(s["start"] > 0, text.substr(s["start"], F.lit(1))).otherwise("")
-    after = text.substr(s["stop"] + 1, F.lit(1))
-    lead = F.when(s["start"] > 0, text.substr(F.greatest(s["start"] - 23, F.lit(1)), F.least(s["start"], F.lit(24)))).otherwise("")
+    before = F.right(lead, F.lit(1))
 
     def side(c: Column) -> Column:
         return F.when(c.rlike(r"^[\p{L}\p{N}_]$"), 2).when(c.rlike(r"^\S$"), 1).otherwise(0)
@@ -124,11 +127,13 @@ def features(text: Column, s: Column) -> Column:
     return F.array(*(values[name] for name, _ in FEATURES))
 
 
-def overlaps(span: Column, base: Column) -> Column:
-    return F.exists(base, lambda b: (b["start"] < span["stop"]) & (span["start"] < b["stop"]))
+def with_overlaps(found: Column) -> Column:
+    """The candidates of struct(base, more) with ``taken``: whether a base span overlaps them."""
+    hits = S.overlapping(F.transform(found["more"], lambda c: c["span"]), found["base"])
+    return F.zip_with(found["more"], hits, lambda c, h: F.struct(c["span"].alias("span"), c["x"].alias("x"), h.alias("taken")))
 
 
-def evidence(c: Column, base: Column) -> Column:
+def evidence(c: Column) -> Column:
     """Whether a candidate is personal data, as far as base spans, its normal form and its context tell; null if they don't."""
     span, part, x = c["span"], c["span"]["part"], c["x"]
     told = x[PLACE["told"]]
@@ -140,7 +145,7 @@ def evidence(c: Column, base: Column) -> Column:
     phone = F.concat(F.lit("+"), F.translate(F.regexp_replace(part, r"^[+(]+", ""), "/", "-")).rlike(f"^(?:{PHONE})$") & F.length(digits).between(9, 15)
     formed = phone | (x[PLACE["check"]] == 1)
     number = F.when(~formed | (told == 0), False).when(told == 2, True).when(x[PLACE["groups"]] < 2, False)
-    return F.when(overlaps(span, base), True).when(span["kind"] == "maybe_email", mail).when(span["kind"] == "maybe_spelt", spelt).otherwise(number)
+    return F.when(c["taken"], True).when(span["kind"] == "maybe_email", mail).when(span["kind"] == "maybe_spelt", spelt).otherwise(number)
 
 
 @dataclass(frozen=True)
@@ -224,8 +229,7 @@ def fit(docs: DataFrame, precision: float = 0.95, id_col: str = "doc_id", text_c
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
     def judged(found: Column) -> Column:
-        return F.transform(found["more"], lambda c: F.struct(
-            c["span"]["kind"].alias("kind"), c["x"].alias("x"), evidence(c, found["base"]).alias("right")))
+        return F.transform(with_overlaps(found), lambda c: F.struct(c["span"]["kind"].alias("kind"), c["x"].alias("x"), evidence(c).alias("right")))
 
     found = S.let(F.struct(base_spans(text).alias("base"), candidates(text).alias("more")), judged)
     one = docs.select((crc_mod(F.col(id_col), 5) == 0).alias("aside"), F.explode(found).alias("c"))
@@ -250,23 +254,21 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """Per row: ``id_col``, ``base`` and ``every`` (spans with start, kind, stop and the text found)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
-    def chosen(c: Column, base: Column) -> Column:
+    def chosen(c: Column) -> Column:
         least = F.lit(1e300)
         for kind, value in model.least.items():
             if value < math.inf:
                 least = F.when(c["span"]["kind"] == kind, value).otherwise(least)
-        return ~overlaps(c["span"], base) & (score_column(model, c["x"]) >= least)
+        return ~c["taken"] & (score_column(model, c["x"]) >= least)
 
     def apart(spans: Column) -> Column:
         """Of overlapping proposals the first, and the longest of those, stays."""
         by_place = F.array_sort(spans, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).when(
             a["stop"] != b["stop"], b["stop"] - a["stop"]).otherwise(a["rank"] - b["rank"]))
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast(S.SPAN).alias("spans"))
-        return F.aggregate(by_place, zero, lambda acc, s: F.when(s["start"] >= acc["at"], F.struct(
-            s["stop"].alias("at"), F.concat(acc["spans"], F.array(s)).alias("spans"))).otherwise(acc), lambda acc: acc["spans"])
+        return S.apart(by_place)
 
     def both(found: Column) -> Column:
-        picked = F.transform(F.filter(found["more"], lambda c: chosen(c, found["base"])), lambda c: c["span"])
+        picked = F.transform(F.filter(with_overlaps(found), chosen), lambda c: c["span"])
         return F.struct(found["base"].alias("base"), S.ordered(found["base"], apart(picked)).alias("every"))
 
     found = S.let(F.struct(base_spans(text).alias("base"), candidates(text).alias("more")), both)

@@ -141,3 +141,55 @@ def test_random_keys_are_found_whatever_their_prefix(spark):
     # entropy that random letters don't reach by chance
     assert not set(missed) & set(keys[:3]) and len(missed) <= len(keys) * 0.02, missed
     assert [k for i, k in enumerate(names, len(keys)) if out[i] != f"the {k} here"] == []
+
+
+def test_long_runs_and_many_spans_in_one_text(spark):
+    """A base64 run of a megabyte, and a text of 100,000 addresses: cost in proportion to the length."""
+    import time
+
+    rnd = random.Random(8)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    run = "".join(rnd.choice(alphabet) for _ in range(1_000_000))
+    mails = " ".join(f"u{i}@host{i % 97}.org" for i in range(100_000))
+    keys = " ".join(f"password=k{i:08d}x" for i in range(20_000))
+    docs = spark.createDataFrame([(1, f"data {run} end"), (2, mails), (3, keys)], "doc_id long, text string")
+    begin = time.time()
+    found = {r["doc_id"]: r for r in secret_scan.scan(docs).collect()}
+    assert [(s["start"], s["stop"]) for s in found[1]["every"]] == [(5, 1_000_005)] and len(found[3]["base"]) == 20_000
+    cleaned = {r["doc_id"]: r["text"] for r in secret_scan.redact(docs).collect()}
+    assert cleaned[1] == "data [secret] end" and cleaned[2] == mails and cleaned[3] == " ".join(["[secret]"] * 20_000)
+    model = pii.fit(docs)
+    got = {r["doc_id"]: r["base"] for r in pii.scan(docs, model).collect()}
+    assert len(got[2]) == 100_000 and got[2][99_999]["part"] == "u99999@host89.org" and got[2][99_999]["stop"] == len(mails)
+    assert time.time() - begin < 150
+
+
+def test_helpers_against_loops(spark):
+    from corpus_search.llm import spans as S
+
+    rnd = random.Random(5)
+    rows = []
+    for i in range(60):
+        cut = sorted(rnd.sample(range(400), rnd.choice([0, 2, 20, 200])))
+        base = [(a, 0, "b", b, "") for a, b in zip(cut[::2], cut[1::2])]
+        spans = sorted((a, 1, "s", a + rnd.randrange(1, 12), "") for a in rnd.sample(range(400), rnd.choice([0, 1, 150])))
+        rows.append((i, base, spans, "".join(rnd.choice("abcé漢") for _ in range(420))))
+    df = spark.createDataFrame(rows, f"i int, base {S.SPAN}, spans {S.SPAN}, text string")
+    base, spans, text = F.col("base"), F.col("spans"), F.col("text")
+    marked = df.select("*", S.uncovered(spans, base).alias("free"), S.overlapping(spans, base).alias("hit"), S.apart(spans).alias("apart"), S.replaced(text, spans, "#").alias("cut"),
+                       S.running(F.transform(spans, lambda s: s["stop"]), lambda a, b: F.greatest(a, b), F.lit(0), "int").alias("run"))
+    for r in marked.collect():
+        b, s = [(x["start"], x["stop"]) for x in r["base"]], [(x["start"], x["stop"]) for x in r["spans"]]
+        assert sorted((x["start"], x["stop"]) for x in r["free"]) == sorted(x for x in s if not any(p <= x[0] and x[1] <= q for p, q in b))
+        assert r["hit"] == [any(p < x[1] and x[0] < q for p, q in b) for x in s]
+        assert r["run"] == [max([0, *(x[1] for x in s[:k])]) for k in range(len(s))]
+        at, taken, out, end = 0, [], [], 0
+        for x in s:
+            if x[0] >= at:
+                taken.append(x)
+                at = x[1]
+            if x[0] >= end:
+                out += [r["text"][end : x[0]], "#"]
+            end = max(end, x[1])
+        assert [(x["start"], x["stop"]) for x in r["apart"]] == taken
+        assert r["cut"] == "".join(out) + r["text"][end:]
