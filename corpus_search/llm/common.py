@@ -6,7 +6,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpus_search.session import checkpoint_root, ship_package
@@ -60,6 +60,28 @@ def crc_mod(id_col: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+def quotas(counts: dict, most: int) -> dict:
+    """How many rows of each label a sample of at most ``most`` has: an equal part for each, the rest by their number."""
+    if sum(counts.values()) <= most:
+        return dict(counts)
+    least = {y: min(n, most // (len(counts) + 1)) for y, n in counts.items()}
+    left, more = most - sum(least.values()), sum(counts.values()) - sum(least.values())
+    return {y: least[y] + left * (n - least[y]) // more for y, n in counts.items()}
+
+
+def labelled_sample(known: DataFrame, most: int, name: str) -> tuple[DataFrame, dict]:
+    """At most ``most`` rows of (``_id``, ``_t``, ``_y``), a quota of each label by a hash of id and text, and all labels' counts."""
+    counts = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count("*").alias("n")).collect()}  # a row for each label
+    parts = quotas(counts, most)
+    # a little more than the quota by a bound on the hash, of those the first
+    rows = [(y, n, int(min(1.0, (n + 6 * n**0.5 + 20) / counts[y]) * (1 << 40))) for y, n in parts.items()]
+    wanted = known.sparkSession.createDataFrame(rows, f"_y {known.schema['_y'].dataType.simpleString()}, _quota long, _bound long")
+    place = F.pmod(F.xxhash64("_id", "_t", F.lit(name)), F.lit(1 << 40))
+    near = known.withColumn("_place", place).join(F.broadcast(wanted), "_y").where(F.col("_place") < F.col("_bound"))
+    ranked = near.withColumn("_k", F.row_number().over(Window.partitionBy("_y").orderBy("_place", "_id")))
+    return ranked.where((F.col("_k") <= most) & (F.col("_k") <= F.col("_quota"))).select("_id", "_t", "_y"), counts
+
+
 def utf8_parts(texts: pa.Array, part_bytes: int = 4 << 20):
     """Slices of a string array with about ``part_bytes`` each (one longer text alone), with their start."""
     ends = text_offsets(texts)

@@ -7,8 +7,9 @@ feeds a softmax over the languages. A text's posterior is the mean of its window
 weighted by their letters, through a softmax. Windows lie end to end and overlap by the widest filter less one byte,
 so every byte of every text is seen; they are stacked into batches of bounded size.
 
-Labels are learnt from a bounded sample (``max_rows`` documents, chosen by a hash of the id, one
-stretch of each of at most ``max_bytes`` bytes). The language of null text, and of text without any letter, is ``und`` with
+Labels are learnt from a bounded sample (``max_rows`` documents, a quota of each language so that rare ones
+are learnt too, chosen by a hash; one stretch of each of at most ``max_bytes`` characters). Repeated rows are
+judged alike, and an empty table gives an empty result. The language of null text, and of text without any letter, is ``und`` with
 score 0; without labelled rows it is ``und`` everywhere.
 """
 
@@ -23,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpus_search.llm.common import crc_mod, no_nulls, ranges, text_bytes, utf8_parts
+from corpus_search.llm.common import crc_mod, labelled_sample, no_nulls, ranges, text_bytes, utf8_parts
 
 WIDTHS = (2, 3, 4)
 WINDOW = 128
@@ -183,22 +184,18 @@ def fit(
     docs: DataFrame, folds: int = 4, held: int = 2, max_rows: int = 3000, max_bytes: int = 4000,
     id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
 ) -> Model:
-    """Train on at most ``max_rows`` labelled rows outside the held fold, a stretch of ``max_bytes`` characters of each.
+    """Train on at most ``max_rows`` labelled rows outside the held fold, a quota of each language, a stretch of ``max_bytes`` characters of each.
 
     The stretch begins at a place set by a hash, so that it is not always a beginning.
     """
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (crc_mod(F.col(id_col), folds) != held))
-    total = known.count()
-    if total == 0:
+    known = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t"), F.col(lang_col).cast("string").alias("_y"))
+    known = known.where(F.col("_y").isNotNull() & F.col("_t").isNotNull() & (crc_mod(F.col("_id"), folds) != held))
+    picked, counts = labelled_sample(known, max_rows, "sample")
+    if not counts:
         return train([], [])
-    share = min(1.0, 0.95 * max_rows / total)
-    place = F.xxhash64(id_col, F.lit("sample"))
-    picked = known.where(F.pmod(place, F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
-    free = F.greatest(F.lit(0), F.length(text_col) - max_bytes)
-    start = F.pmod(F.xxhash64(id_col, F.lit("start")), F.greatest(free, F.lit(0)) + 1).cast("int") + 1
-    rows = picked.select(
-        F.col(text_col).cast("string").substr(start, F.lit(max_bytes)).alias("t"), F.col(lang_col).cast("string").alias("l")
-    ).limit(max_rows).orderBy("l", "t").toArrow()
+    free = F.greatest(F.lit(0), F.length("_t") - max_bytes)
+    start = F.pmod(F.xxhash64("_id", F.lit("start")), free + 1).cast("int") + 1
+    rows = picked.select(F.col("_t").substr(start, F.lit(max_bytes)).alias("t"), F.col("_y").alias("l")).orderBy("l", "t").toArrow()
     return train(rows.column("t").to_pylist(), rows.column("l").to_pylist())
 
 

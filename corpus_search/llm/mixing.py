@@ -14,7 +14,7 @@ domain: documents are repeated and none is lost.
 
 Null text counts as empty. A text without words has the domains' shares in the sample as posterior
 and no tokens. Domains without a target get 0; targets of unknown domains are left out. Without
-labelled rows every rate is 1. Repeated rows get equal rates.
+labelled rows every rate is 1. Repeated rows get equal rates, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpus_search.llm import spans as S
-from corpus_search.llm.common import fresh, written
+from corpus_search.llm.common import fresh, labelled_sample, written
 
 BUCKETS = 1 << 12
 #: Evidence of so many words at most counts: beyond, a posterior would be 0 or 1 for any text.
@@ -53,13 +53,15 @@ class Classifier:
 
 
 def fit_classifier(labelled: DataFrame, max_rows: int = 4000, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain") -> Classifier:
-    """Learn from at most ``max_rows`` labelled rows, chosen by a hash of the id."""
-    known = labelled.where(F.col(domain_col).isNotNull() & F.col(text_col).isNotNull())
-    total = known.count()
-    share = min(1.0, 0.95 * max_rows / max(total, 1))
-    picked = known.where(F.pmod(F.xxhash64(id_col, F.lit("mix")), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
-    picked = picked.select(F.col(domain_col).cast("string").alias("d"), F.col(text_col).cast("string").alias("t")).limit(max_rows)
-    counted = picked.select("d", F.explode(F.transform(words(F.col("t")), _bucket)).alias("b")).groupBy("d", "b").agg(F.count("*").alias("n")).collect()
+    """Learn from at most ``max_rows`` labelled rows, a quota of each domain, chosen by a hash.
+
+    A domain's share is that of its words in all labelled rows, as the sample's rows of it have them.
+    """
+    known = labelled.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t"), F.col(domain_col).cast("string").alias("_y"))
+    picked, rows = labelled_sample(known.where(F.col("_y").isNotNull() & F.col("_t").isNotNull()), max_rows, "mix")
+    picked = written(picked, "mix-sample")
+    drawn = {r["_y"]: r["n"] for r in picked.groupBy("_y").agg(F.count("*").alias("n")).collect()}
+    counted = picked.select(F.col("_y").alias("d"), F.explode(F.transform(words(F.col("_t")), _bucket)).alias("b")).groupBy("d", "b").agg(F.count("*").alias("n")).collect()
     domains = tuple(sorted({r["d"] for r in counted}))
     counts = {d: [0.5] * BUCKETS for d in domains}
     for r in counted:
@@ -67,8 +69,9 @@ def fit_classifier(labelled: DataFrame, max_rows: int = 4000, id_col: str = "doc
     sums = {d: sum(c) for d, c in counts.items()}
     logs = [[math.log(x / sums[d]) for x in counts[d]] for d in domains]
     mean = [sum(x) / len(domains) for x in zip(*logs)]
-    whole = sum(sums.values())
-    return Classifier(domains, tuple(sums[d] / whole for d in domains), tuple(tuple(round(x - m, 3) for x, m in zip(row, mean)) for row in logs))
+    weight = {d: sums[d] * rows[d] / drawn[d] for d in domains}
+    whole = sum(weight.values())
+    return Classifier(domains, tuple(weight[d] / whole for d in domains), tuple(tuple(round(x - m, 3) for x, m in zip(row, mean)) for row in logs))
 
 
 def membership(text: Column, model: Classifier) -> Column:

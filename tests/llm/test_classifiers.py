@@ -240,3 +240,86 @@ def test_quotas_of_labels():
     assert toxicity.quotas({0: 10**6, 1: 1000}, 3000) == {0: 2000, 1: 1000}
     assert toxicity.quotas({0: 10**6, 1: 3}, 3000)[1] == 3
     assert sum(toxicity.quotas({0: 10**6, 1: 10**5}, 3000).values()) <= 3000
+
+
+def test_a_rare_language_is_learnt(spark):
+    """20,000 short rows, two of them Finnish: the sample of 300 has them, and counts of rows stay within the bound."""
+    from corpus_search.llm import common
+
+    base = spark.range(20_000).select(F.col("id").alias("_id"), F.concat(F.lit("the cat sat on the mat with number "), F.col("id").cast("string")).alias("_t"), F.lit("en").alias("_y"))
+    rare = spark.createDataFrame([(30_000, "hyvää päivää tämä on suomea", "fi"), (30_001, "näin sanotaan täällä myös", "fi")], "_id long, _t string, _y string")
+    picked, counts = common.labelled_sample(base.unionByName(rare), 300, "sample")
+    by = {r["_y"]: r["n"] for r in picked.groupBy("_y").agg(F.count("*").alias("n")).collect()}
+    assert counts == {"en": 20_000, "fi": 2} and by["fi"] == 2 and 290 <= by["en"] <= 298
+    again = common.labelled_sample(base.unionByName(rare).repartition(7), 300, "sample")[0]
+    assert sorted(map(tuple, picked.collect())) == sorted(map(tuple, again.collect()))
+    docs = base.unionByName(rare).toDF("doc_id", "text", "lang")
+    model = language_id.fit(docs, held=9, max_rows=300)
+    assert model.languages == ["en", "fi"]
+    assert mixing.fit_classifier(docs, max_rows=300, domain_col="lang").domains == ("en", "fi")
+
+
+def test_mixing_against_plain_projected_gradient(spark):
+    """Posteriors, rates and copies of every row from plain Python: its own hashing, counting and gradient steps."""
+    import re
+    from collections import Counter
+
+    import xxhash
+
+    rnd = random.Random(21)
+    rows = [(i, sentences(g, rnd.choice([3, 20, 60]), rnd), g) for i, g in enumerate(["en"] * 60 + ["de"] * 20 + ["fr"] * 10)]
+    rows += [(500, None, "en"), (501, "  ", None), (502, rows[0][1], "en"), (502, rows[0][1], "en"), (503, rows[0][1] + " " + rows[70][1], None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = mixing.fit_classifier(docs, domain_col="lang")
+    targets = {"en": 0.3, "de": 0.4, "fr": 0.3}
+
+    def signed(x):
+        return x - (1 << 64) if x >= 1 << 63 else x
+
+    def words(t):
+        return re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+    def bucket(w):
+        return signed(xxhash.xxh64(w.encode(), seed=42).intdigest()) % mixing.BUCKETS
+
+    counts = {d: Counter() for d in model.domains}
+    for _, t, g in rows:
+        if g and t is not None:
+            counts[g].update(map(bucket, words(t)))
+    sums = {d: sum(c.values()) + 0.5 * mixing.BUCKETS for d, c in counts.items()}
+    logs = {d: [math_log((counts[d][b] + 0.5) / sums[d]) for b in range(mixing.BUCKETS)] for d in model.domains}
+    mean = [sum(logs[d][b] for d in model.domains) / len(model.domains) for b in range(mixing.BUCKETS)]
+    prior = [sums[d] / sum(sums.values()) for d in model.domains]
+    assert np.allclose(model.prior, prior, atol=1e-9)
+
+    def posterior(t):
+        w = words(t)
+        scale = min(len(w), mixing.EVIDENCE) / len(w) if w else 0.0
+        z = [sum(round(logs[d][b] - mean[b], 3) for b in map(bucket, w)) * scale + math_log(p) for d, p in zip(model.domains, prior)]
+        e = np.exp(np.array(z) - max(z))
+        return [float(np.floor(x * 100 + 0.5) / 100) for x in e / e.sum()]
+
+    p = np.array([posterior(t) for _, t, _ in rows])
+    n = np.array([len(words(t)) for _, t, _ in rows], float)
+    goal = np.array([targets[d] for d in model.domains])
+    have = (n[:, None] * p).sum(0)
+    total = (have / goal).max()
+    rate = np.ones(len(rows))
+    for _ in range(mixing.STEPS):
+        now = (n * rate) @ p
+        if np.abs(now - goal * total).max() <= mixing.CLOSE * total:
+            break
+        rate = np.maximum(0.0, rate - p @ ((now - goal * total) / have))
+    got = sorted(mixing.mix(docs, model, targets).collect(), key=lambda r: (r["doc_id"], r["n_tokens"]))
+    want = sorted(zip([r[0] for r in rows], n, p.tolist(), rate), key=lambda r: r[:2])
+    for g, (i, size, post, r) in zip(got, want):
+        assert (g["doc_id"], g["n_tokens"]) == (i, size)
+        assert np.allclose(g["posterior"], post, atol=1e-9) and abs(g["rate"] - r) < 1e-6, i
+        assert int(r) <= g["copies"] <= int(r) + 1
+    assert {tuple(g["posterior"]) for g in got if g["doc_id"] == 502}.__len__() == 1
+
+
+def math_log(x):
+    import math
+
+    return math.log(x)
