@@ -99,7 +99,7 @@ ORACLE_SQL: dict[str, str] = {
 WITH RECURSIVE w AS (
   SELECT doc_id, [x FOR x IN string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> ''] AS ws FROM documents),
 sh AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN [array_to_string(ws[i:i + 4], ' ') FOR i IN range(1, len(ws) - 3)]
-                                           WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS s FROM w),
+                                           WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [''] END) AS s FROM w),
 n AS (SELECT doc_id, count(*) AS c FROM sh GROUP BY doc_id),
 p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
 l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 5 * k >= 4 * (a.c + b.c - k)),

@@ -74,7 +74,7 @@ def test_stages_in_turn(spark, inputs, tmp_path):
 
 def test_registered_and_whole_run(spark, inputs):
     queries = entry.queries()
-    assert {f"op{n}_" for n in range(1, 11)} == {q.split("_")[0] + "_" for q in queries if q.startswith("op")}
+    assert {f"op{n}_" for n in range(1, 14)} == {q.split("_")[0] + "_" for q in queries if q.startswith("op")}
     assert queries["pipeline"](spark, inputs[0]).columns == ["doc_id", "n_tokens", "ids"]
 
 
