@@ -16,3 +16,27 @@ def test_postings_name_chunks_by_number_and_repeated_ids_count_twice(spark, tmp)
     got = {r.vec_id: r.score for r in postings.Index(spark, f"{tmp}/index").search(question, 30).rows.collect()}
     single = {r.vec_id: r.score for r in postings.Index(spark, f"{tmp}/index").search(spark.createDataFrame([(1, "the")], question.schema), 30).rows.collect()}
     assert len(single) == 30 and abs(single["c03"] - 2 * single["c13"]) < 1e-9 and got["c01"] > got["c13"]
+
+
+def test_objects_are_listed_and_read_by_tasks(spark, tmp):
+    """No file index on the driver, many objects a task, hidden names left out as Spark does, empty ones kept."""
+    import hashlib
+    import os
+
+    from corpus_search.sources import files
+
+    want = {}
+    for rel, data in {"a/1.txt": b"one", "a/2.txt": b"", "b/c/3.txt": b"x" * 5000, "a/_hidden.txt": b"no", "b/.c.txt": b"no", "d=1/_k=1.txt": b"yes"}.items():
+        os.makedirs(os.path.dirname(f"{tmp}/{rel}"), exist_ok=True)
+        with open(f"{tmp}/{rel}", "wb") as f:
+            f.write(data)
+        if data != b"no":
+            want[f"file:{tmp}/{rel}"] = (len(data), hashlib.md5(data).hexdigest())
+    assert "binaryFile" not in files.list_objects(spark, tmp)._jdf.queryExecution().executedPlan().toString()
+    for content in (True, False):
+        got = files.scan_binary(spark, tmp, content=content)
+        assert "BinaryFile" not in got._jdf.queryExecution().executedPlan().toString()
+        assert {r.path: (r.length, r.md5) for r in got.collect()} == want and ("content" in got.columns) == content
+    assert [r.length for r in files.list_objects(spark, f"{tmp}/a/1.txt").collect()] == [3]
+    spark_lists = {r.path for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).load(tmp).select("path").collect()}
+    assert spark_lists == {p for p, (n, _) in want.items() if n}
