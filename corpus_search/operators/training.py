@@ -9,7 +9,7 @@
                            epoch through ``initialWeights``; mean cross-entropy per epoch;
                            model saved every ``checkpoint_every`` epochs under a shared folder.
 * ``train_adam``         - the same layer by mini-batches with Adam: the batches of ``split_batches``,
-                           gradient sums of each by the executors, weights sent to them at every step.
+                           stored by segments of consecutive ones; a job passes through a segment.
 """
 
 from __future__ import annotations
@@ -140,6 +140,11 @@ class Softmax:
         e = np.exp(z - z.max(1, keepdims=True))
         return e / e.sum(1, keepdims=True)
 
+    def moved(self, change: np.ndarray) -> "Softmax":
+        """The layer after a flat change of weight and bias."""
+        size = self.weight.size
+        return Softmax(self.weight + change[:size].reshape(self.weight.shape), self.bias + change[size:])
+
     def gradient(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """[rows, summed cross-entropy, summed gradients of weight and bias]: what tasks add up."""
         p = self.probabilities(x)
@@ -187,6 +192,63 @@ def _gradient_sums(rows: DataFrame, model: Softmax, dims: int) -> np.ndarray:
     return sum((np.frombuffer(r["sums"]) for r in parts.collect()), np.zeros(2 + model.weight.size + model.bias.size))
 
 
+#: Rows of consecutive batches that one job passes through, and of a batch whose gradient many tasks add up.
+SEGMENT_ROWS = 1 << 15
+
+
+def _segments(sizes: list[tuple[int, int]], rows: int) -> list[list[int]]:
+    """Batches (number, rows) in order, cut into runs of about ``rows`` rows; a batch of more is a run of its own."""
+    out: list[list[int]] = []
+    held = 0
+    for number, n in sizes:
+        if not out or held + n > rows:
+            out.append([])
+            held = 0
+        out[-1].append(number)
+        held += n
+    return out
+
+
+def _pass_through(rows: DataFrame, model: Softmax, adam: Adam, classes: int) -> tuple[Softmax, Adam, float, float]:
+    """The steps of one segment's batches (x, y, batch), one after the other in one task that gets the layer and the
+    moments and hands them back: a step needs the weights of the one before, and its gradient is of few rows."""
+    dims = model.weight.shape[0]
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        layer, seen = model, Adam(adam.first.size, adam.rate)
+        seen.step, seen.first, seen.second = adam.step, adam.first.copy(), adam.second.copy()
+        count, loss, now, part = 0.0, 0.0, None, None
+
+        def step() -> None:
+            nonlocal layer, count, loss
+            count, loss = count + part[0], loss + part[1]
+            layer = layer.moved(seen.update(part[2:] / part[0]))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y, number = knn.matrix_of(batch.column(0), dims), batch.column(1).to_numpy().astype(np.int64), batch.column(2).to_numpy()
+            edges = [0, *(np.flatnonzero(number[1:] != number[:-1]) + 1).tolist(), len(number)]
+            for lo, hi in zip(edges[:-1], edges[1:]):
+                if number[lo] != now and now is not None:
+                    step()
+                got = layer.gradient(x[lo:hi], y[lo:hi])
+                part = part + got if number[lo] == now else got
+                now = number[lo]
+        if now is not None:
+            step()
+            numbers = np.concatenate([[count, loss, seen.step], layer.weight.ravel(), layer.bias, seen.first, seen.second])
+            yield pa.RecordBatch.from_arrays([pa.array([numbers.tobytes()], pa.binary())], ["state"])
+
+    back = rows.select("x", "y", "batch").coalesce(1).sortWithinPartitions("batch").mapInArrow(of, "state binary").collect()
+    a = np.frombuffer(back[0]["state"])
+    size = dims * classes
+    layer = Softmax(a[3 : 3 + size].reshape(dims, classes), a[3 + size : 3 + size + classes])
+    after = Adam(size + classes, adam.rate)
+    after.step, after.first, after.second = int(a[2]), a[3 + size + classes : 3 + 2 * (size + classes)], a[3 + 2 * (size + classes) :]
+    return layer, after, float(a[0]), float(a[1])
+
+
 def save_layer(spark: SparkSession, model: Softmax, path: str, epoch: int, seen: Adam | None = None) -> None:
     """A checkpoint: the weights, and the optimiser's moments, as a row for each in Parquet."""
     rows = [("weight", model.weight.ravel().tolist()), ("bias", model.bias.tolist())]
@@ -209,29 +271,37 @@ def train_adam(
 ) -> tuple[Softmax, DataFrame]:
     """Train on rows with ``batch`` numbers; returns (layer, per-epoch DataFrame(epoch, loss, checkpoint)).
 
-    The rows are stored by batch once; a step reads its batch's files only, sums up the gradients in the
-    tasks and moves the weights on the driver, which holds the layer and nothing else. ``loss`` is the mean
+    The rows are stored once by segments of consecutive batches. A job passes through a segment: its task gets the
+    layer and the moments, makes the batches' steps in turn and hands them back, so an epoch is as many jobs as
+    segments of ``SEGMENT_ROWS`` rows and the driver holds the layer and a number for each batch. A batch of more
+    rows than a segment's (equal ids) has its gradient added up by many tasks. ``loss`` is the mean
     cross-entropy of an epoch's rows, each before its batch's step. ``start`` goes on from a checkpoint (its
     epoch, layer and moments). Rows without label, vector or batch are left out; no rows train nothing.
     """
     spark = train.sparkSession
     rows = train.where(F.col(vec_col).isNotNull() & F.col(label_col).isNotNull() & F.col("batch").isNotNull())
-    path = scratch_path(spark, "batches")
-    rows.select(F.col(vec_col).alias("x"), F.col(label_col).cast("int").alias("y"), "batch").repartition("batch").write.partitionBy("batch").parquet(path)
-    if rows.isEmpty():
+    rows = rows.select(F.col(vec_col).alias("x"), F.col(label_col).cast("int").alias("y"), "batch")
+    sizes = [(r["batch"], r["n"]) for r in rows.groupBy("batch").agg(F.count("*").alias("n")).orderBy("batch").collect()]  # one number a step
+    if not sizes:
         return Softmax(np.zeros((0, n_classes)), np.zeros(n_classes)), spark.createDataFrame([], "epoch int, loss double, checkpoint string")
-    stored = spark.read.parquet(path)
-    numbers = sorted(r[0] for r in stored.select("batch").distinct().collect())  # one number a step
-    _, dims = knn.count_and_width(stored, "x")
+    many = dict(sizes)
+    runs = _segments(sizes, SEGMENT_ROWS)
+    of_batch = spark.createDataFrame([(b, i) for i, run in enumerate(runs) for b in run], "batch long, segment int")
+    path = scratch_path(spark, "batches")
+    rows.join(F.broadcast(of_batch), "batch").repartition("segment").sortWithinPartitions("segment", "batch").write.partitionBy("segment").parquet(path)
+    stored = [spark.read.schema(rows.schema).parquet(f"{path}/segment={i}") for i in range(len(runs))]
+    _, dims = knn.count_and_width(rows, "x")
     done, model, adam = start or (0, Softmax(np.zeros((dims, n_classes)), np.zeros(n_classes)), Adam((dims + 1) * n_classes, rate))
     out = []
     for epoch in range(done + 1, epochs + 1):
         count = loss = 0.0
-        for number in numbers:
-            sums = _gradient_sums(stored.where(F.col("batch") == number), model, dims)
-            count, loss = count + sums[0], loss + sums[1]
-            change = adam.update(sums[2:] / sums[0])
-            model = Softmax(model.weight + change[: dims * n_classes].reshape(dims, n_classes), model.bias + change[dims * n_classes :])
+        for run, segment in zip(runs, stored):
+            if many[run[0]] > SEGMENT_ROWS:
+                sums = _gradient_sums(segment, model, dims)
+                n, lost, model = sums[0], sums[1], model.moved(adam.update(sums[2:] / sums[0]))
+            else:
+                model, adam, n, lost = _pass_through(segment, model, adam, n_classes)
+            count, loss = count + n, loss + lost
         saved = None
         if checkpoint_dir and epoch % checkpoint_every == 0:
             save_layer(spark, model, checkpoint_dir, epoch, adam)

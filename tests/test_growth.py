@@ -40,3 +40,23 @@ def test_objects_are_listed_and_read_by_tasks(spark, tmp):
     assert [r.length for r in files.list_objects(spark, f"{tmp}/a/1.txt").collect()] == [3]
     spark_lists = {r.path for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).load(tmp).select("path").collect()}
     assert spark_lists == {p for p, (n, _) in want.items() if n}
+
+
+def test_adam_starts_a_job_a_segment_and_not_a_batch(spark, monkeypatch):
+    import numpy as np
+
+    from corpus_search.operators import training
+
+    n = 64 * 40
+    train = spark.range(n).select(F.col("id").alias("vec_id"), F.array(F.rand(1), F.rand(2), F.rand(3)).alias("embedding"), (F.col("id") % 2).cast("int").alias("label"), (F.col("id") % 40).alias("batch"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("adam", "adam")
+    model, _ = training.train_adam(train, 2, epochs=3)
+    jobs = len(tracker.getJobIdsForGroup("adam"))
+    assert jobs < 40  # 120 steps
+    monkeypatch.setattr(training, "SEGMENT_ROWS", 150)  # two batches a segment
+    cut, _ = training.train_adam(train, 2, epochs=3)
+    monkeypatch.setattr(training, "SEGMENT_ROWS", 50)  # each batch by many tasks
+    summed, _ = training.train_adam(train, 2, epochs=3)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert np.allclose(model.weight, cut.weight, atol=1e-12) and np.allclose(model.weight, summed.weight, atol=1e-12)
