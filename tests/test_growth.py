@@ -60,3 +60,55 @@ def test_adam_starts_a_job_a_segment_and_not_a_batch(spark, monkeypatch):
     summed, _ = training.train_adam(train, 2, epochs=3)
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert np.allclose(model.weight, cut.weight, atol=1e-12) and np.allclose(model.weight, summed.weight, atol=1e-12)
+
+
+def test_a_stream_lists_folders_and_not_each_file(spark, tmp):
+    import os
+
+    from corpus_search.streaming import jobs
+
+    for i in range(150):
+        os.makedirs(f"{tmp}/in/f{i % 3}/deep", exist_ok=True)
+        with open(f"{tmp}/in/f{i % 3}/{i}.txt", "w") as f:
+            f.write(f"text {i % 100}")
+    for odd in ("in/top.txt", "in/f1/deep/x.txt", "in/f1/other.md"):  # not what the glob names
+        with open(f"{tmp}/{odd}", "w") as f:
+            f.write(odd)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("stream", "stream")
+    for _ in range(2):
+        jobs.stream_ingest_exact(spark, f"{tmp}/in/*/*.txt", f"{tmp}/sink", f"{tmp}/ckpt", max_files_per_trigger=3)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    most = max((s.numTasks for j in tracker.getJobIdsForGroup() for i in tracker.getJobInfo(j).stageIds if (s := tracker.getStageInfo(i))), default=0)
+    assert spark.read.parquet(f"{tmp}/sink").select("md5").distinct().count() == 100 == spark.read.parquet(f"{tmp}/sink").count()
+    assert most < 100 and spark.conf.get("spark.sql.shuffle.partitions") == before
+    # 50 batches: the hashes of the first 32 were put together
+    assert os.path.exists(f"{tmp}/sink-seen/upto=32/_SUCCESS")
+
+
+def test_buckets_are_cut_by_a_few_tasks(spark):
+    from corpus_search.operators import ordered
+
+    rows = spark.range(20_000).select("id", (F.col("id") % 3).alias("k"), (F.col("id") % 50).alias("t"))
+    found = ordered.add_buckets(rows, "t", "id", 20, "k")
+    assert found.rdd.getNumPartitions() < 50 and found.groupBy("_bucket").count().agg(F.max("count"), F.count("*")).first()[0] == 20
+
+
+def test_batches_are_made_in_bounded_parts():
+    import numpy as np
+    import pyarrow as pa
+
+    from corpus_search.functions import batches
+
+    texts = ["x" * n for n in (10, 500, 0, 10_000, 3, 3, 3)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["t"])
+    got = list(batches.parts(batch, "t", 600, 3))
+    assert [t for p in got for t in p.column(0).to_pylist()] == texts and [p.num_rows for p in got] == [3, 1, 3, 1]
+    from corpus_search.operators import knn
+
+    rng = np.random.default_rng(1)
+    d = rng.integers(0, 3000, (40, 1000)).astype(float)  # with ties
+    part, kth, count = knn._least(d, 5, np.full(40, 1e-9))
+    want = np.sort(d, 1)[:, :5]
+    assert (np.sort(np.take_along_axis(d, part, 1), 1) == want).all() and (kth == want[:, 4]).all() and (count == (d <= want[:, 4:]).sum(1)).all()
