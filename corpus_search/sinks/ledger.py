@@ -2,7 +2,8 @@
 
 Next to a collection lies a ledger of its ids, partitioned by ``level`` and ``bucket``. Level n has 2^n
 buckets, by a hash of the id; a batch's ids go to the level at which the collection's buckets hold about
-``BUCKET_IDS`` each, so a bucket stays small while the collection grows. An append looks its ids up in
+``BUCKET_IDS`` each (up to level ``MAX_LEVEL``, so that an append never writes and lists a folder for every few
+ids), so a bucket stays small while the collection grows. An append looks its ids up in
 their buckets only, one bucket of each level for an id: partition pruning leaves the rest unread.
 
 An append writes its ids to the ledger, then its rows to the collection, then the batch's name to the list
@@ -25,6 +26,8 @@ from corpus_search.sinks import collections
 #: Ids of a bucket at which the next level begins, and touched buckets up to which a lookup names them.
 BUCKET_IDS = 100_000
 MAX_NAMED = 10_000
+#: The last level: beyond its 4,096 buckets a level has no more folders, and their files grow instead.
+MAX_LEVEL = 12
 
 
 def _paths(path: str) -> tuple[str, str]:
@@ -87,7 +90,7 @@ def append_by_ledger(
         return 0
     # files' footers tell how many ids there are
     before = spark.read.parquet(ids).count() if collections.exists(spark, ids) else 0
-    level = max(0, math.ceil(math.log2(max(1.0, (before + many) / bucket_ids))))
+    level = min(MAX_LEVEL, max(0, math.ceil(math.log2(max(1.0, (before + many) / bucket_ids)))))
     name = uuid.uuid4().hex
     entries = fresh.select(F.col(id_col).alias("_id"), F.lit(name).alias("batch"), F.lit(level).alias("level"), _bucket(F.col(id_col), level).alias("bucket"))
     entries.hint("rebalance", "bucket").write.mode("append").partitionBy("level", "bucket").parquet(ids)
