@@ -112,3 +112,31 @@ def test_batches_are_made_in_bounded_parts():
     part, kth, count = knn._least(d, 5, np.full(40, 1e-9))
     want = np.sort(d, 1)[:, :5]
     assert (np.sort(np.take_along_axis(d, part, 1), 1) == want).all() and (kth == want[:, 4]).all() and (count == (d <= want[:, 4:]).sum(1)).all()
+
+
+def test_a_ledger_has_a_bounded_number_of_folders(spark, tmp, monkeypatch):
+    import os
+
+    from test_ledger import rows
+
+    from corpus_search.sinks import ledger
+
+    monkeypatch.setattr(ledger, "MAX_LEVEL", 4)
+    for hi in (300, 600, 600):
+        ledger.append_by_ledger(rows(spark, 0, hi), f"{tmp}/coll", 2, bucket_ids=2)
+    assert ledger.levels(spark, f"{tmp}/coll") == [4] and len([n for n in os.listdir(f"{tmp}/coll-ids/level=4") if n.startswith("bucket=")]) <= 16
+    assert spark.read.parquet(f"{tmp}/coll").select("chunk_id").distinct().count() == 600 == spark.read.parquet(f"{tmp}/coll").count()
+
+
+def test_documents_ingested_again_get_no_vectors(spark, tmp, monkeypatch):
+    from corpus_search.plans import ingest
+
+    made = []
+    cut = ingest.cut_lineage
+    monkeypatch.setattr(ingest, "cut_lineage", lambda df, name="cut": made.append(cut(df, name)) or made[-1])
+    docs = spark.createDataFrame([(i, "s", f"word{i} word{i % 3} " * 90) for i in range(20)], "doc_id long, source string, text string")
+    cents = ingest.ingest(docs.limit(15), f"{tmp}/coll", nlist=4)
+    n = made[-1].count()
+    ingest.ingest(docs, f"{tmp}/coll", centroids=cents)
+    assert n > 15 and 0 < made[-1].count() < n  # of the other five only
+    assert spark.read.parquet(f"{tmp}/coll").select("doc_id").distinct().count() == 20
