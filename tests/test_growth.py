@@ -140,3 +140,16 @@ def test_documents_ingested_again_get_no_vectors(spark, tmp, monkeypatch):
     ingest.ingest(docs, f"{tmp}/coll", centroids=cents)
     assert n > 15 and 0 < made[-1].count() < n  # of the other five only
     assert spark.read.parquet(f"{tmp}/coll").select("doc_id").distinct().count() == 20
+
+
+def test_a_sink_of_many_batches_is_read_with_the_sessions_settings(spark, tmp):
+    import os
+
+    from corpus_search.streaming import jobs
+
+    os.makedirs(f"{tmp}/in/a")
+    for i in range(24):
+        with open(f"{tmp}/in/a/{i}.txt", "w") as f:
+            f.write(f"text {i}")
+    jobs.stream_ingest(spark, f"{tmp}/in/*/*.txt", f"{tmp}/sink", f"{tmp}/ckpt", max_files_per_trigger=2, watermark="1 day")
+    assert spark.read.parquet(f"{tmp}/sink").count() == 24
