@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from corpus_search import session
-from corpus_search.operators import knn, pruned
+from corpus_search.operators import ivf, knn, pruned
 
 
 def scattered(spark, path, n=2000, width=32, seed=3):
@@ -39,6 +39,16 @@ def test_blocks_give_k_rows_a_query(spark, tmp):
         assert table(knn._rank(found, 5)) == table(knn.knn(v.select(F.col("vec_id").alias("query_id"), "embedding"), v, 5, metric=metric, strategy="broadcast"))
 
 
+def test_cells_of_a_query_are_one_row(spark, tmp):
+    v = scattered(spark, f"{tmp}/v", 900)
+    cents = ivf.sample_centroids(v, 12)
+    cells = ivf.assign_cells(v, cents)
+    found = ivf._ivf_blocked(asked(v), cells.select("vec_id", F.col("embedding").alias("vv"), "cell_id"), cents, 5, 4, "l2", 32, 64, 64, 1 << 28)
+    assert found.groupBy("query_id").count().agg(F.max("count")).first()[0] == 5  # of 4 cells and their blocks before
+    q = v.select(F.col("vec_id").alias("query_id"), "embedding")
+    assert table(ivf.knn_ivf(q, cells, cents, 5, 4, strategy="blocked", query_block=64, vector_block=64)) == table(ivf.knn_ivf(q, cells, cents, 5, 4, strategy="broadcast"))
+
+
 def test_pruned_search_stores_no_visits(spark, tmp):
     v = scattered(spark, f"{tmp}/v", 4000)
     q = v.select(F.col("vec_id").alias("query_id"), "embedding")
