@@ -4,7 +4,8 @@ Next to a collection lies a ledger of its ids, partitioned by ``level`` and ``bu
 buckets, by a hash of the id; a batch's ids go to the level at which the collection's buckets hold about
 ``BUCKET_IDS`` each (up to level ``MAX_LEVEL``, so that an append never writes and lists a folder for every few
 ids), so a bucket stays small while the collection grows. An append looks its ids up in
-their buckets only, one bucket of each level for an id: partition pruning leaves the rest unread.
+their buckets only, one bucket of each level for an id: partition pruning leaves the rest unread. Rows that the
+collection has are neither shuffled nor written again.
 
 An append writes its ids to the ledger, then its rows to the collection, then the batch's name to the list
 of done ones. What a broken append leaves in the ledger isn't done; ids of such a batch are looked up in the
@@ -26,6 +27,8 @@ from corpus_search.sinks import collections
 #: Ids of a bucket at which the next level begins, and touched buckets up to which a lookup names them.
 BUCKET_IDS = 100_000
 MAX_NAMED = 10_000
+#: Ids that the collection has of a batch, up to which they go along to the tasks that read its rows.
+MAX_BROADCAST_IDS = 200_000
 #: The last level: beyond its 4,096 buckets a level has no more folders, and their files grow instead.
 MAX_LEVEL = 12
 
@@ -62,20 +65,26 @@ def touched(rows: DataFrame, path: str, id_col: str = "chunk_id") -> DataFrame |
     return found
 
 
-def unseen(rows: DataFrame, path: str, id_col: str = "chunk_id") -> DataFrame:
-    """The rows whose id the collection doesn't have."""
+def known(rows: DataFrame, path: str, id_col: str = "chunk_id") -> DataFrame | None:
+    """Those of the rows' ids that the collection has, each once; None without a ledger."""
     spark, (_, done) = rows.sparkSession, _paths(path)
     stored = touched(rows, path, id_col)
     if stored is None:
-        return rows
+        return None
     near = cut_lineage(stored.join(rows.select(F.col(id_col).alias("_id")), "_id", "left_semi"), "ledger-hits")
     finished = spark.read.parquet(done).distinct() if collections.exists(spark, done) else spark.createDataFrame([], "batch string")
-    known = near.join(F.broadcast(finished), "batch", "left_semi").select("_id")
+    found = near.join(F.broadcast(finished), "batch", "left_semi").select("_id")
     left_open = near.join(F.broadcast(finished), "batch", "left_anti").select("_id").distinct()
     if not left_open.isEmpty() and collections.exists(spark, path):
         there = spark.read.parquet(path).select(F.col(id_col).alias("_id"))
-        known = known.unionByName(there.join(left_open, "_id", "left_semi"))
-    return rows.join(known.distinct().withColumnRenamed("_id", id_col), id_col, "left_anti")
+        found = found.unionByName(there.join(left_open, "_id", "left_semi"))
+    return found.distinct().withColumnRenamed("_id", id_col)
+
+
+def unseen(rows: DataFrame, path: str, id_col: str = "chunk_id") -> DataFrame:
+    """The rows whose id the collection doesn't have."""
+    stored = known(rows, path, id_col)
+    return rows if stored is None else rows.join(stored, id_col, "left_anti")
 
 
 def append_by_ledger(
@@ -83,8 +92,18 @@ def append_by_ledger(
 ) -> int:
     """Append rows whose ``id_col`` is not stored yet, one of each id; returns how many. Ids must not be null."""
     spark, (ids, done) = df.sparkSession, _paths(path)
-    rows = cut_lineage(collections.conform(df, schema or collections.collection_schema(width), width).dropDuplicates([id_col]), "batch-rows")
-    fresh = cut_lineage(unseen(rows, path, id_col).select(*rows.columns), "batch-new-rows")
+    rows = collections.conform(df, schema or collections.collection_schema(width), width)
+    # the ids alone tell what is new; lengths are asked for so that every row's checks are made
+    checked = [F.max(f(c)).alias(f"_{c}") for c, f in (("embedding", F.size), ("text", F.length)) if c in rows.columns]
+    given = cut_lineage(rows.groupBy(id_col).agg(F.count("*").alias("_n"), *checked), "batch-ids")
+    stored = known(given, path, id_col)
+    if stored is not None:
+        stored = cut_lineage(stored, "batch-known-ids")
+        if (seen := stored.count()) == given.count():
+            return 0
+        rows = rows.join(F.broadcast(stored) if seen <= MAX_BROADCAST_IDS else stored, id_col, "left_anti").select(*rows.columns)
+    # rows are shuffled once, for one of each id, and written once before the collection has them
+    fresh = cut_lineage(rows.dropDuplicates([id_col]), "batch-new-rows")
     many = fresh.count()
     if not many:
         return 0
